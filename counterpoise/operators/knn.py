@@ -96,6 +96,9 @@ def knn_join(
 
     q = blocks(queries, "q_blocks", "d_blocks", "qb", "db", "q-block")
     d = blocks(data, "d_blocks", "q_blocks", "db", "qb", "d-block").select(*q.columns)
+    # a given number keeps adaptive execution from merging these small but costly tasks
+    tasks = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, d = (side.repartition(tasks, "grp", "qb", "db") for side in (q, d))
     id_type = dict(data.dtypes)["id"]
     schema = f"grp int, qid {dict(queries.dtypes)['id']}, nid {id_type}, dist double"
     found = (

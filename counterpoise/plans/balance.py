@@ -146,10 +146,10 @@ def smote_sigma(t: Tables) -> DataFrame:
 
 
 @query("smote_neighbors", f"""with {BUCKET_SQL}, {VDM_SQL}, {CLASS_SQL}, {NEAR_SQL}
-select grp, qid, nid, {r6_sql('dist')} as dist, cast(rank as integer) as rank from near""")
+select grp, qid, nid, {r6_sql("dist", 4)} as dist, cast(rank as integer) as rank from near""")
 def smote_neighbors(t: Tables) -> DataFrame:
     found = smote.hvdm_neighbors(_split(t), "cls", "id", NUMERIC, CATEGORICAL, queries=F.col("cls") == "pos")
-    return found.withColumn("dist", r6("dist"))
+    return found.withColumn("dist", r6("dist", 4))
 
 
 @query("smote_synthetic", f"""with {BUCKET_SQL}, {VDM_SQL}, {CLASS_SQL}, {NEAR_SQL}, {MADE_SQL}
