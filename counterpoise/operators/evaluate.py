@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .prefix import ordered_chunks, running_sums
+
 UNKNOWN = "unknown"
 
 
@@ -54,11 +56,34 @@ def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     )
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row of interpolated quantiles, without holding all values in one task.
+
+    Values are counted, sorted by range, and the ranks come from running sums.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_sums(ordered_chunks(counts, "_v"), [], ["_pos"], {"_upto": F.col("_c")})
+    total = counts.agg(F.sum("_c")).scalar()
+    placed = ranked.withColumn("_n", total)
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > place, F.col("_v")))
+
+    parts = {n: (F.col("_n") - 1) * q for n, q in shares.items()}
+    found = placed.agg(
+        *[at(F.floor(p)).alias(f"_a_{n}") for n, p in parts.items()],
+        *[at(F.ceil(p)).alias(f"_b_{n}") for n, p in parts.items()],
+        *[F.max(p - F.floor(p)).alias(f"_g_{n}") for n, p in parts.items()],
+    )
+    return found.select(
+        *[(F.col(f"_a_{n}") + F.col(f"_g_{n}") * (F.col(f"_b_{n}") - F.col(f"_a_{n}"))).alias(n) for n in shares]
+    )
+
+
 def log_likelihood_summary(df: DataFrame, value: str) -> DataFrame:
     """Mean and quartiles of a log-likelihood column."""
-    return df.agg(
-        F.avg(value).alias("mean"), F.percentile(value, F.lit(0.25)).alias("p25"), F.percentile(value, F.lit(0.75)).alias("p75")
-    )
+    quartiles = exact_quantiles(df, value, {"p25": 0.25, "p75": 0.75})
+    return quartiles.select(df.agg(F.avg(value)).scalar().alias("mean"), "p25", "p75")
 
 
 def imbalance_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
