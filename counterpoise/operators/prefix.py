@@ -30,23 +30,34 @@ def running_sums(
     order: list,
     sums: dict[str, Column],
     chunk: str = "_chunk",
+    previous: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums per ``keys`` along ``order``.
 
     ``chunk`` is an integer column that never decreases along ``order``.  ``order`` must
-    be unique inside (keys, chunk).
+    be unique inside (keys, chunk).  ``previous`` adds columns with the row before's value.
     """
+    previous = previous or {}
     local = W.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     names = {n: f"_local_{n}" for n in sums}
-    inner = df.select("*", *[F.sum(c).over(local).alias(names[n]) for n, c in sums.items()])
+    step = W.partitionBy(*keys, chunk).orderBy(*order)
+    inner = df.select(
+        "*",
+        *[F.sum(c).over(local).alias(names[n]) for n, c in sums.items()],
+        *[F.lag(c).over(step).alias(f"_local_{n}") for n, c in previous.items()],
+    )
 
-    totals = df.groupBy(*keys, chunk).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    totals = df.groupBy(*keys, chunk).agg(
+        *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()],
+        *[F.max_by(c, F.struct(*order)).alias(f"_t_{n}") for n, c in previous.items()],
+    )
     ahead = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(chunk)
-    ahead = ahead.rowsBetween(W.unboundedPreceding, -1)
+    before, ahead = ahead, ahead.rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col(chunk).alias("_k_chunk"),
         *[F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.lag(f"_t_{n}").over(before).alias(f"_o_{n}") for n in previous],
     )
     on = F.col(chunk) == F.col("_k_chunk")
     for k in keys:
@@ -55,6 +66,7 @@ def running_sums(
     return joined.select(
         *[c for c in df.columns],
         *[(F.col(names[n]) + F.col(f"_o_{n}")).alias(n) for n in sums],
+        *[F.coalesce(f"_local_{n}", f"_o_{n}").alias(n) for n in previous],
     )
 
 

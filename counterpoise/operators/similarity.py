@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.distance import MEASURES
 from ..functions.draw import u
 from ..functions.info import llr
-from ..session import fits
+from ..session import fits, materialize
 from .tiles import LIMIT, tile_join
 
 MAX_SEEDS = 2_000
@@ -40,6 +40,10 @@ def vector_distance(
     move.  More seeds are cut into blocks of that size, and rows meet each block.
     """
     function = MEASURES[measure] if isinstance(measure, str) else measure
+    # a weight or matrix column becomes a plain column first: it may be a scalar subquery
+    given = {f"_o_{k}": v for k, v in options.items() if isinstance(v, Column)}
+    options = {k: F.col(f"_o_{k}") if isinstance(v, Column) else v for k, v in options.items()}
+    df = df.withColumns(given) if given else df
     packed = F.collect_list(F.struct(F.col(seed_id).alias("seed"), F.col(vec).alias("v")))
     if fits(seeds, max_seeds):
         rows = df.withColumn("_seeds", seeds.agg(packed).scalar())
@@ -52,7 +56,7 @@ def vector_distance(
         rows = df.withColumn("_salt", F.floor(u("seed-salt", id_col) * spread).cast("int")).withColumn(
             "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         ).join(tables, ["_b", "_salt"])
-    met = rows.select(id_col, F.col(vec).alias("_a"), F.explode("_seeds").alias("_s"))
+    met = rows.select(id_col, F.col(vec).alias("_a"), *given, F.explode("_seeds").alias("_s"))
     distance = function(F.col("_s.v"), F.col("_a"), **options)
     return met.select(F.col("_s.seed").alias(seed_id), id_col, distance.alias("distance"))
 
@@ -125,19 +129,27 @@ def row_statistics(entries: DataFrame) -> DataFrame:
     )
 
 
-def normalize_rows(entries: DataFrame, prepare: str, signed_mean: bool = False) -> DataFrame:
-    """Entries as the measure needs them."""
-    entries = entries.where(F.col("val") != 0)
-    if prepare == "binary":
-        return entries.withColumn("val", F.lit(1.0))
-    if prepare == "raw":
-        return entries
+def prepare_rows(entries: DataFrame, prepare: str, signed_mean: bool = False) -> DataFrame:
+    """Entries as the measure needs them, with their row's statistics: (row, col, val, norm, nnz, max, sum).
+
+    The table is written: both sides of the self-join, the column counts and the dot
+    products of candidates all read it.
+    """
+    entries = entries.where(F.col("val") != 0).select("row", "col", F.col("val").cast("double").alias("val"))
     if prepare == "centered":
-        stats = row_statistics(entries).select("row", ((F.col("plain") if signed_mean else F.col("sum")) / F.col("nnz")).alias("_m"))
-        entries = entries.join(stats, "row").withColumn("val", F.col("val") - F.col("_m")).drop("_m")
-        entries = entries.where(F.col("val") != 0)
-    length = row_statistics(entries).select("row", F.sqrt("sq").alias("_l"))
-    return entries.join(length, "row").withColumn("val", F.col("val") / F.col("_l")).drop("_l")
+        mean = (F.col("plain") if signed_mean else F.col("sum")) / F.col("nnz")
+        means = row_statistics(entries).select("row", mean.alias("_m"))
+        centered = entries.join(means, "row").withColumn("val", F.col("val") - F.col("_m")).drop("_m")
+        entries = centered.where(F.col("val") != 0)
+    joined = entries.join(row_statistics(entries), "row")
+    if prepare == "binary":
+        ready = {"val": F.lit(1.0), "norm": F.col("nnz"), "max": F.lit(1.0), "sum": F.col("nnz")}
+    elif prepare == "raw":
+        ready = {"val": F.col("val"), "norm": F.col("sq"), "max": F.col("max"), "sum": F.col("sum")}
+    else:
+        length = F.sqrt("sq")
+        ready = {"val": F.col("val") / length, "norm": F.lit(1.0), "max": F.col("max") / length, "sum": F.col("sum") / length}
+    return materialize(joined.select("row", "col", "nnz", *[c.alias(n) for n, c in ready.items()]), "row-entries")
 
 
 def _sides(entries: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -167,16 +179,20 @@ def _dots_by_prefix(
 ) -> DataFrame:
     """The same table, but only for pairs that can reach the threshold.
 
-    Columns are ordered from rare to frequent.  A pair above the threshold shares a column
-    in the leading entries of both rows, so only those are paired; frequent columns rarely
-    lead.  Dot products of the candidates then come from the full rows.
+    Columns are ordered from rare to frequent, in powers of two.  A pair above the
+    threshold shares a column in the leading entries of both rows, so only those are
+    paired; frequent columns rarely lead.  Dot products of the candidates then come from the full rows.
     """
-    frequency = entries.groupBy("col").agg(F.count(F.lit(1)).alias("_f"))
-    rest = W.partitionBy("row").orderBy(F.desc("_f"), F.desc("col")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = entries.join(frequency, "col").withColumns(
-        {"_squares": F.sum(F.col("val") * F.col("val")).over(rest), "_rest": F.count(F.lit(1)).over(rest)}
+    frequency = entries.groupBy("col").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("_level"))
+    leveled = entries.join(frequency, "col")
+    per_level = leveled.groupBy("row", "_level").agg(
+        F.sum(F.col("val") * F.col("val")).alias("_s"), F.count(F.lit(1)).alias("_c"), F.max("nnz").alias("nnz")
     )
-    lead = ranked.where(measure.prefix(F.col("_squares"), F.col("_rest"), F.col("nnz"), threshold))
+    # at most one row per power of two of the column frequency
+    rest = W.partitionBy("row").orderBy(F.desc("_level")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = per_level.select("row", "_level", "nnz", F.sum("_s").over(rest).alias("_s"), F.sum("_c").over(rest).alias("_c"))
+    leading = sums.where(measure.prefix(F.col("_s"), F.col("_c"), F.col("nnz"), threshold))
+    lead = leveled.join(leading.select("row", "_level"), ["row", "_level"], "left_semi")
     a, b = _sides(lead, ["row", "nnz", "max", "sum"])
     met = tile_join(a, b, "col", "a_row", "b_row", limit).where((F.col("a_row") <= F.col("b_row")) & consider)
     pairs = met.select("a_row", "b_row").distinct()
@@ -198,10 +214,7 @@ def row_pairs(
 ) -> DataFrame:
     """(a, b, similarity) with a <= b, for pairs at or above the threshold."""
     rule = SIMILARITIES[measure] if isinstance(measure, str) else measure
-    ready = normalize_rows(entries, rule.prepare, signed_mean)
-    stats = row_statistics(ready)
-    # count-based measures and Euclidean need entries or squares per row; both are the sum of squares
-    carried = ready.join(stats.select("row", F.col("sq").alias("norm"), "nnz", "max", "sum"), "row")
+    carried = prepare_rows(entries, rule.prepare, signed_mean)
     consider = rule.consider("a", "b", threshold) if rule.consider is not None and threshold > SMALLEST else None
     if consider is not None and rule.prefix is not None:
         dots = _dots_by_prefix(carried, rule, consider, threshold, limit)

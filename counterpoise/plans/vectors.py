@@ -52,9 +52,9 @@ def _options(t: Tables, name: str) -> dict:
         return {"weights": _weights(t)}
     if name == "mahalanobis":
         # inverse covariance with the inverse variances on its diagonal
-        w = _weights(t)
-        cells = F.transform(w, lambda x, i: F.transform(w, lambda y, j: F.when(i == j, x).otherwise(F.lit(0.0))))
-        return {"inverse": cells}
+        one = t.emb.agg(F.count(F.lit(1))).select(_weights(t).alias("w"))
+        rows = F.transform("w", lambda x, i: F.transform("w", lambda y, j: F.when(i == j, x).otherwise(F.lit(0.0))))
+        return {"inverse": one.select(rows).scalar()}
     return {}
 
 
