@@ -241,7 +241,7 @@ def train_forest(
     quantiles, which keeps histograms small on columns with many values.
     """
     used = [label, *numeric, *categorical]
-    rows = df.select(*ids, *used).na.drop(subset=used)
+    rows = df.select(*dict.fromkeys([*ids, *used])).na.drop(subset=used)
     if max_bins is not None and numeric:
         edges = bin_edges(rows, numeric, max_bins)
         rows = rows.withColumns({c: _binned(F.col(c).cast("double"), edges[c]) for c in numeric})
