@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.info import llr
+from ..session import materialize
 
 
 def shingle_array(tokens: Column, n: int) -> Column:
@@ -46,7 +47,10 @@ def ngram_totals(tokens: DataFrame, n: int = 2, min_support: int = 2) -> DataFra
     The limit applies to the gram, not to the totals.  Totals are aggregates joined back:
     a hot head is added up in every task first and never fills one window.
     """
-    totals = gram_totals(tokens, n)
+    return _with_totals(materialize(gram_totals(tokens, n), "gram-totals"), min_support)
+
+
+def _with_totals(totals: DataFrame, min_support: int) -> DataFrame:
     heads = totals.groupBy("head").agg(F.sum("freq").alias("head_total"))
     tails = totals.groupBy("tail").agg(F.sum("freq").alias("tail_total"))
     kept = totals.where(F.col("freq") >= min_support)
@@ -68,9 +72,9 @@ def collocations(
 
     ``unigrams`` adds single tokens, which keep their count as score.
     """
-    pairs = ngram_totals(tokens, n, min_support)
-    everything = F.greatest(F.size(shingle_array(F.col("tokens"), n)), F.lit(0))
-    n_total = tokens.agg(F.sum(everything)).scalar()
+    totals = materialize(gram_totals(tokens, n), "gram-totals")
+    pairs = _with_totals(totals, min_support)
+    n_total = totals.agg(F.sum("freq")).scalar()
     f, head, tail = (F.col(c).cast("double") for c in ("freq", "head_total", "tail_total"))
     scored = pairs.withColumn("_n", n_total.cast("double")).withColumn(
         "score", score(f, head - f, tail - f, F.col("_n") - (head + tail - f))

@@ -137,6 +137,7 @@ def _batches(forest: Forest, answer):
         trees = [_Arrays(t, forest, domains) for t in forest.trees]
         n_num = len(forest.numeric)
         for part in parts:
+            part = (part,) if isinstance(part, pd.Series) else part  # one column comes without its tuple
             size = len(part[0])
             numbers = np.array([s.to_numpy(dtype=float) for s in part[:n_num]]).reshape(n_num, size)
             codes = np.array(

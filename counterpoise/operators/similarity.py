@@ -74,15 +74,14 @@ def distance_vectors(pairs: DataFrame, id_col: str, seed_id: str) -> DataFrame:
 class Measure:
     """How a similarity is made of the dot product n and the row statistics a and b.
 
-    ``prefix`` tells which entries of a row, rarest columns first, must be looked up to
-    miss no pair above a threshold: it gets (rest of squares from here on, rest of entries
-    from here on, entries of the row, threshold) and is true for entries to keep.
+    ``reach`` tells whether a row can reach a threshold by some of its entries alone: it
+    gets (their sum of squares, their number, entries of the row, threshold).
     """
 
     similarity: Callable[[Column, Column, Column, Column], Column]
     prepare: str  # binary | raw | unit | centered
     consider: Callable[..., Column] | None = None
-    prefix: Callable[..., Column] | None = None
+    reach: Callable[..., Column] | None = None
 
 
 def _consider_cosine(a: str, b: str, t: float) -> Column:
@@ -100,20 +99,20 @@ def _consider_count(a: str, b: str, t: float) -> Column:
 
 SIMILARITIES: dict[str, Measure] = {
     "cooccurrence": Measure(
-        lambda n, a, b, cols: n, "binary", _consider_count, lambda squares, rest, nnz, t: rest >= t
+        lambda n, a, b, cols: n, "binary", _consider_count, lambda squares, some, nnz, t: some >= t
     ),
     "loglikelihood": Measure(
         lambda n, a, b, cols: 1.0 - 1.0 / (1.0 + llr(n, b - n, a - n, cols - a - b + n)), "binary"
     ),
     "tanimoto": Measure(
-        lambda n, a, b, cols: n / (a + b - n), "binary", _consider_tanimoto, lambda squares, rest, nnz, t: rest >= t * nnz
+        lambda n, a, b, cols: n / (a + b - n), "binary", _consider_tanimoto, lambda squares, some, nnz, t: some >= t * nnz
     ),
     "cityblock": Measure(lambda n, a, b, cols: 1.0 / (1.0 + a + b - 2.0 * n), "binary"),
     "cosine": Measure(
-        lambda n, a, b, cols: n, "unit", _consider_cosine, lambda squares, rest, nnz, t: squares >= t * t * (1 - 1e-9)
+        lambda n, a, b, cols: n, "unit", _consider_cosine, lambda squares, some, nnz, t: squares >= t * t * (1 - 1e-9)
     ),
     "pearson": Measure(
-        lambda n, a, b, cols: n, "centered", _consider_cosine, lambda squares, rest, nnz, t: squares >= t * t * (1 - 1e-9)
+        lambda n, a, b, cols: n, "centered", _consider_cosine, lambda squares, some, nnz, t: squares >= t * t * (1 - 1e-9)
     ),
     "euclidean": Measure(
         lambda n, a, b, cols: 1.0 / (1.0 + F.sqrt(F.greatest(F.lit(0.0), a - 2.0 * n + b))), "raw"
@@ -174,33 +173,42 @@ def _dots(entries: DataFrame, consider: Column | None, limit: int) -> DataFrame:
     )
 
 
-def _dots_by_prefix(
-    entries: DataFrame, measure: Measure, consider: Column, threshold: float, limit: int
+def _hot_columns(entries: DataFrame, limit: int) -> DataFrame:
+    return entries.groupBy("col").agg(F.count(F.lit(1)).alias("_f")).where(F.col("_f") > limit).select("col")
+
+
+def _dots_above(
+    entries: DataFrame, measure: Measure, consider: Column, threshold: float, limit: int, hot: DataFrame
 ) -> DataFrame:
-    """The same table, but only for pairs that can reach the threshold.
+    """The same table for pairs that can reach the threshold, when some columns are hot.
 
-    Columns are ordered from rare to frequent, in powers of two.  A pair above the
-    threshold shares a column in the leading entries of both rows, so only those are
-    paired; frequent columns rarely lead.  Dot products of the candidates then come from the full rows.
+    Most rows have too little weight in hot columns to reach the threshold by these
+    alone, so such a pair must share another column.  Pairs are therefore made (1) from
+    the other columns and (2) from hot columns between the rows that are heavy in them;
+    pairs of (1) that (2) did not cover look up their hot entries.
     """
-    frequency = entries.groupBy("col").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("_level"))
-    leveled = entries.join(frequency, "col")
-    per_level = leveled.groupBy("row", "_level").agg(
+    cold = entries.join(hot, "col", "left_anti")
+    warm = materialize(entries.join(hot, "col", "left_semi"), "hot-entries")
+    weight = warm.groupBy("row").agg(
         F.sum(F.col("val") * F.col("val")).alias("_s"), F.count(F.lit(1)).alias("_c"), F.max("nnz").alias("nnz")
     )
-    # at most one row per power of two of the column frequency
-    rest = W.partitionBy("row").orderBy(F.desc("_level")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = per_level.select("row", "_level", "nnz", F.sum("_s").over(rest).alias("_s"), F.sum("_c").over(rest).alias("_c"))
-    leading = sums.where(measure.prefix(F.col("_s"), F.col("_c"), F.col("nnz"), threshold))
-    lead = leveled.join(leading.select("row", "_level"), ["row", "_level"], "left_semi")
-    a, b = _sides(lead, ["row", "nnz", "max", "sum"])
-    met = tile_join(a, b, "col", "a_row", "b_row", limit).where((F.col("a_row") <= F.col("b_row")) & consider)
-    pairs = met.select("a_row", "b_row").distinct()
-    full_a, full_b = _sides(entries, ["row", "val", "norm"])
-    opened = pairs.join(full_a, "a_row")
-    joined = opened.join(full_b, ["b_row", "col"])
-    return joined.groupBy(F.col("a_row").alias("a"), F.col("b_row").alias("b")).agg(
-        F.sum(F.col("a_val") * F.col("b_val")).alias("n"), F.max("a_norm").alias("a_norm"), F.max("b_norm").alias("b_norm")
+    heavy = weight.where(measure.reach(F.col("_s"), F.col("_c"), F.col("nnz"), threshold)).select("row")
+    columns = ["a", "b", "n", "a_norm", "b_norm"]
+    first = materialize(_dots(cold, consider, limit), "cold-pairs")
+    second = _dots(warm.join(heavy, "row", "left_semi"), consider, limit)
+
+    marks = heavy.withColumn("_heavy", F.lit(True))
+    marked = first.join(marks.select(F.col("row").alias("a"), F.col("_heavy").alias("_ha")), "a", "left")
+    marked = marked.join(marks.select(F.col("row").alias("b"), F.col("_heavy").alias("_hb")), "b", "left")
+    open_pairs = marked.where(F.col("_ha").isNull() | F.col("_hb").isNull()).select("a", "b", "a_norm", "b_norm")
+    left, right = _sides(warm, ["row", "val"])
+    looked_up = open_pairs.join(left, F.col("a") == F.col("a_row")).drop("a_row").join(
+        right.withColumnRenamed("b_row", "b"), ["b", "col"]
+    )
+    third = looked_up.select("a", "b", (F.col("a_val") * F.col("b_val")).alias("n"), "a_norm", "b_norm")
+    parts = first.select(*columns).unionByName(second.select(*columns)).unionByName(third)
+    return parts.groupBy("a", "b").agg(
+        F.sum("n").alias("n"), F.max("a_norm").alias("a_norm"), F.max("b_norm").alias("b_norm")
     )
 
 
@@ -216,8 +224,9 @@ def row_pairs(
     rule = SIMILARITIES[measure] if isinstance(measure, str) else measure
     carried = prepare_rows(entries, rule.prepare, signed_mean)
     consider = rule.consider("a", "b", threshold) if rule.consider is not None and threshold > SMALLEST else None
-    if consider is not None and rule.prefix is not None:
-        dots = _dots_by_prefix(carried, rule, consider, threshold, limit)
+    hot = _hot_columns(carried, limit) if consider is not None and rule.reach is not None else None
+    if hot is not None and not hot.isEmpty():
+        dots = _dots_above(carried, rule, consider, threshold, limit, hot)
     else:
         dots = _dots(carried, consider, limit)
     if n_cols is None:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import materialize
 from . import colloc
 from .prefix import shuffled_rank
 
@@ -22,15 +23,16 @@ TOKEN = r"([\p{L}\p{N}]+)"
 def standard_analyzer(text: Column) -> Column:
     """Lower-cased words of letters and digits without stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 1)
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
 
 def tokenize(
     docs: DataFrame, doc: str, text: str, analyzer: Callable[[Column], Column] = standard_analyzer
 ) -> DataFrame:
     """(doc, tokens); empty tokens are dropped.  No shuffle."""
-    tokens = F.filter(analyzer(F.col(text)), lambda w: w != "")
+    tokens = analyzer(F.col(text))
+    if analyzer is not standard_analyzer:  # whose tokens are never empty
+        tokens = F.filter(tokens, lambda w: w != "")
     return docs.select(doc, tokens.alias("tokens"))
 
 
@@ -46,8 +48,12 @@ def term_counts(tokens: DataFrame, min_support: int = 2) -> DataFrame:
 
 
 def dictionary(terms: DataFrame, seed="dictionary") -> DataFrame:
-    """(term, term_id): dense ids from 0 in hash order of the term, so no task ranks all terms."""
-    return shuffled_rank(terms.select("term"), ["term"], seed=seed, out="term_id")
+    """(term, term_id): dense ids from 0 in hash order of the term, so no task ranks all terms.
+
+    Terms and the finished dictionary are written: each is read several times.
+    """
+    ranked = shuffled_rank(materialize(terms.select("term"), "terms"), ["term"], seed=seed, out="term_id")
+    return materialize(ranked, "dictionary")
 
 
 def document_terms(tokens: DataFrame, doc: str, ngram: int = 1) -> DataFrame:
@@ -59,13 +65,31 @@ def document_terms(tokens: DataFrame, doc: str, ngram: int = 1) -> DataFrame:
     return rows.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_vectors(tokens: DataFrame, doc: str, terms: DataFrame, ngram: int = 1) -> DataFrame:
+def term_vectors(doc_terms: DataFrame, doc: str, terms: DataFrame) -> DataFrame:
     """(doc, term_id, tf) over the dictionary; documents without known terms have no rows.
 
     The dictionary side is joined without a hint: it is broadcast when its measured size
     allows, otherwise both sides are sorted and hot terms are split at run time.
     """
-    return document_terms(tokens, doc, ngram).join(terms, "term").select(doc, "term_id", "tf")
+    return doc_terms.join(terms, "term").select(doc, "term_id", "tf")
+
+
+def frequency_vectors(
+    tokens: DataFrame, doc: str, min_support: int = 2, ngram: int = 1, min_llr: float = 1.0
+) -> tuple[DataFrame, DataFrame]:
+    """(term-frequency vectors, dictionary).
+
+    The text is cut into tokens once: counts per document and term are written, and term
+    totals, dictionary and vectors are made of that table.
+    """
+    doc_terms = materialize(document_terms(tokens, doc, ngram), "document-terms")
+    if ngram > 1:
+        found = colloc.collocations(tokens, doc, ngram, min_support, min_llr, unigrams=True)
+        terms = found.select(F.col("gram").alias("term"))
+    else:
+        terms = doc_terms.groupBy("term").agg(F.sum("tf").alias("n")).where(F.col("n") >= min_support)
+    ids = dictionary(terms)
+    return term_vectors(doc_terms, doc, ids), ids
 
 
 def empty_documents(docs: DataFrame, vectors: DataFrame, doc: str) -> DataFrame:
@@ -181,15 +205,8 @@ def sparse_vectors(
     analyzer: Callable[[Column], Column] = standard_analyzer,
 ) -> tuple[DataFrame, DataFrame]:
     """Whole pipeline: (vectors, dictionary)."""
-    tokens = tokenize(docs, doc, text, analyzer)
-    if ngram > 1:
-        terms = colloc.collocations(tokens, doc, ngram, min_support, min_llr, unigrams=True).select(
-            F.col("gram").alias("term")
-        )
-    else:
-        terms = term_counts(tokens, min_support)
-    ids = dictionary(terms)
-    vectors = term_vectors(tokens, doc, ids, ngram)
+    vectors, ids = frequency_vectors(tokenize(docs, doc, text, analyzer), doc, min_support, ngram, min_llr)
+    vectors = materialize(vectors, "term-vectors")
     if sigma is not None:
         vectors = prune_by_sigma(vectors, doc, sigma)
     weighted = weigh(vectors, doc, weight, min_df, max_df_pct)

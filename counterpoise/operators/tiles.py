@@ -20,13 +20,13 @@ def tile_join(
     """Inner join on ``key``; the two sides may share no other column name."""
     def hot(side: DataFrame, name: str) -> DataFrame:
         counts = side.groupBy(F.col(key).alias(f"_{name}_key")).agg(F.count(F.lit(1)).alias("_n"))
-        return counts.where(F.col("_n") > limit).select(f"_{name}_key", F.ceil(F.col("_n") / limit).cast("int").alias(name))
+        return counts.where(F.col("_n") > limit).select(f"_{name}_key", F.ceil(F.col("_n") / limit).cast("int").alias(f"_{name}_tiles"))
 
     def dealt(side: DataFrame, own: str, other: str, id_col: str, own_hot: DataFrame, other_hot: DataFrame) -> DataFrame:
         sized = side.join(own_hot, F.col(key) == F.col(f"_{own}_key"), "left")
         sized = sized.join(other_hot, F.col(key) == F.col(f"_{other}_key"), "left")
-        mine = F.floor(u("tile", id_col) * F.coalesce(F.col(own), F.lit(1))).cast("int")
-        met = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+        mine = F.floor(u("tile", id_col) * F.coalesce(F.col(f"_{own}_tiles"), F.lit(1))).cast("int")
+        met = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"_{other}_tiles"), F.lit(1)) - 1))
         places = {own: mine.alias(f"_t_{own}"), other: met.alias(f"_t_{other}")}
         return sized.select(*[F.col(c).alias(c) for c in side.columns], places["l"], places["r"])
 

@@ -7,6 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.io import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,6 +24,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents, ready for work on their whole text."""
+        return spread(self.documents.select("doc_id", "text"))
+
     @cached_property
     def lab(self) -> DataFrame:
         """Labelled documents: labels joined to document features."""
@@ -34,7 +41,7 @@ class Tables:
         """Line items with a unique row id and a two-valued class."""
         row = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
         pos = F.when(F.col("l_returnflag") == "R", "pos").otherwise("neg")
-        return self.lineitem.withColumn("id", row).withColumn("cls", pos)
+        return spread(self.lineitem).withColumn("id", row).withColumn("cls", pos)
 
     @cached_property
     def cp(self) -> DataFrame:

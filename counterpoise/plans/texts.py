@@ -22,17 +22,16 @@ TFIDF = f"""{DF}, w as materialized (select doc_id, term_id, sqrt(tf) * (ln(n /
 
 
 def _tokens(t: Tables) -> DataFrame:
-    return text.tokenize(t.documents, "doc_id", "text")
+    return text.tokenize(t.texts, "doc_id", "text")
 
 
 def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
-    tokens = _tokens(t)
-    ids = text.dictionary(text.term_counts(tokens, 2))
-    return text.term_vectors(tokens, "doc_id", ids), ids
+    weighted, ids = text.frequency_vectors(_tokens(t), "doc_id", 2)
+    return weighted, ids
 
 
 def _tfidf(t: Tables, **options) -> DataFrame:
-    return text.sparse_vectors(t.documents, "doc_id", "text", min_df=3, max_df_pct=40.0, **options)[0]
+    return text.sparse_vectors(t.texts, "doc_id", "text", min_df=3, max_df_pct=40.0, **options)[0]
 
 
 @query("tokens", f"with {WORDS} select doc_id, pos::INTEGER as pos, term from words")
@@ -83,32 +82,32 @@ keep as (select term_id from df, lim where 100.0 * df / n <= pct)"""
 n2 as (select count(distinct doc_id) as n from kept), d2 as (select term_id, count(*) as df from kept group by term_id)
 select doc_id, term_id, {r6_sql('sqrt(tf) * (ln(n / (df + 1)) + 1)')} as val from kept join d2 using (term_id), n2""")
 def tfidf_sigma(t: Tables) -> DataFrame:
-    found = text.sparse_vectors(t.documents, "doc_id", "text", max_df_pct=100.0, sigma=3.0)[0]
+    found = text.sparse_vectors(t.texts, "doc_id", "text", max_df_pct=100.0, sigma=3.0)[0]
     return found.withColumn("val", r6("val"))
 
 
 @query("tf_norm2", f"""with {TF} select doc_id, term_id, {r6_sql('tf / sqrt(sum(tf::DOUBLE * tf) over (partition by doc_id))')} as val from tf""")
 def tf_norm2(t: Tables) -> DataFrame:
-    found = text.sparse_vectors(t.documents, "doc_id", "text", weight="tf", max_df_pct=100.0, power=2.0)[0]
+    found = text.sparse_vectors(t.texts, "doc_id", "text", weight="tf", max_df_pct=100.0, power=2.0)[0]
     return found.withColumn("val", r6("val"))
 
 
 @query("tf_norm_inf", f"""with {TF} select doc_id, term_id, {r6_sql('tf / max(tf) over (partition by doc_id)')} as val from tf""")
 def tf_norm_inf(t: Tables) -> DataFrame:
-    found = text.sparse_vectors(t.documents, "doc_id", "text", weight="tf", max_df_pct=100.0, power=float("inf"))[0]
+    found = text.sparse_vectors(t.texts, "doc_id", "text", weight="tf", max_df_pct=100.0, power=float("inf"))[0]
     return found.withColumn("val", r6("val"))
 
 
 @query("tf_norm0", f"""with {TF} select doc_id, term_id, {r6_sql('tf / count(*) over (partition by doc_id)')} as val from tf""")
 def tf_norm0(t: Tables) -> DataFrame:
-    found = text.sparse_vectors(t.documents, "doc_id", "text", weight="tf", max_df_pct=100.0, power=0.0)[0]
+    found = text.sparse_vectors(t.texts, "doc_id", "text", weight="tf", max_df_pct=100.0, power=0.0)[0]
     return found.withColumn("val", r6("val"))
 
 
 @query("tf_lognorm", f"""with {TF} select doc_id, term_id,
  {r6_sql('ln(1 + tf) / (ln(2) * sqrt(sum(tf::DOUBLE * tf) over (partition by doc_id)))')} as val from tf""")
 def tf_lognorm(t: Tables) -> DataFrame:
-    found = text.sparse_vectors(t.documents, "doc_id", "text", weight="tf", max_df_pct=100.0, power=2.0, log=True)[0]
+    found = text.sparse_vectors(t.texts, "doc_id", "text", weight="tf", max_df_pct=100.0, power=2.0, log=True)[0]
     return found.withColumn("val", r6("val"))
 
 
@@ -218,7 +217,7 @@ def hash_adaptive_batch(t: Tables) -> DataFrame:
 select doc_id as "row", col, {r6_sql('sum(v)')} as val from (
  select doc_id, {_slot("'text'", 'token', '100 + p')} as col, ln(1 + c) / ln(2) as v from w, (select unnest([0, 1]) as p)) group by all""")
 def hash_text(t: Tables) -> DataFrame:
-    return encode.encode_text(t.documents, "doc_id", "text").withColumn("val", r6("val"))
+    return encode.encode_text(t.texts, "doc_id", "text").withColumn("val", r6("val"))
 
 
 @query("hash_numeric", f"""select p_partkey as "row", col, {r6_sql('sum(v)')} as val from (

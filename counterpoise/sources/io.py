@@ -55,6 +55,20 @@ def read_records(
     return df.select(*columns) if columns else df
 
 
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small table over all cores before costly work on each row.
+
+    A small file often is one row group, which one task reads whatever the split size.
+    Tables above ``SPREAD_BYTES`` per core keep their file splits and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= SPREAD_BYTES * cores else df
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("row long, col long, val double").parquet(path)
 

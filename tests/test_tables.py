@@ -232,11 +232,12 @@ def sparse(spark, rows=60, cols=40, seed=0):
     return dense.astype(float), frame(spark, cells, "row long, col long, val double").repartition(4)
 
 
+@pytest.mark.parametrize("limit", [9, 10_000])
 @pytest.mark.parametrize("measure,threshold", [("cosine", 0.6), ("tanimoto", 0.3), ("cooccurrence", 3.0), ("pearson", 0.5)])
-def test_threshold_pruning_loses_no_pair(spark, measure, threshold):
+def test_threshold_pruning_loses_no_pair(spark, measure, threshold, limit):
     _, entries = sparse(spark)
     every = {(r["a"], r["b"]): r["similarity"] for r in similarity.row_pairs(entries, measure).collect()}
-    kept = {(r["a"], r["b"]): r["similarity"] for r in similarity.row_pairs(entries, measure, threshold).collect()}
+    kept = {(r["a"], r["b"]): r["similarity"] for r in similarity.row_pairs(entries, measure, threshold, limit=limit).collect()}
     assert kept == pytest.approx({k: v for k, v in every.items() if v >= threshold})
     assert len(kept) > 60
 
@@ -265,7 +266,7 @@ def test_conjugate_gradient(spark):
     dense, entries = sparse(spark, 30, 12, 4)
     a = solve.SparseMatrix(entries, 12)
     b = np.arange(12.0)
-    x = solve.conjugate_gradient(a, b, lam=0.1)
+    x = solve.conjugate_gradient(a, b, lam=0.1, max_iter=40)
     assert dense.T @ (dense @ x) + 0.1 * x == pytest.approx(b, abs=1e-5)
     square = dense[:12].T @ dense[:12] + np.eye(12)
     cells = [(i, j, float(square[i, j])) for i in range(12) for j in range(12)]
