@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ...functions.draw import u
 from ...functions.info import xlogx
+from ...session import materialize
 from ..entropy import LN2
 from ..prefix import ordered_chunks, running_sums
 
@@ -147,7 +148,7 @@ def categorical_gain(df: DataFrame, attrs: list[str], label: str, keys: list[str
 def numeric_split(df: DataFrame, attrs: list[str], label: str, keys: list[str] | None = None) -> DataFrame:
     """Best threshold of numeric attributes about a class label: (attr, split, gain)."""
     target = class_target(df, label)
-    hist = histogram(df, keys or [], attrs, "double", target)
+    hist = materialize(histogram(df, keys or [], attrs, "double", target), "histogram")
     return numeric_splits(hist, keys or [], target).select(*(keys or []), "attr", "split", "gain")
 
 
@@ -160,7 +161,7 @@ def regression_numeric_split(
     df: DataFrame, attrs: list[str], label: str, keys: list[str] | None = None, digits: int = 3
 ) -> DataFrame:
     target = Target(label)
-    hist = histogram(df, keys or [], attrs, "double", target)
+    hist = materialize(histogram(df, keys or [], attrs, "double", target), "histogram")
     return numeric_splits(hist, keys or [], target, digits).select(*(keys or []), "attr", "split", "gain")
 
 

@@ -42,8 +42,8 @@ def bag_rows(df: DataFrame, ids: list[str], n_trees: int, partitions: int | None
         split = df.withColumn("grp", bucket(f"{seed}-part", partitions, *ids))
         first = F.when(F.col("grp") == 0, 0).otherwise(F.col("grp") * each + extra)
         last = F.when(F.col("grp") == 0, each + extra - 1).otherwise(F.col("grp") * each + extra + each - 1)
-    ranked = shuffled_rank(split, ids, ["grp"], seed=f"{seed}-rank", out="_row")
-    sizes = split.groupBy("grp").agg(F.count(F.lit(1)).alias("_size"))
+    ranked = materialize(shuffled_rank(split, ids, ["grp"], seed=f"{seed}-rank", out="_row"), "ranked-rows")
+    sizes = ranked.groupBy("grp").agg(F.count(F.lit(1)).alias("_size"))
     trees = F.filter(F.sequence(first, last, F.lit(1)) if partitions is None else F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda t: t >= 0)
     draws = ranked.join(sizes, "grp").select("grp", "_row", "_size", F.explode(trees).alias("tree"))
     hits = draws.select("grp", below(u(seed, "tree", "_row"), F.col("_size")).alias("_row"), "tree")
@@ -241,7 +241,7 @@ def train_forest(
     quantiles, which keeps histograms small on columns with many values.
     """
     used = [label, *numeric, *categorical]
-    rows = df.select(*dict.fromkeys([*ids, *used])).na.drop(subset=used)
+    rows = materialize(df.select(*dict.fromkeys([*ids, *used])).na.drop(subset=used), "training-rows")
     if max_bins is not None and numeric:
         edges = bin_edges(rows, numeric, max_bins)
         rows = rows.withColumns({c: _binned(F.col(c).cast("double"), edges[c]) for c in numeric})

@@ -16,23 +16,39 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.draw import u
 from ..functions.distance import TIE_DIGITS
 
-_CHUNK = 2_000_000
+_CHUNK = 200_000  # distances held at a time, small enough for a processor cache
 
 
 def _distances(metric: str, qn: np.ndarray, dn: np.ndarray, qc: np.ndarray, dc: np.ndarray) -> np.ndarray:
     """Distances between rows of q and d; ``*n`` numeric parts, ``*c`` class probabilities per category."""
-    gap = qn[:, None, :] - dn[None, :, :]
-    if metric == "euclidean":
-        return np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
-    terms = np.abs(gap) if metric == "product" else gap * gap
-    total = np.where(np.isnan(terms), 1.0, terms).sum(axis=2)
-    if qc.shape[1]:
-        square = ((qc[:, None, :, :] - dc[None, :, :, :]) ** 2).sum(axis=3)
-        steps = np.sqrt(square) if metric == "product" else square
-        total = total + np.where(np.isnan(steps), 1.0, steps).sum(axis=2)
+    total = np.zeros((len(qn), len(dn)))
+    for x, y in zip(qn.T, dn.T):
+        term = x[:, None] - y[None, :]
+        if metric == "product":
+            np.abs(term, out=term)
+        else:
+            term *= term
+        if metric != "euclidean":
+            term[np.isnan(term)] = 1.0
+        total += term
+    for x, y in zip(qc.transpose(1, 2, 0), dc.transpose(1, 2, 0)):
+        square = sum((p[:, None] - q[None, :]) ** 2 for p, q in zip(x, y))
+        step = np.sqrt(square) if metric == "product" else square
+        step[np.isnan(step)] = 1.0
+        total += step
     return np.sqrt(total)
 
 
+def _best(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest finite numbers of each row; ties go to the first column."""
+    limit = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] if dist.shape[1] > k else np.inf
+    row, column = np.nonzero((dist <= limit) & np.isfinite(dist))
+    order = np.lexsort((column, dist[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float).reshape(len(column), -1)
 
@@ -46,18 +62,15 @@ def _nearest(metric: str, k: int, n_cat: int):
             dc = _matrix(data["cat"]).reshape(len(data), n_cat, -1) if n_cat else np.zeros((len(data), 0, 1))
             qc = _matrix(queries["cat"]).reshape(len(queries), n_cat, -1) if n_cat else np.zeros((len(queries), 0, 1))
             names, asked = data["id"].to_numpy(), queries["id"].to_numpy()
-            width = max(1, dn.shape[1] + dc.shape[1] * dc.shape[2])
-            step = max(1, _CHUNK // (len(data) * width))
+            step = max(1, _CHUNK // len(data))
             for start in range(0, len(queries), step):
                 dist = _distances(metric, qn[start : start + step], dn, qc[start : start + step], dc)
                 dist = np.round(dist, TIE_DIGITS)
                 dist[dist == 0] = np.inf
-                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(dist, best, axis=1)
-                row, place = np.nonzero(np.isfinite(value))
+                row, column = _best(dist, k)
                 out["qid"].append(asked[start + row])
-                out["nid"].append(names[best[row, place]])
-                out["dist"].append(value[row, place])
+                out["nid"].append(names[column])
+                out["dist"].append(dist[row, column])
         if not out["qid"]:
             return pd.DataFrame({"grp": [], "qid": [], "nid": [], "dist": []})
         found = pd.DataFrame({c: np.concatenate(out[c]) for c in ("qid", "nid", "dist")})

@@ -65,7 +65,7 @@ def spread(df: DataFrame) -> DataFrame:
     Tables above ``SPREAD_BYTES`` per core keep their file splits and are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size <= SPREAD_BYTES * cores else df
 
 
