@@ -1,7 +1,7 @@
 """Prequential AUC over an ordered table.
 
 Each score is compared with the last scores of the other class before it.  The running
-mean of the reference recurrence has a closed form, so nothing is computed row by row.
+mean has a closed form, so nothing is computed row by row.
 """
 
 from __future__ import annotations

@@ -20,6 +20,7 @@ from ..prefix import ordered_chunks, running_sums
 # Gains equal up to this many decimals count as tied; the first value then wins.
 TIE_DIGITS = 9
 WINDOW_VALUES = 1_000_000
+MAX_VALUES = 100_000
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,15 @@ class Target:
 
 def class_target(df: DataFrame, label: str) -> Target:
     """Target with the classes found in the data, in order."""
-    found = df.select(label).where(F.col(label).isNotNull()).distinct().collect()
-    return Target(label, tuple(sorted(r[0] for r in found)))
+    return Target(label, tuple(few_values(df, F.col(label))))
+
+
+def few_values(df: DataFrame, column: Column) -> list:
+    """Sorted distinct values of a column that must have few: classes, or values of a category."""
+    found = df.select(column.alias("v")).where(F.col("v").isNotNull()).distinct().limit(MAX_VALUES + 1).collect()
+    if len(found) > MAX_VALUES:
+        raise ValueError(f"more than {MAX_VALUES} distinct values: not a class or category column")
+    return sorted(r["v"] for r in found)
 
 
 def _long(df: DataFrame, keys: list[str], attrs: list[str], kind: str, label: str) -> DataFrame:

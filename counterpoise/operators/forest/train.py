@@ -16,7 +16,7 @@ from ...functions.draw import below, bucket, u
 from ...session import materialize
 from ..prefix import shuffled_rank
 from .model import MAX_NODES, Forest, Node, leaf_column
-from .split import Target, categorical_gains, class_target, default_attributes, numeric_splits
+from .split import Target, categorical_gains, class_target, default_attributes, few_values, numeric_splits
 
 EPSILON = 1e-6
 
@@ -254,7 +254,7 @@ def train_forest(
     domains = {}
     if complemented:
         for c in categorical:
-            domains[c] = sorted(r[0] for r in table.select(F.col(c).cast("string")).distinct().collect())
+            domains[c] = few_values(table, F.col(c).cast("string"))
     tried = m or default_attributes(len(numeric) + len(categorical), regression)
     grower = _Grower(target, numeric, categorical, tried, min_split, min_var_prop, min_gain,
                      complemented, max_depth, domains, retry, seed, n_trees)

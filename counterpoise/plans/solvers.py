@@ -134,7 +134,8 @@ def grouped_auc(t: Tables) -> DataFrame:
 @query("online_auc_stream", f"with {_auc_sql(True)} select grp::VARCHAR as grp, {_PARTS} from m")
 def online_auc_stream(t: Tables) -> DataFrame:
     schema = t.events.schema
-    source = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.path)
+    source = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    source = source.option("maxFilesPerTrigger", 16).parquet(t.path)
     samples = source.select(
         (F.col("user_id") % 10).cast("string").alias("grp"),
         (F.col("event_type") == "purchase").cast("int").alias("cls"), F.col("value").alias("score"),

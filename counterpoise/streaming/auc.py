@@ -66,7 +66,8 @@ def auc_stream(
     """Stream of (grp, a0, a1, n0, n1, auc) after each micro-batch.
 
     ``samples`` is a stream of (grp string, cls int, score double, ord1, ord2); inside a
-    micro-batch the samples of a group are taken in (ord1, ord2) order.  ``policy`` tells
+    micro-batch the samples of a group are taken in (ord1, ord2) order, so a source should
+    bound its micro-batches (maxFilesPerTrigger).  ``policy`` tells
     which score a new one replaces: the oldest ('fifo'), one of a fair reservoir ('fair'),
     or any ('random').
     """
