@@ -149,35 +149,62 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: str = "mix") ->
     return leaves.select("_source", "shard", "_blocks", offset.alias("_offset"))
 
 
-def cut_points(placed: DataFrame, rest: DataFrame) -> DataFrame:
-    """(``_source``, ``_cut``): documents with a draw below the cut make up the last, partial pass.
-
-    ``rest`` holds (``_source``, ``_n_blocks``, ``_rest``).  The place where running words
-    meet ``_rest`` is searched by histograms: the block that meets it, a slice of this block,
-    a slice of that slice.  A group has at most ``MAX_BLOCKS`` rows whatever the source's size.
+def cut_point(placed: DataFrame, state: DataFrame) -> DataFrame:
+    """One pass of ``fill``: how far along the draws the documents of a source fit its room.
+
+    ``state`` holds (``_source``, ``_n_blocks``, ``_from``, ``_room``, ``_limit``): documents of
+    at most ``_limit`` words with a draw of at least ``_from`` may be taken.  The place where
+    their running words meet ``_room`` is searched by histograms: the block that meets it, a
+    slice of this block, a slice of that slice.  A group has at most ``MAX_BLOCKS`` rows
+    whatever the source's size.  Returns (``_source``, ``_to``, ``_left``).
     """
-    cut = rest.where(F.col("_rest") > 0).select(
-        "_source", F.col("_n_blocks").alias("_fan"), F.lit(0.0).alias("_low"), F.lit(1.0).alias("_width"),
-        F.col("_rest").alias("_room"),
+    cut = state.where(F.col("_room") > 0).select(
+        "_source", "_from", "_limit", F.col("_n_blocks").alias("_fan"), F.lit(0.0).alias("_low"),
+        F.lit(1.0).alias("_width"), "_room",
     )
-    rows = placed.select("_source", "_u", "size")
+    names = ["_source", "_from", "_limit", "_fan", "_low", "_width", "_room"]
     for _ in range(3):
-        inside = rows.join(cut, "_source").where(
+        inside = placed.select("_source", "_u", "size").join(cut, "_source").where(
             (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_low") + F.col("_width"))
+            & (F.col("_u") >= F.col("_from")) & (F.col("size") <= F.col("_limit"))
         )
         part = F.floor((F.col("_u") - F.col("_low")) / F.col("_width") * F.col("_fan"))
-        parts = inside.groupBy("_source", part.alias("_part"), "_low", "_width", "_room", "_fan").agg(F.sum("size").alias("_words"))
+        parts = inside.groupBy(*names, part.alias("_part")).agg(F.sum("size").alias("_words"))
         ahead = W.partitionBy("_source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
         parts = parts.withColumn("_before", F.coalesce(F.sum("_words").over(ahead), F.lit(0)))
         met = parts.where(F.col("_before") < F.col("_room")).groupBy("_source").agg(
-            F.max_by(F.struct("_part", "_before", "_low", "_width", "_room", "_fan"), "_part").alias("_m")
+            F.max_by(F.struct(*names[1:], "_part", "_before", "_words"), "_part").alias("_m")
         )
         step = F.col("_m._width") / F.col("_m._fan")
         cut = met.select(
-            "_source", F.lit(MAX_BLOCKS).cast("long").alias("_fan"), (F.col("_m._low") + F.col("_m._part") * step).alias("_low"),
-            step.alias("_width"), (F.col("_m._room") - F.col("_m._before")).alias("_room"),
+            "_source", "_m._from", "_m._limit", F.lit(MAX_BLOCKS).cast("long").alias("_fan"),
+            (F.col("_m._low") + F.col("_m._part") * step).alias("_low"), step.alias("_width"),
+            (F.col("_m._room") - F.col("_m._before")).alias("_room"), F.col("_m._words").alias("_words"),
         )
-    return cut.select("_source", (F.col("_low") + F.col("_width")).alias("_cut"))
+    fits = F.col("_words") <= F.col("_room")
+    return cut.select(
+        "_source", F.when(fits, F.col("_low") + F.col("_width")).otherwise(F.col("_low")).alias("_to"),
+        F.when(fits, F.col("_room") - F.col("_words")).otherwise(F.col("_room")).alias("_left"),
+    )
+
+
+def fill(placed: DataFrame, goals: DataFrame) -> DataFrame:
+    """Adds ``_spans`` and ``_cut`` to ``goals``: which documents make up the last, partial pass.
+
+    The first span takes documents in permuted order until the next one would overshoot.
+    Two more spans fill what is left with documents after it of at most a quarter of the gap,
+    so that one long document at the cut does not keep a source from its target.
+    """
+    state = goals.select("*", F.lit(0.0).alias("_from"), F.col("_rest").alias("_room"),
+                         F.lit(float("inf")).alias("_limit"), F.array().cast("array<struct<low:double,high:double,limit:double>>").alias("_spans"))
+    for _ in range(3):
+        state = materialize(state, "mix-fill")
+        found = state.join(cut_point(placed, state), "_source", "left")
+        to, left = F.coalesce("_to", "_from"), F.coalesce("_left", F.lit(0.0))
+        span = F.struct(F.col("_from").alias("low"), to.alias("high"), F.col("_limit").alias("limit"))
+        state = found.select(*goals.columns, to.alias("_from"), left.alias("_room"), (left / 4).alias("_limit"),
+                             F.concat("_spans", F.array(span)).alias("_spans"))
+    return materialize(state.select(*goals.columns, "_spans", F.col("_from").alias("_cut")), "mix-cuts")
 
 
 def plan_mix(
@@ -197,8 +224,8 @@ def plan_mix(
     array of (shard, position) with one entry per copy.  Documents of a source are permuted
     by hash and cut into blocks of about ``block_docs``, at most ``MAX_BLOCKS``.  The target
     takes whole passes over the source, then a last pass over its leading blocks that ends
-    inside the block that meets the target.  So a source misses its target by less than one
-    document, and no document is taken more than ``max_repeat`` times.  A null source is a
+    where the target is met (see ``fill``).  So a source misses its target by less than one of
+    its short documents, and no document is taken more than ``max_repeat`` times.  A null source is a
     source of its own; null or empty texts have size 0; rows that share an id are placed
     alike.  An empty table gives an empty mix.  Sizes are written once; texts are read once.
     """
@@ -215,9 +242,7 @@ def plan_mix(
         "_source", "source_size", "target", F.least(whole, F.lit(max_repeat)).cast("long").alias("_passes"),
         F.least(blocks_wanted.cast("long"), F.lit(MAX_BLOCKS)).alias("_n_blocks"),
     ).withColumn("_rest", F.round(F.col("target") - F.col("_passes") * F.col("source_size"), 6))
-    goals = materialize(goals, "mix-goals")
-    cuts = cut_points(sized, goals)
-    goals = materialize(goals.join(cuts, "_source", "left").withColumn("_cut", F.coalesce("_cut", F.lit(0.0))), "mix-cuts")
+    goals = fill(sized, materialize(goals, "mix-goals"))
     block = F.floor(F.col("_u") * F.col("_n_blocks"))
     placed = sized.drop("_name").join(goals, "_source").withColumn("_block", block)
 
@@ -247,7 +272,8 @@ def plan_mix(
     )
 
     joined = placed.join(dealt, ["_source", "_block"])
-    own = F.filter("_copies", lambda c: (c["_copy"] < F.col("_passes")) | (F.col("_u") < F.col("_cut")))
+    in_last = F.exists("_spans", lambda s: (s["low"] <= F.col("_u")) & (F.col("_u") < s["high"]) & (F.col("size") <= s["limit"]))
+    own = F.filter("_copies", lambda c: (c["_copy"] < F.col("_passes")) | in_last)
     places = F.transform(own, lambda c: F.struct(
         c["shard"].alias("shard"), draw(seed, F.lit("place"), F.col("_doc"), c["_copy"]).alias("position")
     ))
