@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, mixing
+from . import jaccard_join, line_dedup, mixing
 
 QUERIES, ORACLES = {}, {}
 
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op6_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op7_line_dedup", """
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
