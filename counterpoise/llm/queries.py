@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard_join, line_dedup, mixing
+from . import jaccard_join, line_dedup, mixing, url_cascade
 
 QUERIES, ORACLES = {}, {}
 
@@ -23,6 +23,30 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@query("op1_url_cascade", """
+with parts as (
+  select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+ruled as (
+  select *, case
+    when ('.' || host) like '%.www.example.com' and path like '/en/%' then 'www.example.com/en/'
+    when ('.' || host) like '%.example.com' and path like '/en/%' then 'example.com/en/'
+    when ('.' || host) like '%.net' and path like '/es/%' then 'net/es/'
+    when ('.' || host) like '%.net' and path like '/fr/%' then 'net/fr/'
+    when ('.' || host) like '%.com' and path like '/%' then 'com/' end as rule from parts)
+select *, case when rule in ('example.com/en/', 'net/es/', 'net/fr/') then 'block' else 'allow' end as verdict from ruled
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
+
+
 @query("op6_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
