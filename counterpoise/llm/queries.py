@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard_join, line_dedup, mixing, url_cascade
+from . import jaccard_join, line_dedup, mixing, quality, url_cascade
 
 QUERIES, ORACLES = {}, {}
 
@@ -47,6 +47,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
+@query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 @query("op6_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
