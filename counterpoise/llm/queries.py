@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard_join, line_dedup, mixing, quality, url_cascade
+from . import decontaminate, jaccard_join, line_dedup, mixing, quality, url_cascade
 
 QUERIES, ORACLES = {}, {}
 
@@ -85,3 +85,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.plan_mix(docs).withColumn("places", F.to_json("places"))
+
+
+@query("op2_decontaminate")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
