@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, quality, url_cascade
+from . import decontaminate, jaccard_join, line_dedup, mixing, personal_data, quality, url_cascade
 
 QUERIES, ORACLES = {}, {}
 
@@ -91,3 +91,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_personal_data")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in personal_data.KINDS],
+        F.sha2(personal_data.spelled(F.col("base")), 256).alias("base_sha256"),
+        personal_data.spelled(F.col("spans")).alias("spans"), F.sha2("clean", 256).alias("clean_sha256"),
+    )
