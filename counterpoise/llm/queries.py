@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, personal_data, quality, url_cascade
+from ..session import materialize, new_path
+from . import decontaminate, jaccard_join, line_dedup, mixing, personal_data, quality, token_rollup, topk, url_cascade
 
 QUERIES, ORACLES = {}, {}
 
@@ -105,3 +106,48 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(personal_data.spelled(F.col("base")), 256).alias("base_sha256"),
         personal_data.spelled(F.col("spans")).alias("spans"), F.sha2("clean", 256).alias("clean_sha256"),
     )
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@query("op5_token_rollup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over all documents: counts of two tokenizers come in, exact
+    copies go, counts of one tokenizer are revised by the end-of-text token, and the batch of
+    deletes is sent once more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").withColumns({
+        "words": F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long"),
+        "digest": F.xxhash64(F.coalesce("text", F.lit("")), F.length("text")),
+    })
+    counted = materialize(token_rollup.count_tokens(docs, VOCABULARY, SPLIT), "token-counts")
+    plain = counted.select("doc_id", "source", "lang", F.lit("words").alias("tokenizer"), F.col("words").alias("tokens"))
+    pieces = counted.select("doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), "tokens")
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("_first"))
+    copies = counted.join(first, "digest").where(F.col("doc_id") != F.col("_first"))
+    none = F.lit(None)
+    deletes = copies.select(
+        F.lit("delete").alias("op"), "doc_id", "source", "lang", none.cast("string").alias("tokenizer"), none.cast("long").alias("tokens")
+    )
+    kept = pieces.join(copies.select("doc_id"), "doc_id", "left_anti")
+    ledger = token_rollup.TokenLedger(spark, new_path(spark, "token-ledger"))
+    ledger.commit(1, plain.unionByName(pieces).withColumn("op", F.lit("insert")))
+    ledger.commit(2, deletes)
+    ledger.commit(3, kept.withColumn("op", F.lit("revise")).withColumn("tokens", F.col("tokens") + 1))
+    ledger.commit(2, deletes)
+    return ledger.totals()
+
+
+@query("op8_topk", """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+ranked as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::INTEGER as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)

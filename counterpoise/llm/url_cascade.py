@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -93,7 +94,7 @@ def build_level(keys: DataFrame, level: int, bits_per_key: float) -> DataFrame:
     """One filter per shard from (shard, h1, h2)."""
     hashes = max(1, round(bits_per_key * 0.693))
 
-    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         size = max(64, int(len(rows) * bits_per_key) + 7 & ~7)
         bits = np.zeros(size, bool)
         for place in places(rows["h1"].to_numpy().view(np.uint64), rows["h2"].to_numpy().view(np.uint64), level, hashes, size):
