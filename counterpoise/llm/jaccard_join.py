@@ -23,7 +23,7 @@ from .wordhash import mixed, shingles, slices, word_hashes
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999
-CHUNK = 128
+CHUNK = 256
 TILE_BYTES = 8 << 20
 
 
