@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, new_path
-from . import decontaminate, jaccard_join, line_dedup, mixing, personal_data, quality, token_rollup, topk, url_cascade
+from . import decontaminate, jaccard_join, line_dedup, mixing, personal_data, quality, suffix_dedup, token_rollup, topk, url_cascade
 
 QUERIES, ORACLES = {}, {}
 
@@ -151,3 +151,9 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 """)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

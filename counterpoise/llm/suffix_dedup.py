@@ -11,7 +11,6 @@ brought into order by external induced sorting.  Starts whose neighbour in this
 
 from __future__ import annotations
 
-import hashlib
 import math
 import os
 import tempfile
@@ -21,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import discard, materialize
+from ..session import materialize
 from .induced_sort import suffix_order
 from .wordhash import mixed
 
@@ -134,7 +133,6 @@ def repeated_starts(length: int):
                 return
             text = np.memmap(path, np.uint16, "r")
             order = suffix_order(text, folder)
-            begin = np.cumsum(np.array([0, *sizes]) + 1)[:-1] - 1
             begin = np.concatenate(([0], np.cumsum(np.array(sizes) + 1)))[:-1]
             yield runs(text, order, begin, np.array(sizes), pd.concat(names, ignore_index=True))
             del text
@@ -180,17 +178,15 @@ def long_rolling(text: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 def without(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(bytes left, bytes removed, maximal runs removed)."""
-    kept, at, removed, count = [], 0, 0, 0
-    last = -1
+    runs: list[list[int]] = []
     for a, b in sorted(spans):
-        if a > last:
-            kept.append(data[at:a])
-            count += 1
-        removed += max(0, b - max(a, last if last > a else a)) if a <= last else b - a
-        last = max(last, b)
-        at = last
-    kept.append(data[at:] if spans else data)
-    return b"".join(kept), removed, count
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    edges = [0, *[x for run in runs for x in run], len(data)]
+    kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    return kept, len(data) - len(kept), len(runs)
 
 
 def remove_repeats(
