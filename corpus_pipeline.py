@@ -1,13 +1,22 @@
-"""The corpus pipeline: documents in, mixed training documents out."""
+"""The corpus pipeline: documents in, mixed training documents out.
+
+Stages take (spark, docs, sf_dir) and return a frame; ``run`` writes each result and reads it
+again for the next stage.  The first four return the columns of documents; the last returns
+one row per copy that the mix takes, with its shard and place.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from counterpoise.llm import line_dedup, mixing
+from counterpoise.llm import decontaminate, jaccard_join, line_dedup, mixing, quality
 from counterpoise.session import materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, trained on the labels of this corpus, accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.keep_good(docs, labels)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,18 +24,35 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the smallest id stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents once per copy that the mix takes, with their shard and place in it."""
     return mixing.mix(docs)
 
 
-STAGES = [("line dedup", drop_repeated_lines), ("mixing", mix_sources)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources", mix_sources),
+]
 
+# the classifier and the near-copy join are beyond SQL; tests compare run() with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written and read again."""
+    """All stages over the documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
