@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .frames import without_ids
 from .wordhash import mixed, slices, word_hashes
 
 SIMILARITY = 0.8
@@ -287,5 +288,4 @@ def find_leaks(
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Documents that leak no item; rows without an id stay."""
-    leaks = find_leaks(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, F.col(id_col) == F.col("_leak"), "left_anti")
+    return without_ids(docs, id_col, find_leaks(docs, benchmark, id_col, **options), id_col)

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import discard, materialize
+from .frames import without_ids
 from .graph import components
 from .wordhash import mixed, shingles, slices, word_hashes
 
@@ -239,5 +240,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Documents with a null id or without words stay.
     """
     groups = jaccard_join(docs, id_col, text_col, **options)
-    gone = groups.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return without_ids(docs, id_col, groups.where(F.col(id_col) != F.col("class_id")), id_col)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .frames import packed, unpacked
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -61,22 +63,18 @@ def dedup_lines(
     repeated = repeated_lines(marks, min_docs)
     gone = marks.join(repeated, ["_h1", "_h2"]).where(F.col("_doc") < F.col("_keeper"))
     cuts = gone.groupBy("_doc").agg(F.array_sort(F.collect_set("_pos")).alias("_cuts"))
-    joined = docs.join(cuts, F.col(id_col) == F.col("_doc"), "left")
+    joined = packed(docs, id=F.col(id_col), text=F.col(text_col)).join(cuts, F.col("id") == F.col("_doc"), "left")
 
-    lines = lines_of(F.col(text_col))
+    lines = lines_of(F.col("text"))
     none = F.array().cast("array<int>")
     cut = F.coalesce("_cuts", none)
     # the stretches between two dropped positions, so that long documents take linear time
     starts = F.concat(F.array(F.lit(-1)), cut)
     ends = F.concat(cut, F.array(F.size("_lines")))
     stretches = F.zip_with(starts, ends, lambda a, b: F.slice("_lines", a + 2, b - a - 1))
-    kept = F.when(F.size(cut) == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(
+    kept = F.when(F.size(cut) == 0, F.coalesce("text", F.lit(""))).otherwise(
         F.array_join(F.flatten(stretches), "\n")
     )
     out = joined.withColumn("_lines", lines).withColumn("_kept", kept)
-    others = [F.col("_kept").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(
-        *others,
-        F.size("_lines").cast("long").alias("_n_lines"),
-        F.size(cut).cast("long").alias("_n_dropped"),
-    )
+    counts = {"_n_lines": F.size("_lines").cast("long"), "_n_dropped": F.size(cut).cast("long")}
+    return unpacked(out, docs.columns, **{text_col: F.col("_kept")}, **counts)

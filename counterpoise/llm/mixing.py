@@ -14,12 +14,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import materialize
+from .frames import packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SHARDS = 16
 BLOCK_DOCS = 64
 MAX_BLOCKS = 4096
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -163,8 +165,10 @@ def cut_point(placed: DataFrame, state: DataFrame) -> DataFrame:
         F.lit(1.0).alias("_width"), "_room",
     )
     names = ["_source", "_from", "_limit", "_fan", "_low", "_width", "_room"]
+    few = state.count() <= BROADCAST_SOURCES
     for _ in range(3):
-        inside = placed.select("_source", "_u", "size").join(cut, "_source").where(
+        # a hot source must not meet its one row in one task
+        inside = placed.select("_source", "_u", "size").join(F.broadcast(cut) if few else cut, "_source").where(
             (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_low") + F.col("_width"))
             & (F.col("_u") >= F.col("_from")) & (F.col("size") <= F.col("_limit"))
         )
@@ -244,7 +248,8 @@ def plan_mix(
     ).withColumn("_rest", F.round(F.col("target") - F.col("_passes") * F.col("source_size"), 6))
     goals = fill(sized, materialize(goals, "mix-goals"))
     block = F.floor(F.col("_u") * F.col("_n_blocks"))
-    placed = sized.drop("_name").join(goals, "_source").withColumn("_block", block)
+    few = goals.count() <= BROADCAST_SOURCES
+    placed = sized.drop("_name").join(F.broadcast(goals) if few else goals, "_source").withColumn("_block", block)
 
     # every copy of a block is one of the source's quota: numbered pass by pass, then by block
     blocks = placed.groupBy("_source", "_block", "_n_blocks", "_passes", "_cut").agg(F.lit(1).alias("_one"))
@@ -291,5 +296,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, **options
     places = plan_mix(docs, id_col, shards=shards, **options).select(
         F.col(id_col).alias("_doc"), F.inline("places")
     ).distinct()
-    mixed = docs.join(places, F.col(id_col) == F.col("_doc")).drop("_doc")
+    rows = packed(docs, id=F.col(id_col)).join(places, F.col("id").eqNullSafe(F.col("_doc")))
+    mixed = unpacked(rows, docs.columns, shard=F.col("shard"), position=F.col("position"))
     return mixed.repartition(shards, "shard").sortWithinPartitions("shard", "position")

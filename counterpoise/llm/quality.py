@@ -17,6 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import discard, materialize
+from .frames import without_ids
 
 TRAIN_ROWS = 20_000
 TREES = 24
@@ -158,6 +159,6 @@ def score_documents(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts; rows without an id stay."""
     bad = score_documents(docs, labels, id_col, **options).where(F.col("predicted") == 0)
-    return docs.join(bad.select(F.col(id_col).alias("_bad")), F.col(id_col) == F.col("_bad"), "left_anti")
+    return without_ids(docs, id_col, bad, id_col)

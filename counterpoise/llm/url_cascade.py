@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import discard, materialize
+from .frames import packed, unpacked
 
 SHARD_KEYS = 1 << 16
 MAX_BROADCAST = 64 << 20
@@ -224,10 +225,11 @@ def filter_urls(
     a url's possible keys are rules is asked of a cascade over all possible keys of the pages.
     A url without a rule is blocked if its host is in ``blocked_hosts`` (column ``key``), asked
     of a second cascade over all hosts, and else gets ``default``.  A url that is null or has
-    no ``://`` has an empty host and path and so the default verdict.
+    no ``://`` has an empty host and path and so the default verdict.  Columns of ``pages`` that
+    have one of the added names are replaced.
     """
     spark = pages.sparkSession
-    parsed = pages.select("*", url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    parsed = packed(pages, host=url_host(F.col(url_col)), path=url_path(F.col(url_col)))
     keyed = [(h, p, v) for v, h, p in rules]
     names = spark.createDataFrame([(h + p,) for h, p, _ in keyed], "key string")
     candidates = rule_candidates(F.col("host"), F.col("path"), keyed) if keyed else F.array().cast("array<string>")
@@ -252,7 +254,6 @@ def filter_urls(
             found = listed_by_shard(hosts, parsed, "host").withColumnRenamed("listed", "_listed")
             ruled, blocked = ruled.join(found, "host"), F.col("_listed")
         method = F.when(blocked, F.lit("block")).otherwise(method)
-    return ruled.withColumn("_method", method).select(
-        *[F.col(c) for c in pages.columns], "host", "path", "rule",
-        F.when(F.col("rule").isNotNull(), own).otherwise(F.col("_method")).alias("verdict"),
-    )
+    verdict = F.when(F.col("rule").isNotNull(), own).otherwise(F.col("_method"))
+    found = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "verdict": verdict}
+    return unpacked(ruled.withColumn("_method", method), pages.columns, **found)
