@@ -7,7 +7,7 @@ one row per copy that the mix takes, with its shard and place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from counterpoise.llm import decontaminate, jaccard_join, line_dedup, mixing, quality
 from counterpoise.session import materialize
@@ -21,7 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines repeated across documents go; documents stay."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    kept = line_dedup.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
