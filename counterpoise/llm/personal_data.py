@@ -88,7 +88,7 @@ def find_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             values = [sorted({(t or "")[a:b] for _, a, b in base_spans(t)}) for t in batch["text"]]
             some = [bool(v) for v in values]
-            yield pd.DataFrame({"_doc": batch["doc"][some], "_hash": batch["hash"][some], "_values": [v for v in values if v]})
+            yield pd.DataFrame({"_doc": batch["doc"][some], "_hash": batch["hash"][some], "_values": pd.Series([v for v in values if v], dtype=object).to_numpy()})
 
     kind = dict(docs.dtypes)[id_col]
     given = docs.where(F.col(id_col).isNotNull()).select(
@@ -169,8 +169,10 @@ def sanitise(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [cleaned(t, m, remove_at) for t, m in zip(batch["_text"], batch["_terms"])]
-            yield pd.DataFrame({"_id": batch["_id"], "base": [r[0] for r in rows], "spans": [r[1] for r in rows],
-                                "clean": [r[2] for r in rows]})
+            yield pd.DataFrame({
+                "_id": batch["_id"].to_numpy(), "clean": [r[2] for r in rows],
+                **{c: pd.Series([r[k] for r in rows], dtype=object) for k, c in enumerate(("base", "spans"))},
+            })
 
     out = both.select("_id", "_text", "_terms").mapInPandas(run, f"_id {kind}, base {span}, spans {span}, clean string")
     return out.withColumnRenamed("_id", id_col)
