@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-IN_MEMORY = 1 << 20
+IN_MEMORY = 1 << 21
 QUEUE_BYTES = 64 << 20
 FRONT = 1 << 14
 NEVER = np.int64(1 << 62)
@@ -135,22 +135,34 @@ def types(text: np.ndarray) -> np.ndarray:
     return step[following] > 0
 
 
-def doubled(text: np.ndarray) -> np.ndarray:
-    """Suffix order of a text that fits memory, by doubling ranks."""
+def doubled(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffix order of a text that fits memory, by doubling ranks of the groups still tied.
+
+    Suffixes that agree in ``depth`` letters may come in any order.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while True:
-        following = np.zeros(n, np.int64)
-        following[: max(0, n - width)] = rank[width:] + 1
-        both = rank * (n + 2) + following
-        order = np.argsort(both, kind="stable")
-        ranks = np.cumsum(np.concatenate(([0], both[order][1:] != both[order][:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = ranks
-        if n == 0 or ranks[-1] == n - 1:
-            return order
+    order = np.argsort(text, kind="stable")
+    letters = text[order]
+    first = np.flatnonzero(np.concatenate(([True], letters[1:] != letters[:-1])))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, np.diff(np.append(first, n)))
+    sizes = np.bincount(rank, minlength=n)
+    open_, width = np.flatnonzero(sizes[rank] > 1), 1
+    while len(open_) and width < depth:
+        following = np.full(len(open_), -1, np.int64)
+        inside = open_ + width < n
+        following[inside] = rank[open_[inside] + width]
+        by = np.argsort(rank[open_] * (n + 1) + following + 1, kind="stable")
+        open_, group, following = open_[by], rank[open_[by]], following[by]
+        new_group = np.concatenate(([True], group[1:] != group[:-1]))
+        new = new_group | np.concatenate(([True], following[1:] != following[:-1]))
+        at = np.arange(len(open_))
+        start = np.maximum.accumulate(np.where(new, at, 0))
+        rank[open_] = group + start - np.maximum.accumulate(np.where(new_group, at, 0))
+        alone = new & np.append(new[1:], True)
+        open_ = open_[~alone]
         width *= 2
+    return np.argsort(rank, kind="stable")
 
 
 def same_substrings(text: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -166,11 +178,17 @@ def same_substrings(text: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.n
     return same
 
 
-def suffix_order(text: np.ndarray, folder: str, memory: int = QUEUE_BYTES, in_memory: int = IN_MEMORY) -> np.ndarray:
-    """Positions of all suffixes in order.  The last letter must be smaller than all others."""
+def suffix_order(
+    text: np.ndarray, folder: str, depth: int | None = None, memory: int = QUEUE_BYTES, in_memory: int = IN_MEMORY,
+) -> np.ndarray:
+    """Positions of all suffixes in order.  The last letter must be smaller than all others.
+
+    Suffixes that agree in ``depth`` letters may come in any order among themselves.
+    """
     n = len(text)
+    depth = n if depth is None else depth
     if n <= in_memory:
-        return doubled(np.asarray(text))
+        return doubled(np.asarray(text), depth)
     small = types(text)
     star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     large = ~small
@@ -192,6 +210,7 @@ def suffix_order(text: np.ndarray, folder: str, memory: int = QUEUE_BYTES, in_me
     if names[-1] + 1 < len(star):
         reduced = np.empty(n, np.int64)
         reduced[found] = names
-        order = suffix_order(reduced[star], folder, memory, in_memory)
+        # a name stands for two letters at least
+        order = suffix_order(reduced[star], folder, depth // 2 + 1, memory, in_memory)
         found = star[order]
     return all_from(found)

@@ -20,14 +20,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .induced_sort import suffix_order
 from .wordhash import mixed
 
 LENGTH = 400
-GRAM = 64
+GRAM = 200
 CHUNK = 1 << 20
 SHARD_BYTES = 4 << 20
+BROADCAST_ROWS = 500_000
 PLACE = np.uint64((1 << 24) - 1)
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
@@ -98,10 +99,10 @@ def find_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInPandas(run, "doc long, key long, first long, starts long, one long, two long")
 
 
-def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted segments, (key, one, two, many, bytes)."""
+def cut_out(docs: DataFrame, wanted: DataFrame, length: int, few: bool) -> DataFrame:
+    """Bytes of the wanted segments, (key, one, two, many, bytes); ``few`` rows are sent to the texts."""
     asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "one", "two", "many", "first", "starts")).alias("asked"))
-    joined = docs.join(asked, "doc").select("text", "asked")
+    joined = docs.join(F.broadcast(asked) if few else asked, "doc").select("text", "asked")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -132,7 +133,7 @@ def repeated_starts(length: int):
             if not sizes:
                 return
             text = np.memmap(path, np.uint16, "r")
-            order = suffix_order(text, folder)
+            order = suffix_order(text, folder, length)
             begin = np.concatenate(([0], np.cumsum(np.array(sizes) + 1)))[:-1]
             yield runs(text, order, begin, np.array(sizes), pd.concat(names, ignore_index=True))
             del text
@@ -201,22 +202,24 @@ def remove_repeats(
     """
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     found = materialize(find_segments(given, length, gram), "segments")
-    kinds = found.groupBy("key", "one", "two").agg(
+    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
+    again = materialize(found.join(materialize(keys, "keys"), "key", "left_semi"), "repeated")
+    discard(found)
+    kinds = again.groupBy("key", "one", "two").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "first", "starts")).alias("where")
     )
-    # of each anchor: how many places, how many different segments, are some of these single?
-    keys = kinds.groupBy("key").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-    keys = keys.where(F.col("places") > 1).select("key", ((F.col("kinds") > 1) & (F.col("least") == 1)).alias("mixed"))
-    kinds = materialize(kinds.join(keys, "key").select("key", "one", "two", (F.col("n") > 1).alias("many"), "mixed", "where"), "kinds")
+    # of each anchor: several different segments, some of them single?
+    mixed_keys = kinds.groupBy("key").agg(((F.count(F.lit(1)) > 1) & (F.min("n") == 1)).alias("mixed"))
+    kinds = materialize(kinds.join(mixed_keys, "key").select("key", "one", "two", (F.col("n") > 1).alias("many"), "mixed", "where"), "kinds")
 
     wanted = kinds.where("mixed").select("key", "one", "two", "many", "where.*")
-    total = wanted.agg(F.sum(F.col("starts") + length)).first()[0] or 0
+    rows, total = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("starts") + length), F.lit(0))).first()
     parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(total / SHARD_BYTES))
-    shards = cut_out(given, wanted, length).repartition(parts, "key")
+    shards = cut_out(given, wanted, length, rows <= BROADCAST_ROWS).repartition(parts, "key")
     single = materialize(shards.mapInPandas(repeated_starts(length), "key long, one long, two long, `from` long, `to` long"), "repeats")
 
     names = ["key", "one", "two"]
-    whole = found.join(kinds.where("many").select(*names), names).select(
+    whole = again.join(kinds.where("many").select(*names), names).select(
         "doc", F.col("first").alias("a"), (F.col("first") + F.col("starts") + length - 1).alias("b")
     )
     # a segment that occurs once belongs to one document, which its row names

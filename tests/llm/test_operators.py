@@ -356,7 +356,7 @@ def test_induced_order():
             x = np.append(np.tile(x[:-1], 3), 0) if t % 3 == 0 else x
             letters = x.tolist()
             want = sorted(range(len(letters)), key=lambda i: letters[i:])
-            assert induced_sort.suffix_order(x, folder, memory=[64, 1 << 20][t % 2], in_memory=2).tolist() == want
+            assert induced_sort.suffix_order(x, folder, None, [64, 1 << 20][t % 2], 2).tolist() == want
 
 
 @pytest.mark.parametrize("length,gram", [(400, 64), (60, 20)])
