@@ -26,6 +26,9 @@ HEADLINE = [
 ]
 
 
+WORK = "file:///tmp/checkpoints"
+
+
 def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     path = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -34,7 +37,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", WORK)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -14,7 +14,19 @@ TIE_DIGITS = 9
 def same_size(a: Column, b: Column) -> Column:
     """``a``, or an error when the two vectors differ in length."""
     message = F.concat(F.lit("vector sizes differ: "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"))
-    return F.when(F.size(a) == F.size(b), a).otherwise(F.raise_error(message).cast("array<double>"))
+    return F.when(F.size(a) != F.size(b), F.raise_error(message).cast("array<double>")).otherwise(a)
+
+
+def checked(measure: Callable[..., Column]) -> Callable[..., Column]:
+    """The measure, with an error where vectors, weights or matrix differ in size; null stays null."""
+
+    def run(a: Column, b: Column, *more, **options) -> Column:
+        for value in (*more, *options.values()):
+            if isinstance(value, Column):
+                b = same_size(b, value)
+        return measure(same_size(a, b), b, *more, **options)
+
+    return run
 
 
 def total(values: Column) -> Column:
@@ -87,17 +99,22 @@ def mahalanobis(a: Column, b: Column, inverse: Column) -> Column:
     return F.sqrt(dot(gap, projected))
 
 
+def mahalanobis_to_mean(a: Column, mean: Column, inverse: Column) -> Column:
+    """Distance of a vector to the mean of its distribution; sizes must agree."""
+    return MEASURES["mahalanobis"](a, mean, inverse)
+
+
 MEASURES: dict[str, Callable[..., Column]] = {
-    "sq_euclidean": sq_euclidean,
-    "euclidean": euclidean,
-    "manhattan": manhattan,
-    "chebyshev": chebyshev,
-    "minkowski": minkowski,
-    "cosine": cosine,
-    "tanimoto": tanimoto,
-    "weighted_euclidean": weighted_euclidean,
-    "weighted_manhattan": weighted_manhattan,
-    "mahalanobis": mahalanobis,
+    "sq_euclidean": checked(sq_euclidean),
+    "euclidean": checked(euclidean),
+    "manhattan": checked(manhattan),
+    "chebyshev": checked(chebyshev),
+    "minkowski": checked(minkowski),
+    "cosine": checked(cosine),
+    "tanimoto": checked(tanimoto),
+    "weighted_euclidean": checked(weighted_euclidean),
+    "weighted_manhattan": checked(weighted_manhattan),
+    "mahalanobis": checked(mahalanobis),
 }
 
 

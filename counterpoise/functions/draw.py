@@ -21,19 +21,25 @@ def hash32(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def hash52(*parts: Column) -> Column:
+    """Unsigned 52-bit hash of the '|'-joined parts, as a long."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
 def u(seed, *keys) -> Column:
-    """Uniform draw in [0, 1) for each row key."""
-    return hash32(F.lit(str(seed)), *[_key(k) for k in keys]) / F.lit(4294967296.0)
+    """Uniform draw in [0, 1) for each row key; 52 bits reach every place of a table of any size."""
+    return hash52(F.lit(str(seed)), *[_key(k) for k in keys]) / F.lit(float(1 << 52))
 
 
 def u_open(seed, *keys) -> Column:
     """Uniform draw in (0, 1)."""
-    return (hash32(F.lit(str(seed)), *[_key(k) for k in keys]) + F.lit(0.5)) / F.lit(4294967296.0)
+    return (hash52(F.lit(str(seed)), *[_key(k) for k in keys]) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def u_closed(seed, *keys) -> Column:
     """Uniform draw in [0, 1]."""
-    return hash32(F.lit(str(seed)), *[_key(k) for k in keys]) / F.lit(4294967295.0)
+    return hash52(F.lit(str(seed)), *[_key(k) for k in keys]) / F.lit(float((1 << 52) - 1))
 
 
 def integer(seed, low: int, high: int, *keys, closed_low: bool = True, closed_high: bool = False) -> Column:

@@ -62,8 +62,10 @@ def random_oversample(
     row outside the majority appears ``floor(f)`` or ``floor(f) + 1`` times, the latter
     with the probability of the fraction of ``f = majority / minority``.
 
-    Rows are only read and exploded: no shuffle beyond the class counts.
+    Rows are only read and exploded: no shuffle beyond the class counts.  Rows without a
+    label are dropped.
     """
+    df = df.where(F.col(label).isNotNull())
     major, minor, summary = _sizes(df, label, npos, nneg)
     if negclass is None and summary is None:
         raise ValueError("negclass is needed when class sizes are given")
@@ -89,7 +91,11 @@ def random_undersample(
     nneg: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """Keep every positive row and each other row with probability ``minority / majority``."""
+    """Keep every positive row and each other row with probability ``minority / majority``.
+
+    Rows without a label are dropped.
+    """
+    df = df.where(F.col(label).isNotNull())
     major, minor, summary = _sizes(df, label, npos, nneg)
     if posclass is None and summary is None:
         raise ValueError("posclass is needed when class sizes are given")

@@ -120,9 +120,12 @@ def interaction_slots(name: str, a: Column, b: Column, cardinality: int, probes:
 def encode_interaction(
     df: DataFrame, row: str, a: str, b: str, name: str | None = None, weight: float = 1.0,
     cardinality: int = CARDINALITY, probes: int = PROBES,
+    a_weights: DataFrame | None = None, b_weights: DataFrame | None = None,
 ) -> DataFrame:
+    """Pairs of values; each counts ``weight`` times the weights of both its words."""
     places = interaction_slots(name or f"{a}:{b}", F.col(a), F.col(b), cardinality, probes)
-    return _gather(df, row, places, F.lit(float(weight)))
+    weighted = with_weights(with_weights(df, a, a_weights, "_a_weight"), b, b_weights, "_b_weight")
+    return _gather(weighted, row, places, float(weight) * F.col("_a_weight") * F.col("_b_weight"))
 
 
 def encode(df: DataFrame, row: str, parts: list[DataFrame]) -> DataFrame:

@@ -24,7 +24,7 @@ EPSILON = 1e-6
 def _draw(*parts) -> float:
     """The draw of functions/draw.py, for decisions about the model itself."""
     digest = hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()
-    return int(digest[:8], 16) / 4294967296.0
+    return int(digest[:13], 16) / float(1 << 52)
 
 
 def bag_rows(df: DataFrame, ids: list[str], n_trees: int, partitions: int | None, seed="bag") -> DataFrame:

@@ -135,13 +135,16 @@ def weigh(
     """Weighted vectors (doc, term_id, val).
 
     Terms in more than ``max_df_pct`` percent of the documents are dropped; a document
-    frequency below ``min_df`` is raised to it, the term stays.
+    frequency below ``min_df`` is raised to it, the term stays.  A formula gets (tf, df,
+    number of features, number of documents).
     """
     n_docs = vector_count(vectors, doc)
     frequent = document_frequency(vectors).withColumn("_n", n_docs)
     kept = frequent.where(100.0 * F.col("df") / F.col("_n") <= max_df_pct)
     formula = WEIGHTS[weight] if isinstance(weight, str) else weight
-    val = formula(F.col("tf"), F.greatest(F.col("df"), F.lit(min_df)), F.lit(None), F.col("_n"))
+    # as wide as the dictionary; a formula that does not use it costs nothing
+    length = vectors.agg(F.max("term_id") + 1).scalar()
+    val = formula(F.col("tf"), F.greatest(F.col("df"), F.lit(min_df)), length, F.col("_n"))
     return vectors.join(kept, "term_id").select(doc, "term_id", val.alias("val"))
 
 

@@ -64,8 +64,10 @@ def undersample(t: Tables) -> DataFrame:
 BUCKET_SQL = f"""base as materialized (
  select id, cls, l_quantity, l_extendedprice, l_discount, l_linestatus, cast(l_linenumber as varchar) as l_line
  from {LI_SQL}),
-split as materialized (select *, cast(floor({u_sql('p', 'id')} * (select ceil(count(*) / 500.0) from base)) as integer) as grp
- from base)"""
+mino as materialized (select cls as minority, n as npos, (select max(m) - min(m) from (select count(*) as m from base group by cls)) as lack,
+ greatest(1, n // 128) as buckets from (select cls, count(*) as n from base group by cls) order by n, cls limit 1),
+split as materialized (select b.*, ((row_number() over (partition by cls order by {u_sql('p', 'id')}, id) - 1) % buckets)::INTEGER as grp
+ from base b, mino)"""
 
 VDM_SQL = """cats as (select grp, cls, 'l_linestatus' as attr, l_linestatus as value from split
  union all select grp, cls, 'l_line', l_line from split),
@@ -75,9 +77,8 @@ vdm as materialized (select a.grp, a.attr, a.value as a, b.value as b,
  sqrt((a.pn - b.pn) * (a.pn - b.pn) + (a.pp - b.pp) * (a.pp - b.pp)) as distance
  from shares a join shares b on a.grp = b.grp and a.attr = b.attr)"""
 
-CLASS_SQL = """counts as (select grp, cls, count(*) as n from split group by all),
-sizes as materialized (select grp, arg_min(cls, n * 10 + case when cls = 'neg' then 0 else 1 end) as minority, min(n) as npos,
- case when count(*) > 1 then max(n) - min(n) else 0 end as lack from counts group by grp)"""
+CLASS_SQL = """sizes as materialized (select grp, minority, count(*) filter (cls = minority) as npos,
+ lack // buckets + case when grp < lack % buckets then 1 else 0 end as lack from split, mino group by grp, minority, lack, buckets)"""
 
 NEAR_SQL = """sigma as materialized (select grp, stddev_pop(l_quantity) as s1, stddev_pop(l_extendedprice) as s2, stddev_pop(l_discount) as s3
  from split group by grp),
@@ -113,7 +114,7 @@ def _rows(t: Tables) -> DataFrame:
 
 
 def _split(t: Tables) -> DataFrame:
-    return smote.assign_buckets(_rows(t), "id")
+    return smote.deal_buckets(_rows(t), "cls", "id")
 
 
 def _rounded(df: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ CP_SQL = """(select o_custkey as "row", l_partkey as col, sum(l_quantity) as val
 
 def u_sql(seed, *keys: str) -> str:
     """SQL text of the draw in functions/draw.py."""
-    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 8))::UBIGINT / 4294967296::DOUBLE)"
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 13))::UBIGINT / 4503599627370496::DOUBLE)"
 
 
 def r6(col: Column | str, digits: int = 6) -> Column:

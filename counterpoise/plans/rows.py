@@ -190,12 +190,12 @@ def interleave(t: Tables) -> DataFrame:
     return sample.interleave_classes(t.li.select("id", "cls"), "cls", ["id"], "pos")
 
 
-_G = f"sqrt(-2 * ln((({u_sql('gr', 'o_orderkey')} * 4294967296 + 0.5) / 4294967296::DOUBLE))) * cos(2 * pi() * {u_sql('ga', 'o_orderkey')})"
+_G = f"sqrt(-2 * ln((({u_sql('gr', 'o_orderkey')} * 4503599627370496 + 0.5) / 4503599627370496::DOUBLE))) * cos(2 * pi() * {u_sql('ga', 'o_orderkey')})"
 
 
 @query("random_columns", f"""select o_orderkey, {u_sql('a', 'o_orderkey')} as half_open,
- ({u_sql('b', 'o_orderkey')} * 4294967296 + 0.5::DOUBLE) / 4294967296::DOUBLE as open,
- ({u_sql('c', 'o_orderkey')} * 4294967296) / 4294967295::DOUBLE as closed,
+ ({u_sql('b', 'o_orderkey')} * 4503599627370496 + 0.5::DOUBLE) / 4503599627370496::DOUBLE as open,
+ ({u_sql('c', 'o_orderkey')} * 4503599627370496) / 4503599627370495::DOUBLE as closed,
  cast(floor({u_sql('i', 'o_orderkey')} * 10) as bigint) + 1 as whole, {r6_sql(_G)} as normal,
  {r6_sql(f"case when {u_sql('ts', 'o_orderkey')} <= 0.25::DOUBLE then sqrt({u_sql('th', 'o_orderkey')}) else 4 - 3 * sqrt({u_sql('th', 'o_orderkey')}) end")} as triangle
 from orders""")

@@ -111,6 +111,16 @@ def tf_lognorm(t: Tables) -> DataFrame:
     return found.withColumn("val", r6("val"))
 
 
+@query("tfidf_custom_weight", f"""with {DF}, f as (select max(term_id) + 1 as length from tf)
+select doc_id, term_id, {r6_sql('tf / ln(1 + length) * ln(1 + n / df::DOUBLE)')} as val
+from tf join df using (term_id), nd, f where 100.0 * df / n <= 99""")
+def tfidf_custom_weight(t: Tables) -> DataFrame:
+    def formula(tf, df, length, n_docs):
+        return tf / F.ln(1 + length) * F.ln(1 + n_docs / df)
+
+    return text.weigh(_vectors(t)[0], "doc_id", formula).withColumn("val", r6("val"))
+
+
 @query("tfidf_normalized", f"with {TFIDF} select doc_id, term_id, {r6_sql('val / sqrt(sum(val * val) over (partition by doc_id))')} as val from w")
 def tfidf_normalized(t: Tables) -> DataFrame:
     return _tfidf(t, power=2.0).withColumn("val", r6("val"))
@@ -229,11 +239,18 @@ def hash_numeric(t: Tables) -> DataFrame:
     return encode.encode(t.part, "p_partkey", [price, bias]).withColumn("val", r6("val"))
 
 
-@query("hash_interaction", f"""select p_partkey as "row", col, {r6_sql('count(*)')} as val from (
- select p_partkey, ({_slot("'p_brand:p_type'", 'p_brand', '100 + p')} + {_slot("'p_brand:p_type'", 'p_type', '100 + p')}) % 5000 as col
- from part, (select unnest([0, 1]) as p)) group by all""")
+@query("hash_interaction", f"""with bw as (select p_brand, 1 + count(*) / 1000.0::DOUBLE as w from part where p_size <= 25 group by 1),
+tw as (select p_type, 2 + min(p_size) / 10.0::DOUBLE as w from part where p_size > 25 group by 1),
+rows as (select p_partkey, p_brand, p_type, coalesce(bw.w, (select min(w) / 2 from bw)) * coalesce(tw.w, (select min(w) / 2 from tw)) as w
+ from part left join bw using (p_brand) left join tw using (p_type))
+select p_partkey as "row", col, {r6_sql('sum(3 * w)')} as val from (
+ select p_partkey, w, ({_slot("'p_brand:p_type'", 'p_brand', '100 + p')} + {_slot("'p_brand:p_type'", 'p_type', '100 + p')}) % 5000 as col
+ from rows, (select unnest([0, 1]) as p)) group by all""")
 def hash_interaction(t: Tables) -> DataFrame:
-    return encode.encode_interaction(t.part, "p_partkey", "p_brand", "p_type").withColumn("val", r6("val"))
+    brands = t.part.where("p_size <= 25").groupBy(F.col("p_brand").alias("word")).agg((1 + F.count(F.lit(1)) / 1000).alias("weight"))
+    types = t.part.where("p_size > 25").groupBy(F.col("p_type").alias("word")).agg((2 + F.min("p_size") / 10).alias("weight"))
+    coded = encode.encode_interaction(t.part, "p_partkey", "p_brand", "p_type", weight=3.0, a_weights=brands, b_weights=types)
+    return coded.withColumn("val", r6("val"))
 
 
 @query("hash_trace", f"""select distinct field, value, {_slot('field', 'value', '100 + p')} as slot from (

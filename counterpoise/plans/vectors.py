@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import distance
 from ..functions.info import llr_sql
-from ..operators import matrix, similarity
+from ..operators import matrix, similarity, solve
 from .base import CP_SQL, Tables, query, r6, r6_sql, u_sql
 
 # Seeds are the mean vectors of the labels, so every vector of the table is used.
@@ -43,7 +43,7 @@ DISTANCE_SQL = {
     "tanimoto": f"1 - {_DOT} / greatest({_CC} + {_VV} - {_DOT}, {_DOT})",
     "weighted_euclidean": f"sqrt({_ls('(p[1] - p[2]) * (p[1] - p[2]) * p[3]', _W3)})",
     "weighted_manhattan": _ls("abs(p[1] - p[2]) * p[3]", _W3),
-    "mahalanobis": f"sqrt({_ls('(p[1] - p[2]) * (p[1] - p[2]) * p[3]', _W3)})",
+    "mahalanobis": f"sqrt({_ls('(p[1] - p[2]) * (p[1] - p[2]) * p[3]', _W3)} + 0.25::DOUBLE * pow({_ls('p[1] - p[2]')}, 2))",
 }
 
 
@@ -51,9 +51,9 @@ def _options(t: Tables, name: str) -> dict:
     if name.startswith("weighted"):
         return {"weights": _weights(t)}
     if name == "mahalanobis":
-        # inverse covariance with the inverse variances on its diagonal
+        # a full matrix: the inverse variances on its diagonal, and a quarter everywhere
         one = t.emb.agg(F.count(F.lit(1))).select(_weights(t).alias("w"))
-        rows = F.transform("w", lambda x, i: F.transform("w", lambda y, j: F.when(i == j, x).otherwise(F.lit(0.0))))
+        rows = F.transform("w", lambda x, i: F.transform("w", lambda y, j: F.when(i == j, x + 0.25).otherwise(F.lit(0.25))))
         return {"inverse": one.select(rows).scalar()}
     return {}
 
@@ -66,6 +66,19 @@ for _name, _expr in DISTANCE_SQL.items():
         return found.withColumn("distance", r6("distance"))
 
 
+@query("mahalanobis_to_mean", f"""with m as (select avg(l_quantity) as mq, avg(l_extendedprice) as mp, var_samp(l_quantity) as vq,
+ var_samp(l_extendedprice) as vp, covar_samp(l_quantity, l_extendedprice) as c from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, {r6_sql("""sqrt((vp * (l_quantity - mq) * (l_quantity - mq)
+ - 2 * c * (l_quantity - mq) * (l_extendedprice - mp) + vq * (l_extendedprice - mp) * (l_extendedprice - mp)) / (vq * vp - c * c))""", 5)} as distance
+from lineitem, m""")
+def mahalanobis_to_mean(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array("l_quantity", "l_extendedprice").alias("vec"))
+    mean, cov = solve.covariance(rows, "vec")
+    inverse = solve.array_literal(solve.inverse_covariance(cov))
+    found = distance.mahalanobis_to_mean(F.col("vec"), solve.array_literal(mean), inverse)
+    return rows.withColumn("distance", r6(found, 5)).drop("vec")
+
+
 @query("vector_distance_v", f"""with {SEEDS_SQL}, d as (select s.label, vec_id, sqrt({_ls('(p[1] - p[2]) * (p[1] - p[2])')}) as distance from e, seeds s)
 select vec_id, list(distance order by label)[1]::DECIMAL(18,5)::VARCHAR as first, len(list(distance)) as n,
  {r6_sql('sum(distance)', 5)} as total from d group by vec_id""")

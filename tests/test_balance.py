@@ -84,7 +84,7 @@ def numbers(spark, n=400, share=4):
 def test_smote_balances_every_bucket_between_parents(spark):
     df = numbers(spark)
     split = smote.assign_buckets(df, "id", partitions=3)
-    made = smote.synthesize(split, "label", "id", ["x", "y"], ["g"])
+    made = smote.synthesize(split, "label", "id", ["x", "y"], ["g"], per_bucket=True)
     need = split.groupBy("grp").agg((F.expr("count_if(label = 'neg') - count_if(label = 'pos')")).alias("lack"))
     have = {r["grp"]: r["count"] for r in made.groupBy("grp").count().collect()}
     assert have == {r["grp"]: r["lack"] for r in need.collect()}
@@ -134,7 +134,7 @@ def test_results_do_not_depend_on_partitions(spark):
     df = numbers(spark)
     outputs = []
     for parts in (1, 7):
-        made = smote.smote(df.repartition(parts), "label", "id", ["x", "y"], ["g"], bucket_rows=100)
+        made = smote.smote(df.repartition(parts), "label", "id", ["x", "y"], ["g"], minority_rows=10)
         outputs.append(sorted(tuple(r) for r in made.collect()))
     assert outputs[0] == outputs[1]
 
