@@ -27,7 +27,7 @@ from .wordhash import mixed
 LENGTH = 400
 GRAM = 200
 CHUNK = 1 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BROADCAST_ROWS = 500_000
 PLACE = np.uint64((1 << 24) - 1)
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
