@@ -77,7 +77,7 @@ def tanimoto(a: Column, b: Column, weights: Column | None = None) -> Column:
     ab, aa, bb = dot(weighted(a), b), dot(weighted(a), a), dot(weighted(b), b)
     # rounding must not push the ratio above 1
     denominator = F.greatest(aa + bb - ab, ab)
-    return F.when(denominator > 0, 1.0 - ab / denominator).otherwise(F.lit(0.0))
+    return F.when(denominator <= 0, F.lit(0.0)).otherwise(1.0 - ab / denominator)
 
 
 def weighted_euclidean(a: Column, b: Column, weights: Column) -> Column:
