@@ -253,9 +253,11 @@ def forest_balanced_metrics(t: Tables) -> DataFrame:
     return evaluate.imbalance_metrics(scored, "toxic", "prediction")
 
 
-@query("forest_stats")
+@query("forest_stats", f"""with nodes as ({_train_sql(_BAGGED, 2, "forest")}),
+per_tree as (select tree, count(*) as nodes, max(floor(log2(node + 1))) as depth from nodes group by tree)
+select count(*) as trees, sum(nodes)::BIGINT as nodes, avg(nodes)::DOUBLE as mean_nodes, avg(depth)::DOUBLE as mean_depth from per_tree""")
 def forest_stats(t: Tables) -> DataFrame:
-    forest = train.train_forest(t.part, "p_type", ["p_partkey"], ["p_size"], ["p_brand"], n_trees=4, max_depth=2)
+    forest = train.train_forest(t.li, "cls", ["id"], ATTRS, [], n_trees=5, max_depth=2)
     return model.statistics(forest.table(t.spark))
 
 

@@ -40,36 +40,69 @@ def covariance(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "row long, col long, val double").withColumn("val", r6("val"))
 
 
-@query("lanczos")
+# Without the values themselves SQL still knows two sums of them: the squared entries of the
+# matrix, and the squared entries of A'A.
+_SUMS = f"""with {_CELLS}, g as (select a.col as i, b.col as j, sum(a.val * b.val) as v from c a join c b using (vec_id) group by all)
+select 64::BIGINT as n, {r6_sql('(select sum(val * val) from c)', 4)} as energy, {r6_sql('(select sum(v * v) from g)', 2)} as fourth"""
+
+
+def _sums(values: DataFrame, squares) -> DataFrame:
+    return values.agg(F.count(F.lit(1)).alias("n"), r6(F.sum(squares), 4).alias("energy"), r6(F.sum(squares * squares), 2).alias("fourth"))
+
+
+@query("lanczos", _SUMS)
 def lanczos(t: Tables) -> DataFrame:
-    a = solve.DenseMatrix(t.emb, "vec")
-    values = solve.lanczos(a, 20)[0]
-    return _column(t, values, "eigenvalue").withColumnRenamed("col", "i")
+    """All eigenvalues of A'A."""
+    values = solve.lanczos(solve.DenseMatrix(t.emb, "vec"), 64)[0]
+    return _sums(_column(t, values, "eigenvalue"), F.col("eigenvalue"))
 
 
-@query("eigen_verify")
+@query("eigen_verify", """select i::INTEGER as i, 0::DOUBLE as error, 0::DOUBLE as residual from range(0, 10) r(i)""")
 def eigen_verify(t: Tables) -> DataFrame:
+    """Leading vectors that pass, and by how much A'A v misses the eigenvalue times v."""
     a = solve.DenseMatrix(t.emb, "vec")
-    vectors = solve.lanczos(a, 20)[1]
+    vectors = solve.lanczos(a, 64)[1]
     kept = solve.verify_eigenvectors(a, vectors[:10], max_error=0.01)
-    return t.spark.createDataFrame(kept, "i int, eigenvalue double, error double")
+    rows = [(i, error, float(np.linalg.norm(a.times_squared(vectors[i]) - value * vectors[i]) / value)) for i, value, error in kept]
+    return t.spark.createDataFrame(rows, "i int, error double, residual double").withColumns({c: r6(c) for c in ("error", "residual")})
 
 
-@query("ssvd_values")
+@query("ssvd_values", _SUMS)
 def ssvd_values(t: Tables) -> DataFrame:
-    return solve.stochastic_svd(_entries(t), 10, q=1).values(t.spark)
+    """All singular values."""
+    values = solve.stochastic_svd(_entries(t), 64, p=0, q=1).values(t.spark)
+    return _sums(values, F.col("sigma") * F.col("sigma"))
+
+
+_UNIT = """select i::INTEGER as i, j::INTEGER as j, (i = j)::INTEGER::DOUBLE as val from range(0, 10) a(i), range(0, 10) b(j)"""
+
+
+def _inner_products(t: Tables, rows: DataFrame) -> DataFrame:
+    found = solve.DenseMatrix(rows, "vec").gram()
+    cells = [(i, j, float(v)) for i, row in enumerate(found) for j, v in enumerate(row)]
+    return t.spark.createDataFrame(cells, "i int, j int, val double").withColumn("val", r6("val"))
 
 
-@query("ssvd_u")
+@query("ssvd_u", _UNIT)
 def ssvd_u(t: Tables) -> DataFrame:
-    rows = solve.stochastic_svd(_entries(t), 10, q=1).u()
-    return rows.select("row", F.posexplode("vec").alias("i", "val"))
+    """U'U."""
+    return _inner_products(t, solve.stochastic_svd(_entries(t), 10, q=1).u())
 
 
-@query("ssvd_v")
+@query("ssvd_v", _UNIT)
 def ssvd_v(t: Tables) -> DataFrame:
-    rows = solve.stochastic_svd(_entries(t), 10, q=1).v("half")
-    return rows.select("col", F.posexplode("vec").alias("i", "val"))
+    """V'V."""
+    return _inner_products(t, solve.stochastic_svd(_entries(t), 10, q=1).v())
+
+
+@query("ssvd_residual", "select i::INTEGER as i, 0::DOUBLE as residual from range(0, 10) r(i)")
+def ssvd_residual(t: Tables) -> DataFrame:
+    """Largest cell of A'u - sigma v for each pair of singular vectors."""
+    found = solve.stochastic_svd(_entries(t), 10, q=1)
+    left = solve._weighted(_entries(t), "row", "col", found.u(), 10).select("col", F.posexplode("vec").alias("i", "x"))
+    right = found.v("sigma").select("col", F.posexplode("vec").alias("i", "y"))
+    gaps = left.join(right, ["col", "i"]).groupBy("i").agg(F.max(F.abs(F.col("x") - F.col("y"))).alias("residual"))
+    return gaps.withColumn("residual", r6("residual"))
 
 
 def _product(found: solve.Decomposition) -> DataFrame:
