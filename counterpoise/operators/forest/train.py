@@ -13,12 +13,13 @@ import hashlib
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.draw import below, bucket, u
-from ...session import materialize
+from ...session import discard, materialize
 from ..prefix import shuffled_rank
 from .model import MAX_NODES, Forest, Node, leaf_column
 from .split import Target, categorical_gains, class_target, default_attributes, few_values, numeric_splits
 
 EPSILON = 1e-6
+BROADCAST_NODES = 200_000
 
 
 def _draw(*parts) -> float:
@@ -173,8 +174,8 @@ def _level(rows: DataFrame, grower: _Grower) -> list:
     drawn = routed.select(
         "*", F.explode("bag").alias("tree")
     ).withColumn("node", F.get("_at", F.col("tree"))).drop("_at", "bag")
-    # the plan has one row per open node; it is broadcast when its measured size allows
-    opened = drawn.join(plan, ["tree", "node"])
+    # a frame made of a list has no size estimate: without the hint the rows would be shuffled to it
+    opened = drawn.join(F.broadcast(plan) if len(order) <= BROADCAST_NODES else plan, ["tree", "node"])
     cells = opened.select(
         "tree", "node", target.label, F.posexplode("attrs").alias("rank", "attr"),
         *grower.numeric, *grower.categorical,
@@ -211,7 +212,9 @@ def _level(rows: DataFrame, grower: _Grower) -> list:
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     columns = ["split", "gain", "attr", *[f"l_{n}" for n in stats], *[f"t_{n}" for n in stats], "branches"]
     best = F.min_by(F.struct(*columns), F.struct(-F.round("gain", 9), F.col("rank")))
-    return found.groupBy("tree", "node").agg(best.alias("b")).select("tree", "node", "b.*").collect()
+    chosen = found.groupBy("tree", "node").agg(best.alias("b")).select("tree", "node", "b.*").collect()
+    discard(hist)
+    return chosen
 
 
 def train_forest(

@@ -73,12 +73,14 @@ def cumulative_distribution(weights: DataFrame, key: str, weight: str) -> DataFr
 
 
 def multinomial_sample(
-    draws: DataFrame, draw: str, weights: DataFrame, key: str, weight: str, cells: int = 1024
+    draws: DataFrame, draw: str, weights: DataFrame, key: str, weight: str, cells: int | None = None
 ) -> DataFrame:
     """Key whose interval holds each draw in [0, 1).
 
     Draws and intervals meet on even cells of [0, 1), so the range join is an equi-join.
+    There are as many cells as keys unless given, so a cell holds few intervals.
     """
+    cells = max(1024, weights.count()) if cells is None else cells
     intervals = cumulative_distribution(weights, key, weight)
     last = F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1))
     spread = intervals.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), last)))

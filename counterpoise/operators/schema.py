@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .prefix import sorted_rank
 
 
 @dataclass(frozen=True)
@@ -48,13 +50,9 @@ def describe(df: DataFrame, roles: Roles) -> DataFrame:
 
 
 def dictionary(df: DataFrame, attributes: list[str]) -> DataFrame:
-    """(attr, value, code) with codes from 0 in value order.
-
-    Category domains are small next to the data (one row per distinct value).
-    """
+    """(attr, value, code) with codes from 0 in value order; a domain may outgrow one task."""
     values = category_values(df, attributes).where(F.col("value").isNotNull())
-    code = F.row_number().over(W.partitionBy("attr").orderBy("value")) - 1
-    return values.withColumn("code", code)
+    return sorted_rank(values, ["value"], ["attr"], out="code").withColumn("code", F.col("code").cast("int"))
 
 
 def encode_categories(df: DataFrame, attributes: list[str], codes: DataFrame) -> DataFrame:

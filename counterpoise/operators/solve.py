@@ -19,6 +19,7 @@ from .aggregate import column_means
 
 MAX_COLUMNS = 5_000_000
 MAX_DENSE = 2_000
+BROADCAST_COLUMNS = 1_000_000
 
 
 class SparseMatrix:
@@ -31,7 +32,9 @@ class SparseMatrix:
 
     def _vector(self, v: np.ndarray) -> DataFrame:
         spark = self.entries.sparkSession
-        return spark.createDataFrame(pd.DataFrame({"col": np.arange(len(v)), "val": v}))
+        frame = spark.createDataFrame(pd.DataFrame({"col": np.arange(len(v)), "val": v}))
+        # a frame made in the driver has no size estimate: without the hint the matrix would be shuffled
+        return F.broadcast(frame) if len(v) <= BROADCAST_COLUMNS else frame
 
     def _gathered(self, found: DataFrame) -> np.ndarray:
         out = np.zeros(self.n_cols)
