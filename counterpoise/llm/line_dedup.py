@@ -14,6 +14,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 20
 MIN_DOCS = 3
+SALTS = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -61,7 +62,10 @@ def dedup_lines(
     """
     marks = line_marks(docs.where(F.col(id_col).isNotNull()), id_col, text_col, min_chars)
     repeated = repeated_lines(marks, min_docs)
-    gone = marks.join(repeated, ["_h1", "_h2"]).where(F.col("_doc") < F.col("_keeper"))
+    # one line may lie in a third of all documents: its rows are dealt over several tasks
+    salted = marks.withColumn("_salt", F.pmod(F.xxhash64("_doc"), F.lit(SALTS)))
+    spread = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    gone = salted.join(spread, ["_h1", "_h2", "_salt"]).where(F.col("_doc") < F.col("_keeper"))
     cuts = gone.groupBy("_doc").agg(F.array_sort(F.collect_set("_pos")).alias("_cuts"))
     joined = packed(docs, id=F.col(id_col), text=F.col(text_col)).join(cuts, F.col("id") == F.col("_doc"), "left")
 
