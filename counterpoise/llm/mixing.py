@@ -19,8 +19,9 @@ from .frames import packed, unpacked
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SHARDS = 16
+SHARD_WORDS = 4_000_000
 BLOCK_DOCS = 64
-MAX_BLOCKS = 4096
+MAX_BLOCKS = 1 << 16
 BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -115,7 +116,10 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: str = "mix") ->
     """
     node = quotas.groupBy().agg(F.array_sort(F.collect_list(F.struct("_source", "_blocks"))).alias("_quotas"))
     node = node.select(F.lit(0).cast("long").alias("_first"), F.lit(shards).cast("long").alias("_wide"), "_quotas")
-    for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
+    for level in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
+        if level % 6 == 5:
+            # small rows, costly draws: more nodes than a task should split alone
+            node = node.repartition(1 << level, "_first")
         half = F.floor(F.col("_wide") / 2)
         total = F.aggregate("_quotas", F.lit(0).cast("long"), lambda acc, q: acc + q["_blocks"])
         goes = F.when(F.col("_wide") > 1, F.floor(total * half / F.col("_wide"))).otherwise(total)
@@ -218,7 +222,7 @@ def plan_mix(
     source_col: str = "source",
     weights=WEIGHTS,
     max_repeat: int = MAX_REPEAT,
-    shards: int = SHARDS,
+    shards: int | None = None,
     block_docs: int = BLOCK_DOCS,
     seed: str = "mix",
 ) -> DataFrame:
@@ -232,12 +236,15 @@ def plan_mix(
     its short documents, and no document is taken more than ``max_repeat`` times.  A null source is a
     source of its own; null or empty texts have size 0; rows that share an id are placed
     alike.  An empty table gives an empty mix.  Sizes are written once; texts are read once.
+    Unless given, there is a shard for every ``SHARD_WORDS`` words, ``SHARDS`` at least.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
     sized = materialize(docs.select(
         F.col(id_col).alias("_doc"), F.col(source_col).alias("_name"), key.alias("_source"),
         words(F.col(text_col)).alias("size"), draw(seed, F.lit("order"), F.col(id_col)).alias("_u"),
     ), "mix-sizes")
+    if shards is None:
+        shards = max(SHARDS, math.ceil((sized.agg(F.sum("size")).first()[0] or 0) / SHARD_WORDS))
     totals = sized.groupBy("_source", "_name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     goals = targets(totals, "_name", weights, max_repeat)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -288,14 +295,14 @@ def plan_mix(
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, **options) -> DataFrame:
-    """The mixed corpus: ``docs`` once per copy, dealt to ``shards`` and shuffled inside each.
+def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mixed corpus: ``docs`` once per copy, dealt to shards and shuffled inside each.
 
     Adds ``shard`` and ``position``; rows lie in files by shard, in order of position.
     """
-    places = plan_mix(docs, id_col, shards=shards, **options).select(
+    places = plan_mix(docs, id_col, **options).select(
         F.col(id_col).alias("_doc"), F.inline("places")
     ).distinct()
     rows = packed(docs, id=F.col(id_col)).join(places, F.col("id").eqNullSafe(F.col("_doc")))
     mixed = unpacked(rows, docs.columns, shard=F.col("shard"), position=F.col("position"))
-    return mixed.repartition(shards, "shard").sortWithinPartitions("shard", "position")
+    return mixed.repartition("shard").sortWithinPartitions("shard", "position")
