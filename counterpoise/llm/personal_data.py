@@ -22,6 +22,7 @@ REMOVE_AT = 0.9
 GENERALISE_AT = 0.6
 WORD = r"[\p{L}\p{N}_]+"
 BROADCAST_TERMS = 50_000
+BROADCAST_ROWS = 500_000
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _before_at = re.compile(r"[A-Za-z0-9._%+-]")
@@ -164,7 +165,8 @@ def sanitise(
     span = "array<struct<kind:string,first:int,last:int>>"
 
     given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    both = given.join(marked, given["_id"] == marked["_doc"], "left").drop("_doc")
+    few = (marked.agg(F.sum(F.size("_terms"))).first()[0] or 0) <= BROADCAST_ROWS
+    both = given.join(F.broadcast(marked) if few else marked, given["_id"] == marked["_doc"], "left").drop("_doc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
