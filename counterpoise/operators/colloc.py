@@ -72,18 +72,23 @@ def collocations(
 
     ``unigrams`` adds single tokens, which keep their count as score.
     """
-    totals = materialize(gram_totals(tokens, n), "gram-totals")
+    # one pass over the text: a single token is a gram without a head
+    grams = shingle_array(F.col("tokens"), n)
+    if unigrams:
+        alone = F.transform("tokens", lambda t: F.struct(F.lit(None).cast("string").alias("head"), t.alias("tail")))
+        grams = F.concat(grams, alone)
+    rows = tokens.select(F.explode(grams).alias("g")).groupBy("g.head", "g.tail").agg(F.count(F.lit(1)).alias("freq"))
+    counted = materialize(rows, "gram-totals")
+    totals = counted.where(F.col("head").isNotNull())
     pairs = _with_totals(totals, min_support)
     n_total = totals.agg(F.sum("freq")).scalar()
     f, head, tail = (F.col(c).cast("double") for c in ("freq", "head_total", "tail_total"))
     scored = pairs.withColumn("_n", n_total.cast("double")).withColumn(
         "score", score(f, head - f, tail - f, F.col("_n") - (head + tail - f))
     )
-    grams = scored.where(F.col("score") >= min_llr).select("gram", F.lit("ngram").alias("kind"), "freq", "score")
+    found = scored.where(F.col("score") >= min_llr).select("gram", F.lit("ngram").alias("kind"), "freq", "score")
     if not unigrams:
-        return grams
-    words = tokens.select(F.explode("tokens").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
-    single = words.where(F.col("freq") >= min_support).select(
-        "gram", F.lit("unigram").alias("kind"), "freq", F.col("freq").cast("double").alias("score")
-    )
-    return grams.unionByName(single)
+        return found
+    words = counted.where(F.col("head").isNull() & (F.col("freq") >= min_support))
+    single = words.select(F.col("tail").alias("gram"), F.lit("unigram").alias("kind"), "freq", F.col("freq").cast("double").alias("score"))
+    return found.unionByName(single)

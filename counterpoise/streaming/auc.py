@@ -67,7 +67,8 @@ def auc_stream(
 
     ``samples`` is a stream of (grp string, cls int, score double, ord1, ord2); inside a
     micro-batch the samples of a group are taken in (ord1, ord2) order, so a source should
-    bound its micro-batches (maxFilesPerTrigger).  ``policy`` tells
+    bound its micro-batches (maxFilesPerTrigger).  The result equals the batch form only if
+    micro-batches arrive in event order; a late one is taken after those before it.  ``policy`` tells
     which score a new one replaces: the oldest ('fifo'), one of a fair reservoir ('fair'),
     or any ('random').
     """
