@@ -24,7 +24,7 @@ from .wordhash import mixed, shingles, slices, word_hashes
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999
-CHUNK = 256
+CHUNK_SHINGLES = 1 << 17
 TILE_BYTES = 8 << 20
 
 
@@ -171,7 +171,7 @@ def jaccard_join(
     words: int = WORDS,
     similarity: float = SIMILARITY,
     recall: float = RECALL,
-    chunk: int = CHUNK,
+    chunk_shingles: int = CHUNK_SHINGLES,
 ) -> DataFrame:
     """One row per id: ``class_id`` (its connected group), ``copy_id`` (its set class), ``n_links``.
 
@@ -193,11 +193,13 @@ def jaccard_join(
     seats = classes.select("_rep", "_n", F.posexplode("_bands").alias("_band", "_hash"))
     buckets = seats.groupBy("_band", "_hash").agg(
         F.count(F.lit(1)).alias("_held"), F.sum(F.xxhash64("_rep").cast("decimal(38,0)")).alias("_who"),
-        F.min("_n").alias("_small"), F.max("_n").alias("_large"),
+        F.sum("_n").alias("_total"),
     ).where(F.col("_held") > 1)
     # buckets of the same members are compared once, in their first band
-    buckets = buckets.groupBy("_who", "_held").agg(F.min(F.struct("_band", "_hash")).alias("_b"))
-    buckets = materialize(buckets.select("_b._band", "_b._hash", F.ceil(F.col("_held") / chunk).alias("_chunks")), "buckets")
+    buckets = buckets.groupBy("_who", "_held", "_total").agg(F.min(F.struct("_band", "_hash")).alias("_b"))
+    # chunks are bounded by what they hold, so a tile of short texts has many members
+    chunks = F.least(F.ceil(F.col("_total") / chunk_shingles), F.col("_held"))
+    buckets = materialize(buckets.select("_b._band", "_b._hash", chunks.alias("_chunks")), "buckets")
     seated = seats.drop("_n").join(buckets, ["_band", "_hash"])
     own = F.pmod(F.xxhash64("_rep", "_band"), F.col("_chunks"))
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1), lambda c: F.struct(

@@ -255,12 +255,12 @@ def test_token_counts_odd(spark, odd, empty):
 
 # 6 n-gram Jaccard join
 
-@pytest.mark.parametrize("chunk", [3, 256])
+@pytest.mark.parametrize("chunk", [60, 1 << 17])
 def test_jaccard_join_matches_all_pairs(spark, small, chunk):
     base = "the quick brown fox jumps over the lazy dog while many other animals look on from the edge of a dark wood".split()
     family = [(5000 + i, " ".join(base + [f"tail{i % 3}"] + (["more"] if i % 2 else []))) for i in range(12)]
     docs = small + family
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(frame(spark, docs), chunk=chunk).collect()}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(frame(spark, docs), chunk_shingles=chunk).collect()}
     assert got == H.jaccard_groups(docs)
 
 
