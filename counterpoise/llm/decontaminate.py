@@ -1,18 +1,19 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
+"""Benchmark decontamination by character grams, counts along diagonals and exact edit distance.
 
-The CGK walk reads a window of words by a shared random tape: at each step it emits the word it
-stands on and moves on if the tape says so for this word.  Windows a few edits apart fall
-back into step, so edit distance becomes Hamming distance between emitted sequences.  A table
-hashes a few sampled steps of a walk; windows that collide in some table are candidates, and
-a candidate counts only if the item's edit distance to the text around it is small enough.
+Candidates and decision look at the same thing, the characters of lower-case words joined by
+single spaces.  Items are indexed by every run of a few bytes over their whole length, documents
+look up the run at each of their places.  A run that an item and a document share lies on a
+diagonal (place in the document less place in the item); edits move a leak's runs over a few
+diagonals only.  Where a band of diagonals holds as many shared runs as a leak at the
+threshold keeps, the edit distance to the text around it decides.
 
-Documents are cut into windows at a stride, items into windows at every offset below the
-stride, so a leak meets an item window whatever its place.  The window length follows the
-item's length.
+The length of the runs and the number asked for follow the item's length: both are measured
+on copies with as many edits as the threshold allows, in words, in blocks, at the ends and as typos.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,223 +24,345 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .frames import without_ids
-from .wordhash import mixed, slices, word_hashes
+from .wordhash import slices
 
 SIMILARITY = 0.8
 RECALL = 0.99
-SAMPLES = 4
-TABLES_PER_WALK = 4
-MAX_TABLES = 64
+LONGEST_GRAM = 8
+LEAST_SHARED = 3
+BIN = 16
+CELL = 4
+TRIALS = 600
+MEASURED_CHARS = 2_000
+HITS_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 2_048
+HASH_BITS = 21
 BLOCK_WINDOWS = 200_000
-
-
-def window_of(words: int, similarity: float) -> tuple[int, int]:
-    """(window, stride) for an item: a leak shortened by edits still holds a whole aligned window."""
-    best = (1, 1)
-    for size in sorted({*(2 << i for i in range(20)), *(3 << i for i in range(20))}):
-        if size + size // 2 - 1 <= similarity * words:
-            best = (size, size // 2)
-    return best
-
-
-def tape(words: np.ndarray, walk: int, turn: int) -> np.ndarray:
-    """Eight random bits for every word, for eight steps of one walk."""
-    draw = mixed(np.array([walk * 1_000_003 + turn + 1], np.uint64))[0]
-    return ((words * (draw | np.uint64(1))) >> np.uint64(56)).astype(np.uint8)
-
-
-def emitted(words: np.ndarray, starts: np.ndarray, steps: list[int], walk: int, tapes: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """Words that one CGK walk emits at ``steps``, for every window at once.
-
-    ``words`` must run on for as many places behind the last window as the walk has steps.
-    ``tapes`` keeps the walk's tapes, which windows of every length share.
+END = b"\x01"
+
+_kept = bytes(c if chr(c) in "0123456789_abcdefghijklmnopqrstuvwxyz" or c >= 128 else 32 for c in range(256))
+
+
+def normal(text: str | None) -> bytes:
+    """Lower-case words joined by single spaces."""
+    return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_kept).split())
+
+
+def grams(blob: bytes, size: int) -> np.ndarray:
+    """The ``size`` bytes from each place on, as one number."""
+    n = max(0, len(blob) - size + 1)
+    whole = np.ndarray((n,), np.uint64, blob + bytes(8), 0, (1,))
+    return whole & np.uint64((1 << 8 * size) - 1)
+
+
+def allowed(chars: int, similarity: float) -> int:
+    """Edits within the threshold."""
+    return math.floor((1 - similarity) * chars + 1e-9)
+
+
+def edited(text: np.ndarray, edits: int, kind: str, draws: np.random.Generator) -> np.ndarray:
+    """``text`` after ``edits`` edits of characters; new characters are not those of the text."""
+    n = len(text)
+    new = lambda k: draws.integers(1, 1 << 30, k).astype(np.uint64) << np.uint64(32)
+    if kind == "typos":
+        at, how = draws.choice(n, edits, replace=False), draws.integers(0, 3, edits)
+        out, times = text.copy(), np.ones(n, int)
+        out[at[how == 0]] = new((how == 0).sum())
+        times[at[how == 1]], times[at[how == 2]] = 0, 2
+        ends = np.cumsum(times)
+        out = np.repeat(out, times)
+        out[ends[at[how == 2]] - 2] = new((how == 2).sum())
+        return out
+    if kind == "words":
+        out, left = text.copy(), edits
+        while left > 0:
+            size = min(left, int(draws.integers(2, 9)))
+            at = int(draws.integers(max(1, n - size)))
+            out[at : at + size] = new(len(out[at : at + size]))
+            left -= size
+        return out
+    at = {"head": 0, "tail": n - edits}.get(kind, int(draws.integers(n - edits + 1)))
+    if kind == "gap":
+        return np.concatenate((text[:at], text[at + edits :]))
+    middle = new(edits)
+    return np.concatenate((text[:at], middle, text[at + (0 if kind == "filling" else edits) :]))
+
+
+KINDS = ("typos", "words", "block", "gap", "filling", "head", "tail")
+
+
+@functools.lru_cache(maxsize=None)
+def measured(chars: int, edits: int, recall: float) -> tuple[int, int, int]:
+    """(bytes of a gram, shared grams and cells to ask for) for items of ``chars`` characters.
+
+    Each kind of edited copy of a text without repeats keeps at least so many grams in its
+    best band with probability ``recall``; repeats only add to them.  Where no length leaves
+    ``LEAST_SHARED``, grams are so short that some gram of the item is free of edits whatever they are.
     """
-    at, out = starts.astype(np.int32), {}
-    for step in range(steps[-1] + 1):
-        turn, bit = divmod(step, 8)
-        if turn not in tapes:
-            tapes[turn] = tape(words, walk, turn)
-        if step in steps:
-            out[step] = words[at]
-        np.add(at, (tapes[turn][at] >> bit) & np.uint8(1), out=at)
-    return out
-
-
-def samples(size: int, walk: int) -> list[list[int]]:
-    """Steps that the tables of a walk look at: one in each quarter of the steps that stay inside a window."""
-    draws, reach = np.random.default_rng((size, walk)), max(1, int(1.6 * size))
-    edges = np.linspace(0, reach, SAMPLES + 1).astype(int)
-    return [sorted({int(draws.integers(a, max(a + 1, b))) for a, b in zip(edges, edges[1:])}) for _ in range(TABLES_PER_WALK)]
-
-
-def table_keys(words: np.ndarray, windows: dict[int, tuple[np.ndarray, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(class, table, hash of every window); ``windows`` holds starts and number of tables by class."""
-    padded = np.concatenate((words, np.zeros(2 * max(windows, default=0) + 1, np.uint64)))
-    for walk in range(-(-max((n for _, n in windows.values()), default=0) // TABLES_PER_WALK)):
-        tapes: dict[int, np.ndarray] = {}
-        for size, (starts, tables) in windows.items():
-            first = walk * TABLES_PER_WALK
-            picks = samples(size, walk)[: max(0, tables - first)]
-            if not picks or not len(starts):
+    draws = np.random.default_rng((chars, edits))
+    text = np.arange(1, chars + 1, dtype=np.uint64)
+    runs = []
+    for kind in KINDS:
+        for _ in range(TRIALS if kind == "typos" else TRIALS // 8):
+            copy = edited(text, edits, kind, draws).astype(np.int64)
+            place = np.arange(len(copy))
+            # new characters break the row of diagonals; a gram survives where it is one run
+            diagonal = np.where(copy <= chars, place - copy, -chars - 1 - place * 2 - chars)
+            runs.append((kind, int(draws.integers(BIN)), place, diagonal))
+    for size in range(min(LONGEST_GRAM, chars), 0, -1):
+        shared = defaultdict(list)
+        for kind, shift, place, diagonal in runs:
+            n = len(diagonal) - size + 1
+            if n <= 0:
+                shared[kind].append((0, 0))
                 continue
-            seen = emitted(padded, starts, sorted({s for p in picks for s in p}), walk, tapes)
-            for i, pick in enumerate(picks):
-                key = np.full(len(starts), np.uint64(first + i + 1))
-                for s in pick:
-                    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + seen[s]
-                yield size, first + i, key * np.uint64(0x94D049BB133111EB)
+            same = (np.diff(diagonal) == 0).astype(int)
+            whole = np.concatenate(([0], np.cumsum(same)))
+            free = (whole[size - 1 :][:n] - whole[:n] == size - 1) & (diagonal[:n] > -chars - 1)
+            bins, cells = (diagonal[:n][free] + chars + shift) // BIN, (place[:n] - diagonal[:n])[free] // CELL
+            hits = np.bincount(bins, minlength=2)
+            spread = np.bincount(np.unique(bins * chars + cells) // chars, minlength=2)
+            hits, spread = hits[1:] + hits[:-1], spread[1:] + spread[:-1]
+            best = int(spread.argmax())
+            shared[kind].append((int(hits[best]), int(spread[best])))
+        least = [min(int(np.quantile([x[k] for x in v], (1 - recall) / 2, method="lower")) for v in shared.values()) for k in (0, 1)]
+        if least[1] >= LEAST_SHARED:
+            return size, *least
+    return max(1, min(LONGEST_GRAM, chars // (edits + 1))), 1, 1
+
+
+def asked(chars: int, similarity: float, recall: float) -> tuple[int, int, int]:
+    """``measured`` for the next smaller length of a grid in steps of a tenth."""
+    if allowed(chars, similarity) == 0:
+        return min(LONGEST_GRAM, chars), 1 + max(0, chars - LONGEST_GRAM), 1
+    if chars > 64:
+        chars = min(MEASURED_CHARS, math.floor(1.1 ** math.floor(math.log(chars, 1.1) + 1e-9)))
+    return measured(chars, allowed(chars, similarity), recall)
 
 
-def tables_needed(items: list[np.ndarray], size: int, stride: int, similarity: float, recall: float) -> int:
-    """Tables until items with random edits at the threshold are found with probability ``recall``.
+@dataclass(frozen=True)
+class Grams:
+    """Grams of one length of the items that use it."""
 
-    Edits are tried on up to 64 items of the class; a table's chance is measured on them.
-    """
-    draws, tried, won = np.random.default_rng(5), 0, np.zeros(MAX_TABLES)
-    for item in items[:64]:
-        edits = int((1 - similarity) * len(item))
-        text = item.tolist()
-        for _ in range(edits):
-            at, kind = int(draws.integers(len(text))), draws.integers(3)
-            new = int(draws.integers(1 << 62))
-            text[at : at + (kind != 1)] = [new] if kind != 2 else []
-        lead = int(draws.integers(stride))
-        words = np.array([*range(1, lead + 1), *text, *range(101, 101 + size)], np.uint64)
-        doc = np.arange(0, len(words) - size + 1, stride)
-        own = np.arange(min(stride, len(item) - size + 1))
-        pairs = zip(table_keys(words, {size: (doc, MAX_TABLES)}), table_keys(item, {size: (own, MAX_TABLES)}))
-        won += [len(np.intersect1d(a, b)) > 0 for (_, _, a), (_, _, b) in pairs]
-        tried += 1
-    chance = float(np.mean(won / max(tried, 1)))
-    if chance >= recall:
-        return 1
-    return min(MAX_TABLES, math.ceil(math.log(1 - recall) / math.log(1 - max(chance, 0.02))))
+    size: int
+    marks: np.ndarray  #: by hash of a gram, whether any item has it
+    known: np.ndarray  #: distinct grams, sorted
+    first: np.ndarray  #: where a gram's places start, and the end
+    item: np.ndarray
+    place: np.ndarray
 
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of one block of items, by window class."""
+    """One block of items."""
 
     ids: np.ndarray
     texts: list[str]
-    words: list[np.ndarray]
-    #: by window length: stride, and per table 16-bit prefixes in use, sorted hashes, their items and offsets
-    classes: dict[int, tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]]
+    sizes: np.ndarray  #: bytes of each item
+    edits: np.ndarray
+    least: np.ndarray  #: shared grams to ask for
+    spread: np.ndarray  #: cells of the item that they start in
+    classes: list[Grams]
 
 
-def normal(blob: bytes, starts: np.ndarray, ends: np.ndarray) -> str:
-    return b" ".join(blob[a:b] for a, b in zip(starts, ends)).decode("utf-8", "replace")
+def hashed(values: np.ndarray) -> np.ndarray:
+    return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)
 
 
 def build_index(ids: list[int], texts: list[str], similarity: float, recall: float) -> Index:
-    hashes, first, starts, ends, blob = word_hashes(texts)
-    words = [hashes[a:b] for a, b in zip(first, first[1:])]
-    plain = [normal(blob, starts[a:b], ends[a:b]) for a, b in zip(first, first[1:])]
-    by_class = defaultdict(list)
-    for i, w in enumerate(words):
-        if len(w):
-            by_class[window_of(len(w), similarity)].append(i)
-    classes = {}
-    for (size, stride), members in sorted(by_class.items()):
-        tables = tables_needed([words[i] for i in members], size, stride, similarity, recall)
-        at, item, offset, held = [], [], [], 0
-        for i in members:
-            n = min(stride, len(words[i]) - size + 1)
-            at += range(held, held + n)
-            item += [i] * n
-            offset += range(n)
-            held += len(words[i])
-        joined = np.concatenate([words[i] for i in members])
-        item, offset = np.array(item), np.array(offset)
-        found = []
-        for _, _, key in table_keys(joined, {size: (np.array(at), tables)}):
-            order = np.argsort(key, kind="stable")
-            marks = np.zeros(1 << 16, bool)
-            marks[key >> np.uint64(48)] = True
-            found.append((marks, key[order], item[order], offset[order]))
-        classes[size] = (stride, found)
-    return Index(np.array(ids), plain, words, classes)
+    blobs = [normal(t) for t in texts]
+    some = [i for i, b in enumerate(blobs) if b]
+    ids, blobs = [ids[i] for i in some], [blobs[i] for i in some]
+    plain = [b.decode("utf-8", "replace") for b in blobs]
+    ask = [asked(len(t), similarity, recall) for t in plain]
+    classes = []
+    for size in sorted({a[0] for a in ask}):
+        members = [i for i, a in enumerate(ask) if a[0] == size]
+        own = [grams(blobs[i], size) for i in members]
+        item = np.repeat(members, [len(g) for g in own])
+        place = np.concatenate([np.arange(len(g)) for g in own])
+        flat = np.concatenate(own)
+        order = np.argsort(flat, kind="stable")
+        known, first = np.unique(flat[order], return_index=True)
+        marks = np.zeros(1 << HASH_BITS, bool)
+        marks[hashed(known)] = True
+        classes.append(Grams(size, marks, known, np.append(first, len(flat)), item[order], place[order]))
+    edits = np.array([allowed(len(t), similarity) for t in plain], int)
+    return Index(np.array(ids), plain, np.array([len(b) for b in blobs], int), edits, *(np.array([a[k] for a in ask], int) for k in (1, 2)), classes)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by key, from the counts of parts."""
+    if len(parts) == 1:
+        return parts[0]
+    if not parts:
+        return np.zeros(0, int), np.zeros(0, int)
+    key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(int)
+
+
+def pairs_of_bins(key: np.ndarray, count: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """First of two neighbouring bins (sorted ``key``) that hold ``least`` together; the second may be empty."""
+    after = np.zeros(len(key), int)
+    after[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+    return key[count + after >= least]
+
+
+def bands(blob: bytes, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(item, first diagonal) of the bands of ``blob`` that share enough grams with an item."""
+    lead = int(index.sizes.max(initial=0)) // BIN + 1
+    many = len(blob) // BIN + lead + 3
+    cells = int(index.sizes.max(initial=0)) // CELL + 1
+    found = []
+    for c in index.classes:
+        places, rows = [np.zeros(0, int)], [np.zeros(0, int)]
+        for start in range(0, len(blob), BYTES_AT_ONCE):
+            values = grams(blob[start : start + BYTES_AT_ONCE + c.size - 1], c.size)
+            near = np.flatnonzero(c.marks[hashed(values)])
+            values = values[near]
+            row = np.minimum(np.searchsorted(c.known, values), len(c.known) - 1)
+            met = c.known[row] == values
+            places.append(near[met] + start)
+            rows.append(row[met])
+        at, row = np.concatenate(places), np.concatenate(rows)
+        times = c.first[row + 1] - c.first[row]
+        ends = np.cumsum(times)
+
+        def hits(keep=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """(bin, cell) of every hit, or of those in the bins of ``keep``, some millions at once."""
+            lo = 0
+            while lo < len(at):
+                done = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, done + HITS_AT_ONCE, "right")))
+                n = times[lo:hi]
+                hit = np.arange(n.sum()) + np.repeat(c.first[row[lo:hi]] - (ends[lo:hi] - n - done), n)
+                key = c.item[hit] * many + (np.repeat(at[lo:hi], n) - c.place[hit]) // BIN + lead
+                if keep is not None:
+                    # a mark by the low bits spares most searches
+                    near = np.flatnonzero(keep[0][key & (len(keep[0]) - 1)])
+                    near = near[np.isin(key[near], keep[1])]
+                    key, hit = key[near], hit[near]
+                yield key, c.place[hit] // CELL
+                lo = hi
+
+        key, count = summed([np.unique(k, return_counts=True) for k, _ in hits()])
+        key = pairs_of_bins(key, count, index.least[key // many])
+        if not len(key):
+            continue
+        both = np.unique(np.concatenate((key, key + 1)))
+        marks = np.zeros(1 << HASH_BITS, bool)
+        marks[both & (len(marks) - 1)] = True
+        spread = np.unique(np.concatenate([np.unique(k * cells + x) for k, x in hits((marks, both))]))
+        key, count = np.unique(spread // cells, return_counts=True)
+        found.append(pairs_of_bins(key, count, index.spread[key // many]))
+    key = np.concatenate(found) if found else np.zeros(0, int)
+    return key // many, (key % many - lead) * BIN
 
 
 def edit_distances(pairs: list[tuple[str, str, int]]) -> list[int | None]:
-    """Smallest edit distance between each item and any stretch of its text, all pairs at once.
+    """Smallest edit distance between each item and any stretch of its text, None beyond the pair's third part.
 
-    The third part of a pair is the most that matters: a row's smallest value never falls,
-    so a pair beyond it is given up (None).
+    Bit-parallel columns (Myers), many pairs at once; an item takes a 64-bit word for 64 characters.
     """
-    codes = [[np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in pair[:2]] for pair in pairs]
-    longest, widest = (max([len(c[k]) for c in codes], default=0) for k in (0, 1))
-    kind = np.int16 if longest + widest < 30_000 else np.int32
-    item, text = np.zeros((longest, len(pairs), 1), np.uint32), np.full((len(pairs), widest), 0xFFFFFFFF, np.uint32)
-    for i, (a, b) in enumerate(codes):
-        item[: len(a), i, 0], text[i, : len(b)] = a, b
-    steps = np.arange(widest + 1, dtype=kind)
-    ends, most = np.array([len(a) for a, _ in codes]), np.array([p[2] for p in pairs])
-    open_, out = np.arange(len(pairs)), [None] * len(pairs)
-    row = np.zeros((len(pairs), widest + 1), kind)
-    for i in range(longest):
-        best = np.empty_like(row)
-        best[:, 0] = i + 1
-        np.minimum(row[:, 1:] + kind(1), row[:, :-1] + (text[open_] != item[i, open_]), out=best[:, 1:])
-        # an insertion costs one per place to the left
-        row = np.minimum.accumulate(best - steps, axis=1) + steps
-        if i % 16 == 15 or (ends[open_] == i + 1).any():
-            least = row.min(axis=1)
-            for k in np.flatnonzero((ends[open_] == i + 1) & (least <= most[open_])):
-                out[open_[k]] = int(least[k])
-            going = (ends[open_] > i + 1) & (least <= most[open_])
-            open_, row = open_[going], row[going]
-            if not len(open_):
-                break
+    out: list[int | None] = [None] * len(pairs)
+    by_words = defaultdict(list)
+    for i, (item, _, _) in enumerate(pairs):
+        by_words[-(-len(item) // 64)].append(i)
+    for words, rows in by_words.items():
+        rows.sort(key=lambda i: len(pairs[i][1]))
+        step = max(1, min(PAIRS_AT_ONCE, PAIRS_AT_ONCE * 16 // words))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            for i, distance in zip(part, columns([pairs[i][:2] for i in part], words)):
+                out[i] = int(distance) if distance <= pairs[i][2] else None
     return out
 
 
-def search(index: Index, similarity: float):
+def columns(pairs: list[tuple[str, str]], words: int) -> np.ndarray:
+    codes = [[np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32) for s in pair] for pair in pairs]
+    own = [np.unique(a, return_inverse=True) for a, _ in codes]
+    n, one = len(pairs), np.uint64(1)
+    equal = np.zeros((n, 1 + max(len(u) for u, _ in own), words), np.uint64)
+    text = np.zeros((max(1, max(len(b) for _, b in codes)), n), np.int64)
+    for i, ((a, b), (letters, code)) in enumerate(zip(codes, own)):
+        place = np.arange(len(a))
+        np.bitwise_or.at(equal[i], (code + 1, place // 64), one << (place % 64).astype(np.uint64))
+        k = np.minimum(np.searchsorted(letters, b), len(letters) - 1)
+        text[: len(b), i] = np.where(letters[k] == b, k + 1, 0)
+    score = np.array([len(a) for a, _ in codes])
+    last = ((score - 1) % 64).astype(np.uint64)
+    top, best, pair = np.uint64(63), score.copy(), np.arange(n)
+    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    for letter in text:
+        now = equal[pair, letter]
+        more = less = np.uint64(0)
+        for w in range(words):
+            eq, pv, mv = now[:, w], up[w], down[w]
+            xv = eq | mv
+            eq = eq | less
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            bit = last if w == words - 1 else top
+            plus, minus = (ph >> bit) & one, (mh >> bit) & one
+            ph, mh = (ph << one) | more, (mh << one) | less
+            up[w], down[w] = mh | ~(xv | ph), ph & xv
+            more, less = plus, minus
+        score = score + more.astype(np.int64) - less.astype(np.int64)
+        np.minimum(best, score, out=best)
+    return best
+
+
+def search(index: Index):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, docs = batch["text"].tolist(), batch["doc"].to_numpy()
-            for lo, hi in slices(texts):
-                yield verify(docs[lo:hi], texts[lo:hi])
-
-    def verify(docs: np.ndarray, texts: list) -> pd.DataFrame:
-        hashes, first, starts, ends, blob = word_hashes(texts)
-        counts = np.diff(first)
-        candidates: dict[tuple[int, int], set[int]] = defaultdict(set)
-        windows, owners = {}, {}
-        for size, (stride, tables) in index.classes.items():
-            n = np.maximum(0, (counts - size) // stride + 1)
-            doc = np.repeat(np.arange(len(docs)), n)
-            starts_at = first[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * stride
-            windows[size], owners[size] = (starts_at, len(tables)), doc
-        for size, table, key in table_keys(hashes, windows):
-            stride, tables = index.classes[size]
-            marks, known, item, offset = tables[table]
-            likely = np.flatnonzero(marks[key >> np.uint64(48)])
-            for w, k in zip(likely, np.searchsorted(known, key[likely])):
-                while k < len(known) and known[k] == key[w]:
-                    # starts a few words apart are covered by one look around
-                    spot = int(windows[size][0][w] - offset[k]) // stride
-                    candidates[int(owners[size][w]), int(item[k])].add(spot)
-                    k += 1
-        looks = []
-        for (d, i), spots in candidates.items():
-            n = len(index.words[i])
-            stride = window_of(n, similarity)[1]
-            slack = stride + math.ceil((1 - similarity) * n) + 1
-            for spot in sorted(spots):
-                a = max(first[d], spot * stride - slack)
-                b = min(first[d + 1], spot * stride + stride + n + slack)
-                looks.append((d, i, int(a - first[d]), int(b - first[d]), normal(blob, starts[a:b], ends[a:b])))
-        found: dict[tuple[int, int], tuple] = {}
-        looks.sort(key=lambda x: len(x[4]))
-        for k in range(0, len(looks), 64):
-            part = looks[k : k + 64]
-            most = [math.floor((1 - similarity) * len(index.texts[x[1]]) + 1e-9) for x in part]
-            distances = edit_distances([(index.texts[x[1]], x[4], m) for x, m in zip(part, most)])
-            for (d, i, a, b, _), distance in zip(part, distances):
-                if distance is not None:
-                    row = (distance, docs[d], index.ids[i], 1 - distance / len(index.texts[i]), a, b)
-                    found[d, i] = min(found.get((d, i), row), row)
+            # decided together: many short columns at once are cheaper
+            yield decided(docs, [look for lo, hi in slices(texts) for look in candidates(lo, texts[lo:hi])])
+
+    def around(blob: bytes, lo: int, hi: int, item: int, left: int, right: int) -> tuple[int, int]:
+        """The bytes of a document in which a leak on these diagonals lies; characters of several bytes need more."""
+        for wide in (1, 4):
+            slack = wide * int(index.edits[item]) + 4
+            a, b = max(lo, left - slack), min(hi, right + int(index.sizes[item]) + slack)
+            if blob[a:b].isascii():
+                break
+        while a > lo and blob[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < hi and blob[b] & 0xC0 == 0x80:
+            b += 1
+        return a, b
+
+    def candidates(number: int, texts: list) -> list[tuple]:
+        """(document's number, item, blob, start of the document, start and end of the bytes to compare)."""
+        parts = [normal(t) for t in texts]
+        blob = END.join(parts)
+        first = np.cumsum([0, *[len(p) + 1 for p in parts]])
+        items, lefts = bands(blob, index)
+        if not len(items):
+            return []
+        # overlapping bands of an item are one look
+        opens = np.flatnonzero(np.concatenate(([True], (np.diff(items) != 0) | (np.diff(lefts) > BIN))))
+        rights = lefts[np.append(opens[1:], len(items)) - 1] + 2 * BIN
+        looks = set()
+        for i, left, right in zip(items[opens].tolist(), lefts[opens].tolist(), rights.tolist()):
+            # a band may reach over the end of a document
+            d = max(0, int(np.searchsorted(first, left, "right")) - 1)
+            while d < len(texts) and first[d] < right + index.sizes[i] + index.edits[i]:
+                a, b = around(blob, int(first[d]), int(first[d + 1]) - 1, i, left, right)
+                if b > a and b - a >= index.sizes[i] - 4 * index.edits[i]:
+                    looks.add((d, i, a, b))
+                d += 1
+        return [(number + d, i, blob, int(first[d]), a, b) for d, i, a, b in sorted(looks)]
+
+    def decided(docs: np.ndarray, looks: list[tuple]) -> pd.DataFrame:
+        found: dict[tuple, tuple] = {}
+        distances = edit_distances([(index.texts[i], blob[a:b].decode("utf-8", "replace"), int(index.edits[i])) for _, i, blob, _, a, b in looks])
+        for (d, i, blob, start, a, b), distance in zip(looks, distances):
+            if distance is not None:
+                words = [blob.count(b" ", start, x) for x in (a, b)]
+                row = (distance, docs[d], index.ids[i], 1 - distance / len(index.texts[i]), words[0], words[1] + 1)
+                found[d, i] = min(found.get((d, i), row), row)
         names = ["distance", "doc", "item", "similarity", "first_word", "end_word"]
         return pd.DataFrame(list(found.values()), columns=names)[["doc", "item", *names[:1], *names[3:]]]
 
@@ -260,20 +383,20 @@ def find_leaks(
     """One row per (document, item) found: ``distance``, ``similarity`` and the words it lies in.
 
     A document leaks an item if some stretch of it is within (1 - ``similarity``) times the
-    item's length in edits, both as lower-case words joined by single spaces; leaks at the
-    threshold are found with probability ``recall``, closer ones more often, and whatever is
-    returned is exact.  Null, empty and wordless texts or items match nothing.  Repeated items
-    are each reported; rows without an id are left out.  ``first_word`` and ``end_word``
-    bound the stretch that was compared.
-
-    Items travel to the tasks in blocks of about ``block_windows`` windows, a bounded size; a
+    item's length in edits, both as lower-case words joined by single spaces.  Leaks at the
+    threshold whose edits are of the measured kinds (``KINDS``) are found with probability
+    ``recall``, closer ones more often, and whatever is returned is exact.  Edits spread so
+    evenly that no run of ``LONGEST_GRAM`` characters is left can hide a leak.  Null, empty
+    and wordless texts or items match nothing.  Repeated items are each reported; rows without
+    an id are left out.  ``first_word`` and ``end_word`` bound the stretch that was compared.
+
+    Items travel to the tasks in blocks of about 12 x ``block_windows`` characters, a bounded size; a
     larger benchmark takes one pass over the documents for each block.
     """
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(
         F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")
     )
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    # about six characters a word, and at most as many windows as half the words
     blocks = max(1, math.ceil(total / 12 / block_windows))
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     schema = "doc long, item long, distance int, similarity double, first_word long, end_word long"
@@ -281,7 +404,7 @@ def find_leaks(
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).distinct().orderBy("id", "text").collect()
         index = build_index([r["id"] for r in rows], [r["text"] for r in rows], similarity, recall)
-        found = given.mapInPandas(search(index, similarity), schema)
+        found = given.mapInPandas(search(index), schema)
         out = found if out is None else out.union(found)
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})
 

@@ -118,6 +118,43 @@ def slow_distance(item, text):
     return min(row)
 
 
+def leak_copies(text, share, draws):
+    """Copies of a normalised item with ``share`` of its characters edited, by kind of edit."""
+    n = len(text)
+    edits, letters = int(share * n), "abcdefghijklmnopqrstuvwxyz"
+    other = lambda k: "".join(draws.choice(list(letters), k))
+    typos = list(text)
+    for at in sorted(draws.choice(n, edits, replace=False), reverse=True):
+        kind = draws.integers(3)
+        typos[at : at + (kind != 1)] = [other(1)] if kind != 2 else []
+    at = int(draws.integers(n - edits + 1))
+    return {"typos": "".join(typos), "block": text[:at] + other(edits) + text[at + edits :], "gap": text[:at] + text[at + edits :],
+            "filling": text[:at] + other(edits) + text[at:], "head": other(edits) + text[edits:], "tail": text[: n - edits] + other(edits)}
+
+
+def test_leaks_at_the_threshold_against_brute_force(spark):
+    """Each kind of edit at similarity 0.8 to 0.9; the plain distance says which copies are leaks."""
+    draws = np.random.default_rng(11)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()][:14]
+    items += [(1000 + n, " ".join(t.split()[:k])) for n, ((_, t), k) in enumerate(zip(items, (3, 4, 5, 6, 8, 10, 12)))]
+    docs, planted = [], {}
+    for i, t in items:
+        for share in (0.1, 0.15, 0.2):
+            for kind, copy in leak_copies(" ".join(H.words(t)), share, draws).items():
+                docs.append((len(docs), "some words before " * int(draws.integers(4)) + copy + " and some behind"))
+                planted[docs[-1][0], i] = kind
+    text_of, item_of = dict(docs), {i: " ".join(H.words(t)) for i, t in items}
+    near = {(d, i): k for (d, i), k in planted.items() if slow_distance(item_of[i], " ".join(H.words(text_of[d]))) <= 0.2 * len(item_of[i]) + 1e-9}
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()}
+    held = {kind: np.mean([k in found for k, v in near.items() if v == kind]) for kind in set(near.values())}
+    assert len(near) > 300 and min(held.values()) >= 0.98 and np.mean([k in found for k in near]) >= 0.99, held
+    for d, i in list(near)[::10]:
+        if (d, i) in found:
+            words, r = H.words(text_of[d]), found[d, i]
+            assert r["distance"] == slow_distance(item_of[i], " ".join(words))
+            assert r["distance"] >= slow_distance(item_of[i], " ".join(words[r["first_word"] : r["end_word"]]))
+
+
 def test_edit_distances_match_plain(spark):
     draws = np.random.default_rng(3)
     pairs = [("".join(draws.choice(list("abc"), draws.integers(0, 12))), "".join(draws.choice(list("abc"), draws.integers(0, 15)))) for _ in range(60)]
