@@ -109,20 +109,22 @@ def revealing_terms(
 ) -> DataFrame:
     """(``term``, ``entity``, ``disclosure``) for pairs above the threshold.
 
-    disclosure = log(n * both / (entity * term)) / log(n / entity) with document counts over
-    the whole corpus: 1 if the term never appears without the entity, 0 if they are
+    disclosure = log(n * both / (entity * term)) / log(n / entity) with counts of different
+    texts over the whole corpus: 1 if the term never appears without the entity, 0 if they are
     independent.  Entities, and pairs, in fewer than ``min_docs`` different texts say nothing.
     All counts combine before they are shuffled; documents' words are paired with the few
     entities of the same document only.
     """
-    n = docs.count()
-    # a further copy of the same text is no further evidence
+    # a further copy of the same text is no further evidence, for the terms and the whole as for entities
+    texts = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")
+    )
+    n = texts.select("_hash").distinct().count()
     once = found.groupBy("_hash").agg(F.min_by(F.struct("_doc", "_values"), "_doc").alias("_first"))
     named = once.select("_first._doc", F.explode("_first._values").alias("entity"))
     common = named.groupBy("entity").agg(F.count(F.lit(1)).alias("_e")).where((F.col("_e") >= min_docs) & (F.col("_e") < n))
     holding = materialize(named.join(common, "entity"), "holding")
     ids = holding.select(F.col("_doc").alias("_id")).distinct()
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     words = texts.join(ids, "_id").select("_id", F.explode(terms_of(F.col("_text"))).alias("term"))
     pairs = holding.join(words, holding["_doc"] == words["_id"]).groupBy("entity", "_e", "term").agg(F.count(F.lit(1)).alias("_both"))
     pairs = materialize(pairs.where(F.col("_both") >= min_docs), "pairs")
@@ -131,7 +133,7 @@ def revealing_terms(
     wanted = materialize(pairs.select("term").distinct(), "terms")
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
-    everywhere = texts.select(F.explode(terms_of(F.col("_text"))).alias("term")).join(wanted, "term")
+    everywhere = texts.select("_hash", F.explode(terms_of(F.col("_text"))).alias("term")).join(wanted, "term").distinct()
     counted = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("_t"))
     rows = F.lit(float(n))
     share = F.log(rows * F.col("_both") / (F.col("_e") * F.col("_t"))) / F.log(rows / F.col("_e"))

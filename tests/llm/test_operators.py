@@ -239,6 +239,17 @@ def test_disclosing_terms(spark, odd, empty):
     assert personal_data.sanitise(empty).count() == 0
 
 
+def test_disclosure_with_copies(spark):
+    """Entity and term in three texts only, each copied 200 times."""
+    rows = [(i, f"mail bob@x.org about zebra {'one two three'.split()[i % 3]}") for i in range(600)]
+    rows += [(1000 + i, f"other text about number {i}") for i in range(300)]
+    found = {r["doc_id"]: r for r in personal_data.sanitise(frame(spark, rows)).collect()}
+    assert all("zebra" not in found[i]["clean"] for i in range(600))
+    docs = frame(spark, rows)
+    got = personal_data.revealing_terms(docs, personal_data.find_entities(docs, "doc_id", "text"), "doc_id", "text").collect()
+    assert {r["term"]: round(r["disclosure"], 9) for r in got}["zebra"] == 1
+
+
 # 5 token counts
 
 def test_ledger(spark):
