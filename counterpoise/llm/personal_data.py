@@ -82,20 +82,40 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return [(k, a, b) for k in KINDS for a, b in FINDERS[k](text)]
 
 
+def only_inside(text: str | None) -> list[str]:
+    """Lower-case words that a text holds in base spans only."""
+    text = text or ""
+    taken = sorted((a, b) for _, a, b in base_spans(text))
+    inside, outside, k, reach = set(), set(), 0, 0
+    for m in _word.finditer(text) if taken else ():
+        # spans of different kinds may overlap: ``reach`` is how far those begun so far go
+        while k < len(taken) and taken[k][0] < m.end():
+            reach, k = max(reach, taken[k][1]), k + 1
+        (inside if reach > m.start() else outside).add(m[0].lower())
+    return sorted(inside - outside)
+
+
 def find_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(``_doc``, ``_hash``, ``_values``) of the documents that hold an entity; ``_hash`` names the text."""
+    """(``_doc``, ``_hash``, ``_values``, ``_inside``) of the documents that hold an entity.
+
+    ``_hash`` names the text, ``_inside`` are its words that appear in base spans only.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = [sorted({(t or "")[a:b] for _, a, b in base_spans(t)}) for t in batch["text"]]
             some = [bool(v) for v in values]
-            yield pd.DataFrame({"_doc": batch["doc"][some], "_hash": batch["hash"][some], "_values": pd.Series([v for v in values if v], dtype=object).to_numpy()})
+            yield pd.DataFrame({
+                "_doc": batch["doc"][some], "_hash": batch["hash"][some],
+                "_values": pd.Series([v for v in values if v], dtype=object).to_numpy(),
+                "_inside": pd.Series([only_inside(t) for t in batch["text"][some]], dtype=object).to_numpy(),
+            })
 
     kind = dict(docs.dtypes)[id_col]
     given = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash")
     )
-    return given.mapInPandas(run, f"_doc {kind}, _hash long, _values array<string>")
+    return given.mapInPandas(run, f"_doc {kind}, _hash long, _values array<string>, _inside array<string>")
 
 
 def terms_of(text: Column) -> Column:
@@ -120,20 +140,22 @@ def revealing_terms(
         F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")
     )
     n = texts.select("_hash").distinct().count()
-    once = found.groupBy("_hash").agg(F.min_by(F.struct("_doc", "_values"), "_doc").alias("_first"))
+    once = found.groupBy("_hash").agg(F.min_by(F.struct("_doc", "_values", "_inside"), "_doc").alias("_first"))
     named = once.select("_first._doc", F.explode("_first._values").alias("entity"))
     common = named.groupBy("entity").agg(F.count(F.lit(1)).alias("_e")).where((F.col("_e") >= min_docs) & (F.col("_e") < n))
     holding = materialize(named.join(common, "entity"), "holding")
     ids = holding.select(F.col("_doc").alias("_id")).distinct()
     words = texts.join(ids, "_id").select("_id", F.explode(terms_of(F.col("_text"))).alias("term"))
+    # occurrences in base spans belong to these spans
+    hidden = once.select("_first._doc", "_hash", F.explode("_first._inside").alias("term"))
+    words = words.join(hidden.select(F.col("_doc").alias("_id"), "term"), ["_id", "term"], "left_anti")
     pairs = holding.join(words, holding["_doc"] == words["_id"]).groupBy("entity", "_e", "term").agg(F.count(F.lit(1)).alias("_both"))
     pairs = materialize(pairs.where(F.col("_both") >= min_docs), "pairs")
-    # the parts of an entity belong to its own span
-    pairs = pairs.where(~F.contains(F.lower("entity"), F.col("term")))
     wanted = materialize(pairs.select("term").distinct(), "terms")
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
     everywhere = texts.select("_hash", F.explode(terms_of(F.col("_text"))).alias("term")).join(wanted, "term").distinct()
+    everywhere = everywhere.join(hidden.select("_hash", "term"), ["_hash", "term"], "left_anti")
     counted = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("_t"))
     rows = F.lit(float(n))
     share = F.log(rows * F.col("_both") / (F.col("_e") * F.col("_t"))) / F.log(rows / F.col("_e"))

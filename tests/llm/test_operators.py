@@ -250,6 +250,17 @@ def test_disclosure_with_copies(spark):
     assert {r["term"]: round(r["disclosure"], 9) for r in got}["zebra"] == 1
 
 
+def test_name_in_address_and_prose(spark):
+    """Only the places outside base spans count."""
+    rows = [(i, f"write john.smith@acme.com as smith said {i}") for i in range(6)]
+    rows += [(100 + i, f"other text said {i}") for i in range(60)] + [(200 + i, f"mail x{i}@smith.org said {i}") for i in range(6)]
+    found = {r["doc_id"]: r for r in personal_data.sanitise(frame(spark, rows)).collect()}
+    at = rows[0][1].index("smith said")
+    assert ("term", at, at + 5) in [tuple(s) for s in found[0]["spans"]]
+    assert "smith" not in found[0]["clean"] and "said" in found[0]["clean"]
+    assert personal_data.only_inside("john a@john.org smith@x.org") == ["a", "org", "smith", "x"]
+
+
 # 5 token counts
 
 def test_ledger(spark):
