@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, new_path
-from . import decontaminate, jaccard_join, line_dedup, mixing, personal_data, quality, suffix_dedup, token_rollup, topk, url_cascade
+from . import (
+    decontaminate, fingerprints, jaccard_join, lexical, line_dedup, mixing, personal_data, quality, spelling, suffix_dedup,
+    token_rollup, topk, url_cascade,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -157,3 +160,72 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_fingerprints")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_spelling", """
+with recursive bits as (
+  select list_transform(range(256), lambda n: list_reduce(list_prepend(n::UBIGINT, range(8)::UBIGINT[]),
+    lambda c, k: case when c % 2 = 1 then xor(3988292384::UBIGINT, c // 2) else c // 2 end)) as tab),
+runs as (
+  select doc_id, run, count(*) as n from (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[a-zÀ-ÿ]+')) as run from documents)
+  where length(run) >= 5 group by doc_id, run),
+hashed as (
+  select run, n, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(
+    string_split(doc_id::VARCHAR || ':' || run, ''), lambda ch: case when unicode(ch) < 128 then [unicode(ch)::UBIGINT]
+      else [(192 + unicode(ch) // 64)::UBIGINT, (128 + unicode(ch) % 64)::UBIGINT] end))),
+    lambda c, b: xor(tab[(xor(c % 256, b) + 1)::BIGINT], c // 256))) as h from runs, bits),
+words as (
+  select word, sum(n)::BIGINT as n from (
+    select n, case when h % 97 = 0 then substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+                   else run end as word from hashed)
+  where length(word) >= 5 group by word having sum(n) >= 3),
+cuts as (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select a.word, b.word as other, b.n from cuts a join cuts b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select c.word, w.word, w.n from cuts c join words w on c.rest = w.word
+  union select w.word, c.word, c.n from cuts c join words w on c.rest = w.word),
+best as (
+  select word, count(*)::BIGINT as n_near, first(other order by n desc, other) as other, max(n) as best_n from near group by word),
+forms as (
+  select w.word, w.n, coalesce(b.n_near, 0)::BIGINT as n_near, case when b.best_n >= 2 * w.n then b.other end as form,
+         case when b.best_n >= 2 * w.n then b.best_n end as form_n from words w left join best b on w.word = b.word),
+chain as (
+  select word, word as at, 0 as step from forms
+  union all select c.word, f.form, step + 1 from chain c join forms f on c.at = f.word where f.form is not null)
+select f.word, f.form, (select max_by(c.at, c.step) from chain c where c.word = f.word) as root, f.n, f.n_near, f.form_n from forms f
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", dropout=97)
+    return spelling.group_variants(words)
+
+
+@query("op13_lexical_search", r"""
+with terms as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+sizes as (select doc_id, count(*)::BIGINT as n from terms group by doc_id),
+whole as (select count(*)::BIGINT as docs, sum(n)::BIGINT as len from sizes),
+held as (select doc_id, term, count(*)::BIGINT as tf from terms where term in (select term from asked) group by doc_id, term),
+weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT as w from held, whole group by term, docs),
+lengths as (select doc_id, 50 + (50 * n * docs) // len as m from sizes, whole),
+scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT as score
+  from asked join held using (term) join weights using (term) join lengths using (doc_id) group by item_id, doc_id),
+ranked as (select *, (row_number() over (partition by item_id order by score desc, doc_id))::INTEGER as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
