@@ -6,6 +6,7 @@ partitioning, after a retry on another executor, and in plain SQL.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, functions as F
@@ -32,6 +33,12 @@ def u(seed, *keys) -> Column:
     return hash52(F.lit(str(seed)), *[_key(k) for k in keys]) / F.lit(float(1 << 52))
 
 
+def u_value(*parts) -> float:
+    """The draw of ``u`` for values outside of columns."""
+    digest = hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()
+    return int(digest[:13], 16) / float(1 << 52)
+
+
 def u_open(seed, *keys) -> Column:
     """Uniform draw in (0, 1)."""
     return (hash52(F.lit(str(seed)), *[_key(k) for k in keys]) + F.lit(0.5)) / F.lit(float(1 << 52))

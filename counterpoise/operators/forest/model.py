@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ...functions.draw import u
 from ...session import fits
 
-MAX_NODES = 5_000_000
+MEMORY_ROWS = 500_000
 SCHEMA = (
     "tree int, node int, depth int, kind string, attr string, split double, cat_value string, "
     "child_lo int, child_hi int, label string"
@@ -61,15 +61,17 @@ class Forest:
 
     @classmethod
     def from_table(cls, table: DataFrame, numeric: list[str], categorical: list[str], regression: bool = False) -> Forest:
-        """Read a node table of at most ``MAX_NODES`` rows."""
-        if not fits(table, MAX_NODES):
-            raise ValueError(f"model has more than {MAX_NODES} node rows")
+        """Read a node table of at most ``MEMORY_ROWS`` rows; defaults of other values need the domains and are left out."""
+        if not fits(table, MEMORY_ROWS):
+            raise ValueError(f"more than {MEMORY_ROWS} rows: score the model by its tables (nodes.ForestTable)")
         trees: dict[int, dict[int, Node]] = {}
         for r in table.collect():
             node = trees.setdefault(r.tree, {}).setdefault(r.node, Node(r.kind, r.depth))
             node.attr, node.split, node.label = r.attr, r.split, r.label
             if r.kind == "categorical":
-                node.branches[r.cat_value] = r.child_lo
+                node.label = None
+                if r.child_lo is not None:
+                    node.branches[r.cat_value] = r.child_lo
             else:
                 node.lo, node.hi = r.child_lo, r.child_hi
         return cls(numeric, categorical, [[t[i] for i in range(len(t))] for _, t in sorted(trees.items())], regression)
@@ -153,8 +155,15 @@ def _inputs(forest: Forest) -> list[Column]:
     return [F.col(c).cast("double") for c in forest.numeric] + [F.col(c).cast("string") for c in forest.categorical]
 
 
-def leaf_column(forest: Forest) -> Column:
+def loaded(forest) -> Forest:
+    """A forest in memory, whichever form it has."""
+    return forest if isinstance(forest, Forest) else forest.in_memory
+
+
+def leaf_column(forest) -> Column:
     """array<int>: the node each tree ends at, -1 for none."""
+    forest = loaded(forest)
+
     def answer(leaves: list[np.ndarray]) -> list:
         return list(np.array(leaves).T)
 
@@ -164,8 +173,10 @@ def leaf_column(forest: Forest) -> Column:
     return F.pandas_udf(run, "array<int>")(*_inputs(forest))
 
 
-def votes_column(forest: Forest) -> Column:
+def votes_column(forest) -> Column:
     """array<string>: each tree's prediction, null for none."""
+    forest = loaded(forest)
+
     def answer(leaves: list[np.ndarray]) -> list:
         columns = []
         for nodes, at in zip(forest.trees, leaves):
@@ -179,14 +190,20 @@ def votes_column(forest: Forest) -> Column:
     return F.pandas_udf(run, "array<string>")(*_inputs(forest))
 
 
-def tree_votes(df: DataFrame, forest: Forest, out: str = "votes") -> DataFrame:
-    """Adds each tree's prediction as an array; rows do not move."""
-    return df.withColumn(out, votes_column(forest))
+def tree_votes(df: DataFrame, forest, out: str = "votes", ids: list[str] | None = None) -> DataFrame:
+    """Adds each tree's prediction as an array.
+
+    A model that fits memory travels to the rows; a larger one is joined round by round, for which
+    ``ids`` must name unique columns.
+    """
+    if isinstance(forest, Forest) or forest.fits_memory:
+        return df.withColumn(out, votes_column(forest))
+    return forest.votes(df, ids, out)
 
 
-def predict(df: DataFrame, forest: Forest, ids: list[str], out: str = "prediction", seed="vote") -> DataFrame:
+def predict(df: DataFrame, forest, ids: list[str], out: str = "prediction", seed="vote") -> DataFrame:
     """Adds the majority of the trees (ties by a seeded draw) or their mean; null if no tree predicts."""
-    voted = tree_votes(df, forest, "_votes")
+    voted = tree_votes(df, forest, "_votes", ids)
     known = F.filter("_votes", lambda v: v.isNotNull())
     if forest.regression:
         numbers = F.transform(known, lambda v: v.cast("double"))
@@ -200,18 +217,19 @@ def predict(df: DataFrame, forest: Forest, ids: list[str], out: str = "predictio
     return voted.withColumn(out, F.array_max(ballot)["v"]).drop("_votes", "_known")
 
 
-def tree_predictions(df: DataFrame, forest: Forest, ids: list[str]) -> DataFrame:
+def tree_predictions(df: DataFrame, forest, ids: list[str]) -> DataFrame:
     """Long form of the prediction matrix: (ids, tree, prediction)."""
-    return tree_votes(df, forest).select(*ids, F.posexplode("votes").alias("tree", "prediction"))
+    return tree_votes(df, forest, ids=ids).select(*ids, F.posexplode("votes").alias("tree", "prediction"))
 
 
-def score(df: DataFrame, forest: Forest, ids: list[str], label: str, seed="vote") -> DataFrame:
+def score(df: DataFrame, forest, ids: list[str], label: str, seed="vote") -> DataFrame:
     """(ids, true label, prediction) of every row."""
     return predict(df, forest, ids, seed=seed).select(*ids, label, "prediction")
 
 
-def decision_paths(df: DataFrame, forest: Forest, ids: list[str], tree: int = 0) -> DataFrame:
+def decision_paths(df: DataFrame, forest, ids: list[str], tree: int = 0) -> DataFrame:
     """(ids, path): the tests a row passes in one tree and the label it gets."""
+    forest = loaded(forest)
     nodes = forest.trees[tree]
     steps: dict[int, str] = {0: ""}
     for i, x in enumerate(nodes):

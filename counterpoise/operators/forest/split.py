@@ -20,12 +20,19 @@ from ..prefix import ordered_chunks, running_sums
 # Gains equal up to this many decimals count as tied; the first value then wins.
 TIE_DIGITS = 9
 WINDOW_VALUES = 1_000_000
-MAX_VALUES = 100_000
+# classes are columns of a histogram
+MAX_CLASSES = 10_000
 
 
 @dataclass(frozen=True)
 class Target:
-    """Statistics of the target column: class counts, or moments when ``classes`` is None."""
+    """A split criterion: the statistics of the label and what is computed from them.
+
+    ``classes`` holds the classes counted, or is None when moments of a number are kept.  The histogram
+    pass, the split search and the tree builders use nothing but these methods, so another criterion is
+    a subclass with its own ``impurity`` (and, if it needs other statistics, ``names``, ``aggregates``,
+    ``size``, ``pure`` and ``answer``).
+    """
 
     label: str
     classes: tuple | None = None
@@ -59,18 +66,39 @@ class Target:
         drop = self.impurity(whole) - parts
         return drop if self.classes is None else drop / self.size(whole)
 
+    def spread(self, stats: list[Column]) -> Column:
+        """Impurity per row."""
+        return F.try_divide(self.impurity(stats), self.size(stats).cast("double"))
 
-def class_target(df: DataFrame, label: str) -> Target:
-    """Target with the classes found in the data, in order."""
-    return Target(label, tuple(few_values(df, F.col(label))))
+    def pure(self, stats: list[Column], least: Column) -> Column:
+        """Whether a node needs no split: one class, or a variance below ``least``."""
+        if self.classes is None:
+            return self.spread(stats) < least
+        return sum((F.when(s > 0, 1).otherwise(0) for s in stats[1:]), F.when(stats[0] > 0, 1).otherwise(0)) <= 1
+
+    def answer(self, stats: list[Column], *tie: Column) -> Column:
+        """Label of a leaf: the mean, or the majority with ties broken by a draw from ``tie``; null without rows."""
+        if self.classes is None:
+            return F.try_divide(stats[1], stats[0].cast("double")).cast("string")
+        ballot = F.array(*[F.struct(s.alias("n"), u(*tie, F.lit(c)).alias("u"), F.lit(str(c)).alias("c")) for s, c in zip(stats, self.classes)])
+        return F.when(self.size(stats) > 0, F.array_max(ballot)["c"])
 
 
-def few_values(df: DataFrame, column: Column) -> list:
-    """Sorted distinct values of a column that must have few: classes, or values of a category."""
-    found = df.select(column.alias("v")).where(F.col("v").isNotNull()).distinct().limit(MAX_VALUES + 1).collect()
-    if len(found) > MAX_VALUES:
-        raise ValueError(f"more than {MAX_VALUES} distinct values: not a class or category column")
-    return sorted(r["v"] for r in found)
+class GiniTarget(Target):
+    """Classes by the Gini index: n times the chance that two rows drawn from a node differ in class."""
+
+    def impurity(self, stats: list[Column]) -> Column:
+        squares = [c.cast("double") * c for c in stats]
+        n = self.size(stats).cast("double")
+        return F.when(n > 0, n - sum(squares[1:], squares[0]) / n).otherwise(F.lit(0.0))
+
+
+def class_target(df: DataFrame, label: str, kind: type[Target] = Target) -> Target:
+    """Target with the classes found in the data, in order."""
+    found = df.select(F.col(label).alias("v")).where(F.col("v").isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} distinct values: not a class column")
+    return kind(label, tuple(sorted(r["v"] for r in found)))
 
 
 def _long(df: DataFrame, keys: list[str], attrs: list[str], kind: str, label: str) -> DataFrame:
@@ -147,15 +175,19 @@ def numeric_splits(
     return found.groupBy(*keys, "attr").agg(best.alias("b")).select(*keys, "attr", "b.*")
 
 
-def categorical_gain(df: DataFrame, attrs: list[str], label: str, keys: list[str] | None = None) -> DataFrame:
-    """Information gain of categorical attributes about a class label."""
-    target = class_target(df, label)
+def categorical_gain(
+    df: DataFrame, attrs: list[str], label: str, keys: list[str] | None = None, criterion: type[Target] = Target
+) -> DataFrame:
+    """Information gain, or the gain of another criterion, of categorical attributes about a class label."""
+    target = class_target(df, label, criterion)
     return categorical_gains(histogram(df, keys or [], attrs, "string", target), keys or [], target)
 
 
-def numeric_split(df: DataFrame, attrs: list[str], label: str, keys: list[str] | None = None) -> DataFrame:
+def numeric_split(
+    df: DataFrame, attrs: list[str], label: str, keys: list[str] | None = None, criterion: type[Target] = Target
+) -> DataFrame:
     """Best threshold of numeric attributes about a class label: (attr, split, gain)."""
-    target = class_target(df, label)
+    target = class_target(df, label, criterion)
     hist = materialize(histogram(df, keys or [], attrs, "double", target), "histogram")
     return numeric_splits(hist, keys or [], target).select(*(keys or []), "attr", "split", "gain")
 

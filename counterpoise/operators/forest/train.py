@@ -1,31 +1,26 @@
 """Level-wise training of all trees of a forest together.
 
-Rows stay in one written table with the trees that drew them.  Each level is one pass:
-rows are sent down the trees grown so far, one histogram is built over every open node
-of every tree, the best splits are searched in it, and only those (one record per open
-node) come back to extend the model.
+The rows of open nodes are a written table, one row per tree that drew it, with the node it is at.
+A level is one pass: a histogram over every open node of every tree, the best split of each
+node as one row of a table, and a join that moves the rows to their children.  Rows of closed nodes
+drop out.  Categories are codes of a table of values, so neither they nor the nodes of the model
+go through the driver, and a level's tables have a known size: Spark broadcasts the small ones.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ...functions.draw import below, bucket, u
 from ...session import discard, materialize
-from ..prefix import shuffled_rank
-from .model import MAX_NODES, Forest, Node, leaf_column
-from .split import Target, categorical_gains, class_target, default_attributes, few_values, numeric_splits
+from ..prefix import running_sums, shuffled_rank, sorted_rank
+from .nodes import ForestTable
+from .split import WINDOW_VALUES, Target, categorical_gains, class_target, default_attributes, numeric_splits
 
 EPSILON = 1e-6
-BROADCAST_NODES = 200_000
-
-
-def _draw(*parts) -> float:
-    """The draw of functions/draw.py, for decisions about the model itself."""
-    digest = hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()
-    return int(digest[:13], 16) / float(1 << 52)
+# one window numbers the open nodes of a tree up to here, chunks of node numbers beyond
+WINDOW_NODES = 1 << 20
+NODE_CHUNK = 1 << 20
 
 
 def bag_rows(df: DataFrame, ids: list[str], n_trees: int, partitions: int | None, seed="bag") -> DataFrame:
@@ -66,155 +61,134 @@ def _binned(value: Column, edges: list[float]) -> Column:
 
 
 class _Grower:
-    def __init__(self, target: Target, numeric, categorical, m, min_split, min_var_prop, min_gain,
-                 complemented, max_depth, domains, retry, seed, n_trees):
-        self.retry = retry
-        self.target, self.numeric, self.categorical = target, numeric, categorical
+    """Growth rules as column expressions; attributes are numbers, numeric ones first."""
+
+    def __init__(self, target: Target, names: list[str], n_numeric: int, m, min_split, min_var_prop, min_gain, max_depth, retry, seed):
+        self.target, self.names, self.n_numeric = target, names, n_numeric
         self.m, self.min_split, self.min_var_prop, self.min_gain = m, min_split, min_var_prop, min_gain
-        self.complemented, self.max_depth, self.domains, self.seed = complemented, max_depth, domains, seed
-        self.regression = target.classes is None
-        self.forest = Forest(numeric, categorical, [[Node("leaf")] for _ in range(n_trees)], self.regression)
-        self.least: dict[int, float] = {}
-        # open nodes and the attributes they must not use again
-        self.open: dict[tuple[int, int], frozenset] = {(t, 0): frozenset() for t in range(n_trees)}
-
-    def attributes(self, tree: int, node: int, used: frozenset) -> list[str]:
+        self.max_depth, self.retry, self.seed = max_depth, retry, seed
+        self.numbers = [f"x{i}" for i in range(n_numeric)]
+        self.words = [f"x{i}" for i in range(n_numeric, len(names))]
+
+    def stats(self, prefix: str = "") -> list[Column]:
+        return [F.col(prefix + n) for n in self.target.names]
+
+    def attributes(self) -> Column:
         """The random attributes of a node, in drawn order."""
-        free = [a for a in [*self.numeric, *self.categorical] if a not in used]
-        return sorted(free, key=lambda a: (_draw(self.seed, tree, node, a), a))[: self.m]
-
-    def size(self, stats) -> float:
-        return stats[0] if self.regression else sum(stats)
-
-    def variance(self, stats) -> float:
-        n, y, yy = stats
-        return (yy - y * y / n) / n if n else 0.0
-
-    def answer(self, tree: int, node: int, stats) -> str | None:
-        """Label of a leaf: the mean, or the majority with ties broken by a draw."""
-        if not self.size(stats):
-            return None
-        if self.regression:
-            return repr(float(stats[1] / stats[0]))
-        best = max(range(len(stats)), key=lambda i: (stats[i], _draw(self.seed, "label", tree, node, self.target.classes[i])))
-        return str(self.target.classes[best])
-
-    def finished(self, tree: int, depth: int, stats, used: frozenset) -> bool:
-        if self.max_depth is not None and depth >= self.max_depth:
-            return True
-        if used.issuperset([*self.numeric, *self.categorical]):
-            return True
-        if self.regression:
-            return self.variance(stats) < self.least[tree]
-        return sum(1 for s in stats if s) <= 1
-
-    def add(self, tree: int, depth: int, stats, used: frozenset) -> int:
-        nodes = self.forest.trees[tree]
-        place = len(nodes)
-        nodes.append(Node("leaf", depth, label=self.answer(tree, place, stats)))
-        if self.size(stats) and not self.finished(tree, depth, stats, used):
-            self.open[(tree, place)] = used
-        return place
-
-    def extend(self, found) -> None:
-        """Turn the best splits of the open nodes into children."""
-        level, self.open = self.open, {}
-        by_node = {(r["tree"], r["node"]): r for r in found}
-        for (tree, place), used in level.items():
-            r, node = by_node.get((tree, place)), self.forest.trees[tree][place]
-            if r is None:
-                continue
-            whole = [r[f"t_{n}"] for n in self.target.names]
-            node.label = self.answer(tree, place, whole)
-            if place == 0 and self.regression:
-                self.least[tree] = self.variance(whole) * self.min_var_prop
-            if self.finished(tree, node.depth, whole, used):
-                continue
-            if r["gain"] is None or r["gain"] < self.min_gain:
-                tried = used | {r["attr"]}
-                if self.retry and not self.finished(tree, node.depth, whole, tried):
-                    self.open[(tree, place)] = tried
-                continue
-            if r["split"] is not None:
-                lo = [r[f"l_{n}"] for n in self.target.names]
-                hi = [w - x for w, x in zip(whole, lo)]
-                if self.size(lo) < self.min_split or self.size(hi) < self.min_split:
-                    continue
-                node.kind, node.attr, node.split, node.label = "numeric", r["attr"], r["split"], None
-                below_here = used.intersection(self.categorical)
-                node.lo = self.add(tree, node.depth + 1, lo, below_here)
-                node.hi = self.add(tree, node.depth + 1, hi, below_here)
-                continue
-            parts = {b["value"]: [b[n] for n in self.target.names] for b in r["branches"]}
-            if sum(1 for s in parts.values() if self.size(s) >= self.min_split) < 2:
-                continue
-            label, node.kind, node.attr, node.label = node.label, "categorical", r["attr"], None
-            now_used = used | {r["attr"]}
-            for value in sorted(parts):
-                node.branches[value] = self.add(tree, node.depth + 1, parts[value], now_used)
-            if self.complemented:
-                for value in self.domains[r["attr"]]:
-                    if value not in node.branches:
-                        self.forest.trees[tree].append(Node("leaf", node.depth + 1, label=label))
-                        node.branches[value] = len(self.forest.trees[tree]) - 1
-        if self.forest.size > MAX_NODES:
-            raise ValueError("the model outgrows memory: train in partitions or set max_depth")
-
-
-def _level(rows: DataFrame, grower: _Grower) -> list:
-    """Best split of every open node, from one histogram."""
-    target, spark = grower.target, rows.sparkSession
-    order = {
-        (t, n): grower.attributes(t, n, used) for (t, n), used in grower.open.items()
-    }
-    plan = spark.createDataFrame(
-        [(t, n, attrs) for (t, n), attrs in order.items()], "tree int, node int, attrs array<string>"
-    )
-    routed = rows.withColumn("_at", leaf_column(grower.forest))
-    drawn = routed.select(
-        "*", F.explode("bag").alias("tree")
-    ).withColumn("node", F.get("_at", F.col("tree"))).drop("_at", "bag")
-    # a frame made of a list has no size estimate: without the hint the rows would be shuffled to it
-    opened = drawn.join(F.broadcast(plan) if len(order) <= BROADCAST_NODES else plan, ["tree", "node"])
-    cells = opened.select(
-        "tree", "node", target.label, F.posexplode("attrs").alias("rank", "attr"),
-        *grower.numeric, *grower.categorical,
-    )
-    number = F.lit(None).cast("double")
-    for c in grower.numeric:
-        number = F.when(F.col("attr") == c, F.col(c).cast("double")).otherwise(number)
-    word = F.lit(None).cast("string")
-    for c in grower.categorical:
-        word = F.when(F.col("attr") == c, F.col(c).cast("string")).otherwise(word)
-    hist = materialize(
-        cells.groupBy("tree", "node", "rank", "attr", number.alias("value"), word.alias("word")).agg(*target.aggregates()),
-        "histogram",
-    )
-    keys = ["tree", "node", "rank"]
-    stats = target.names
-    parts = []
-    if grower.numeric:
-        numbers = hist.where(F.col("value").isNotNull()).drop("word")
-        splits = numeric_splits(numbers, keys, target, 9 if target.classes is not None else 6)
-        parts.append(splits.withColumn("branches", F.lit(None).cast(
-            "array<struct<value:string," + ",".join(f"{n}:{t}" for n, t in hist.select(*stats).dtypes) + ">>")))
-    if grower.categorical:
-        words = hist.where(F.col("word").isNotNull()).select(*keys, "attr", F.col("word").alias("value"), *stats)
-        gains = categorical_gains(words, keys, target)
-        branches = words.groupBy(*keys, "attr").agg(
-            F.collect_list(F.struct("value", *stats)).alias("branches"), *[F.sum(n).alias(f"t_{n}") for n in stats]
-        )
-        joined = gains.join(branches, [*keys, "attr"])
-        parts.append(joined.select(
-            *keys, "attr", F.lit(None).cast("double").alias("split"), "gain",
-            *[F.lit(None).cast(t).alias(f"l_{n}") for n, t in hist.select(*stats).dtypes], *[f"t_{n}" for n in stats], "branches",
-        ))
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    columns = ["split", "gain", "attr", *[f"l_{n}" for n in stats], *[f"t_{n}" for n in stats], "branches"]
-    best = F.min_by(F.struct(*columns), F.struct(-F.round("gain", 9), F.col("rank")))
-    chosen = found.groupBy("tree", "node").agg(best.alias("b")).select("tree", "node", "b.*").collect()
-    discard(hist)
-    return chosen
+        named = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("i")) for i, n in enumerate(self.names)])
+        free = F.filter(named, lambda a: ~F.array_contains("used", a["i"]))
+        drawn = F.array_sort(F.transform(free, lambda a: F.struct(u(self.seed, "tree", "node", a["name"]).alias("u"), a["name"].alias("name"), a["i"].alias("i"))))
+        return F.transform(F.slice(drawn, 1, self.m), lambda a: a["i"])
+
+    def finished(self, stats: list[Column], used: Column) -> Column:
+        done = self.target.pure(stats, F.col("least")) | (F.size(used) >= len(self.names))
+        return done if self.max_depth is None else done | (F.col("depth") >= self.max_depth)
+
+    def answer(self, stats: list[Column]) -> Column:
+        return self.target.answer(stats, self.seed, F.lit("label"), F.col("tree"), F.col("node"))
+
+    def histogram(self, rows: DataFrame) -> DataFrame:
+        """Statistics of every value of the attributes that the open nodes drew."""
+        cells = rows.select("tree", "node", "w", "y", F.posexplode("attrs").alias("rank", "attr"), *self.numbers, *self.words)
+        number, word = F.lit(None).cast("double"), F.lit(None).cast("long")
+        for i in range(len(self.names)):
+            if i < self.n_numeric:
+                number = F.when(F.col("attr") == i, F.col(f"x{i}")).otherwise(number)
+            else:
+                word = F.when(F.col("attr") == i, F.col(f"x{i}")).otherwise(word)
+        keys = ["tree", "node", "rank", "attr", number.alias("value"), word.alias("word")]
+        return materialize(cells.groupBy(*keys).agg(*self.target.aggregates(F.col("w"))), "histogram")
+
+    def decide(self, open_: DataFrame, hist: DataFrame, values: DataFrame | None, base: int, n_open: int, chunked: bool) -> DataFrame:
+        """One row per open node: leaf, retry, or its split, with the first id of its children."""
+        target, names = self.target, self.target.names
+        types = dict(hist.dtypes)
+        keys, parts = ["tree", "node", "rank"], []
+        if self.numbers:
+            splits = numeric_splits(hist.where(F.col("value").isNotNull()).drop("word"), keys, target, 9 if target.classes is not None else 6, chunked)
+            parts.append(splits.select(*keys, "attr", "split", "gain", *[f"l_{n}" for n in names], F.lit(None).cast("long").alias("big")))
+        if self.words:
+            words = hist.where(F.col("word").isNotNull())
+            big = words.groupBy(*keys, "attr").agg(F.count_if(target.size(self.stats()) >= self.min_split).alias("big"))
+            gains = categorical_gains(words, keys, target).join(big, [*keys, "attr"])
+            parts.append(gains.select(
+                *keys, "attr", F.lit(None).cast("double").alias("split"), "gain", *[F.lit(None).cast(types[n]).alias(f"l_{n}") for n in names], "big"))
+        found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        columns = ["split", "gain", "attr", *[f"l_{n}" for n in names], "big"]
+        best = found.groupBy("tree", "node").agg(F.min_by(F.struct(*columns), F.struct(-F.round("gain", 9), F.col("rank"))).alias("b"))
+        whole = hist.where(F.col("rank") == 0).groupBy("tree", "node").agg(*[F.sum(n).alias(f"t_{n}") for n in names])
+        met = open_.join(whole, ["tree", "node"], "left").join(best.select("tree", "node", "b.*"), ["tree", "node"], "left")
+        total, low = self.stats("t_"), self.stats("l_")
+        first = (F.col("node") == 0) & F.lit(target.classes is None)
+        met = met.withColumn("least", F.when(first, target.spread(total) * self.min_var_prop).otherwise(F.col("least")))
+        tried = F.concat("used", F.array("attr"))
+        poor = F.col("gain").isNull() | (F.col("gain") < self.min_gain)
+        halves = [target.size(low), target.size(total) - target.size(low)]
+        kind = F.when(F.col("attr").isNull() | F.col(f"t_{names[0]}").isNull() | self.finished(total, F.col("used")), "leaf")
+        if self.retry:
+            kind = kind.when(poor & ~self.finished(total, tried), "retry")
+        kind = kind.when(poor, "leaf").when(F.col("attr") < self.n_numeric, F.when((halves[0] >= self.min_split) & (halves[1] >= self.min_split), "numeric"))
+        kind = kind.when(F.col("big") >= 2, "categorical")
+        decided = met.withColumns({"kind": F.coalesce(kind, F.lit("leaf")), "label": self.answer(total), "span": F.lit(0).cast("long")})
+        if values is not None:
+            widths = values.groupBy(F.col("attr").alias("_attr")).agg(F.count(F.lit(1)).alias("_width"))
+            decided = decided.join(widths, F.col("attr") == F.col("_attr"), "left")
+            decided = decided.withColumn("span", F.when(F.col("kind") == "categorical", F.col("_width")).otherwise(0)).drop("_attr", "_width")
+        decided = decided.withColumns({
+            "span": F.when(F.col("kind") == "numeric", 2).otherwise(F.col("span")).cast("long"),
+            "used": F.when(F.col("kind") == "numeric", F.filter("used", lambda a: a >= self.n_numeric)).when(
+                F.col("kind").isin("categorical", "retry"), tried).otherwise(F.col("used")),
+        })
+        if n_open <= WINDOW_NODES:
+            upto = W.partitionBy("tree").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow)
+            placed = decided.withColumn("child", F.sum("span").over(upto))
+        else:
+            chunk = F.floor(F.col("node") / NODE_CHUNK).cast("long")
+            written = materialize(decided.withColumn("_chunk", chunk), "decided")
+            placed = running_sums(written, ["tree"], ["node"], {"child": F.col("span")}).drop("_chunk")
+        return materialize(placed.withColumn("child", F.col("child") - F.col("span") + base), "nodes")
+
+    def children(self, nodes: DataFrame, hist: DataFrame) -> DataFrame:
+        """Children of the split nodes, with ``closed`` for leaves, and the value they are reached by."""
+        target, names = self.target, self.target.names
+        keep = ["tree", "used", "least", (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent")]
+        low = F.struct(F.col("child").alias("node"), *[F.col(f"l_{n}").alias(n) for n in names])
+        high = F.struct((F.col("child") + 1).alias("node"), *[(F.col(f"t_{n}") - F.col(f"l_{n}")).alias(n) for n in names])
+        halves = nodes.where(F.col("kind") == "numeric").select(*keep, F.explode(F.array(low, high)).alias("c"))
+        out = halves.select("tree", "used", "least", "depth", "parent", "c.*", F.lit(None).cast("int").alias("attr"), F.lit(None).cast("long").alias("word"))
+        if self.words:
+            cells = hist.where(F.col("word").isNotNull()).drop("rank", "value")
+            wide = nodes.where(F.col("kind") == "categorical").select(*keep, "attr", "child")
+            met = wide.join(cells.withColumnRenamed("node", "parent"), ["tree", "parent", "attr"])
+            out = out.unionByName(met.select(
+                "tree", "used", "least", "depth", "parent", (F.col("child") + F.col("word")).alias("node"), *names, "attr", "word"))
+        stats = self.stats()
+        return materialize(out.withColumns({
+            "label": self.answer(stats), "closed": F.coalesce((target.size(stats) == 0) | self.finished(stats, F.col("used")), F.lit(True)),
+        }).drop(*names), "children")
+
+    def move(self, rows: DataFrame, nodes: DataFrame, open_: DataFrame) -> DataFrame:
+        """Rows of the nodes still open, at their new node."""
+        splits = nodes.where(F.col("kind") != "leaf").select(
+            "tree", "node", F.col("kind").alias("_kind"), F.col("attr").alias("_attr"), F.col("split").alias("_split"), F.col("child").alias("_child"))
+        value = F.lit(None).cast("double")
+        for i in range(len(self.names)):
+            value = F.when(F.col("_attr") == i, F.col(f"x{i}").cast("double")).otherwise(value)
+        place = F.when(F.col("_kind") == "numeric", F.col("_child") + F.when(value < F.col("_split"), 0).otherwise(1))
+        place = place.when(F.col("_kind") == "categorical", F.col("_child") + value.cast("long")).otherwise(F.col("node"))
+        moved = rows.drop("attrs").join(splits, ["tree", "node"]).withColumn("node", place).drop("_kind", "_attr", "_split", "_child")
+        return materialize(moved.join(open_.select("tree", "node", self.attributes().alias("attrs")), ["tree", "node"]), "open-rows")
+
+
+def coded(rows: DataFrame, columns: dict[int, str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with each category as a code, and the table of values (attr, value, code) per attribute number."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("attr"), F.col(c).alias("value")) for i, c in columns.items()]))
+    seen = rows.select(pairs.alias("p")).select("p.*").distinct()
+    values = materialize(sorted_rank(seen, ["value"], ["attr"], out="code"), "values")
+    for i, c in columns.items():
+        mine = values.where(F.col("attr") == i).select(F.col("value").alias(c), F.col("code").alias(f"_c{i}"))
+        rows = rows.join(mine, c).drop(c).withColumnRenamed(f"_c{i}", c)
+    return rows, values
 
 
 def train_forest(
@@ -236,12 +210,14 @@ def train_forest(
     regression: bool = False,
     bootstrap: bool = True,
     retry: bool = False,
+    criterion: type[Target] = Target,
     seed="forest",
-) -> Forest:
+) -> ForestTable:
     """Train a forest on bootstraps of all rows ('global') or of each partition ('partitioned').
 
     Every distinct value is a split candidate; ``max_bins`` limits candidates to that many
-    quantiles, which keeps histograms small on columns with many values.
+    quantiles, which keeps histograms small on columns with many values.  ``criterion`` is the split
+    criterion of classes.
     """
     used = [label, *numeric, *categorical]
     rows = materialize(df.select(*dict.fromkeys([*ids, *used])).na.drop(subset=used), "training-rows")
@@ -252,26 +228,71 @@ def train_forest(
         bagged = bag_rows(rows, ids, n_trees, partitions if mode == "partitioned" else None, f"{seed}-bag")
     else:
         bagged = rows.withColumn("bag", F.sequence(F.lit(0), F.lit(n_trees - 1)))
-    table = materialize(bagged.select("bag", *used), "bagged-rows")
-    target = Target(label) if regression else class_target(table, label)
-    domains = {}
-    if complemented:
-        for c in categorical:
-            domains[c] = few_values(table, F.col(c).cast("string"))
-    tried = m or default_attributes(len(numeric) + len(categorical), regression)
-    grower = _Grower(target, numeric, categorical, tried, min_split, min_var_prop, min_gain,
-                     complemented, max_depth, domains, retry, seed, n_trees)
-    while grower.open:
-        grower.extend(_level(table, grower))
-    return grower.forest
-
-
-def grow_tree(df: DataFrame, label: str, ids: list[str], numeric: list[str], categorical: list[str], **options) -> Forest:
+    target = Target(label) if regression else class_target(rows, label, criterion)
+    target = type(target)("y", target.classes)
+    names, n_numeric = [*numeric, *categorical], len(numeric)
+    kinds = ["double"] * n_numeric + ["string"] * len(categorical)
+    named = bagged.select("bag", F.col(label).alias("y"), *[F.col(c).cast(k).alias(f"x{i}") for i, (c, k) in enumerate(zip(names, kinds))])
+    values = None
+    if categorical:
+        named, values = coded(named, {i: f"x{i}" for i in range(n_numeric, len(names))})
+    tried = m or default_attributes(len(names), regression)
+    grower = _Grower(target, names, n_numeric, tried, min_split, min_var_prop, min_gain, max_depth, retry, seed)
+
+    start = F.array().cast("array<int>")
+    open_ = df.sparkSession.range(n_trees).select(
+        F.col("id").cast("int").alias("tree"), F.lit(0).cast("long").alias("node"), F.lit(0).alias("depth"), start.alias("used"),
+        F.lit(None).cast("double").alias("least"))
+    drawn = named.select("*", F.explode(F.array_distinct("bag")).alias("tree")).withColumns({
+        "w": F.size(F.filter("bag", lambda t: t == F.col("tree"))).cast("long"), "node": F.lit(0).cast("long")})
+    table = materialize(drawn.drop("bag").join(F.broadcast(open_.select("tree", "node", grower.attributes().alias("attrs"))), ["tree", "node"]), "open-rows")
+    discard(rows)
+
+    name_of = F.element_at(F.array(*map(F.lit, names)), F.col("attr") + 1)
+    shown = ["tree", "node", "depth", "kind", name_of.alias("attr"), "split", "child", "label"]
+    no_value = F.lit(None).cast("string")
+    rounds, steps, base, n_open, chunked = [], [], 1, n_trees, None
+    while True:
+        hist = grower.histogram(table)
+        if chunked is None:
+            # nodes below have no more values than their root
+            widest = hist.groupBy("tree", "attr").count().agg(F.max("count")).first()[0] or 0
+            chunked = widest > WINDOW_VALUES
+        nodes = grower.decide(open_, hist, values, base, n_open, chunked)
+        reached = grower.children(nodes, hist)
+        discard(hist)
+        rounds.append(nodes.where(F.col("kind") != "retry").select(*shown))
+        rounds.append(reached.where("closed").select(
+            "tree", "node", "depth", F.lit("leaf").alias("kind"), F.lit(None).cast("string").alias("attr"), F.lit(None).cast("double").alias("split"),
+            F.lit(None).cast("long").alias("child"), "label"))
+        steps.append(reached.where(F.col("word").isNotNull()).select(
+            "tree", F.col("parent").alias("node"), name_of.alias("attr"), F.col("word").alias("code"), F.col("node").alias("child")))
+        steps.append(steps[-1].where(F.lit(False)))
+        columns = ["tree", "node", "depth", "used", "least"]
+        n_open, last = reached.agg(F.count_if(~F.col("closed")), F.max("node")).first()
+        base = max(base, (last or 0) + 1)
+        open_ = reached.where(~F.col("closed")).select(*columns)
+        if retry:
+            again = nodes.where(F.col("kind") == "retry").select(*columns)
+            n_open, open_ = n_open + again.count(), open_.union(again)
+        if not n_open:
+            break
+        before, table = table, grower.move(table, nodes, open_)
+        discard(before)
+    discard(table)
+    if values is None:
+        values = df.sparkSession.createDataFrame([], "attr string, value string, code long")
+    else:
+        values = values.select(name_of.alias("attr"), "value", "code")
+    return ForestTable(numeric, categorical, n_trees, rounds, steps, values, complemented, regression)
+
+
+def grow_tree(df: DataFrame, label: str, ids: list[str], numeric: list[str], categorical: list[str], **options) -> ForestTable:
     """One tree on all rows, no bootstrap."""
     return train_forest(df, label, ids, numeric, categorical, n_trees=1, bootstrap=False, **options)
 
 
-def grow_simple_tree(df: DataFrame, label: str, ids: list[str], numeric: list[str], categorical: list[str], m: int = 1, **options) -> Forest:
+def grow_simple_tree(df: DataFrame, label: str, ids: list[str], numeric: list[str], categorical: list[str], m: int = 1, **options) -> ForestTable:
     """Plain variant: no least gain or child size, no added branches, one attribute per node.
 
     An attribute that does not change the rows is set aside and another one is drawn.

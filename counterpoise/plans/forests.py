@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import evaluate
-from ..operators.forest import model, split, train
+from ..operators.forest.nodes import ForestTable
+from ..operators.forest import model, nodes, split, train
 from ..operators.forest.model import Forest, Node
-from .base import LI_SQL, Tables, query, r6, r6_sql, u_sql
+from .base import LAB_SQL, LI_SQL, Tables, query, r6, r6_sql, u_sql
 
 _LINE = f"(select *, cast(l_linenumber as varchar) as l_line from {LI_SQL})"
 NUMBERS = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
@@ -202,13 +203,13 @@ union all select tree::INTEGER, node::INTEGER, 'leaf', null, null, case when p >
 _PLAIN = f"rows0 as materialized (select 0 as tree, 0 as node, 1 as w, case when cls = 'pos' then 1 else 0 end as y, l_quantity, l_discount, l_tax from {LI_SQL})"
 
 
-def _nodes(t: Tables, forest: Forest) -> DataFrame:
-    return forest.table(t.spark).select("tree", "node", "kind", "attr", "split", "label")
+def _node_rows(t: Tables, forest: ForestTable) -> DataFrame:
+    return forest.table(t.spark).select("tree", F.col("node").cast("int").alias("node"), "kind", "attr", "split", "label")
 
 
 @query("tree_train", _train_sql(_PLAIN, 3, "forest"))
 def tree_train(t: Tables) -> DataFrame:
-    return _nodes(t, train.grow_tree(t.li, "cls", ["id"], ATTRS, [], m=3, max_depth=2))
+    return _node_rows(t, train.grow_tree(t.li, "cls", ["id"], ATTRS, [], m=3, max_depth=2))
 
 
 _BAGGED = f"""ranked as materialized (select id, cls, l_quantity, l_discount, l_tax, row_number() over (order by {u_sql('forest-bag-rank', 'id')}, id) - 1 as r from {LI_SQL}),
@@ -219,7 +220,7 @@ rows0 as materialized (select tree, 0 as node, w, case when cls = 'pos' then 1 e
 
 @query("forest_train_global", _train_sql(_BAGGED, 2, "forest"))
 def forest_train_global(t: Tables) -> DataFrame:
-    return _nodes(t, train.train_forest(t.li, "cls", ["id"], ATTRS, [], n_trees=5, max_depth=2))
+    return _node_rows(t, train.train_forest(t.li, "cls", ["id"], ATTRS, [], n_trees=5, max_depth=2))
 
 
 _PARTS = f"""split as (select id, cls, l_quantity, l_discount, l_tax, cast(floor({u_sql('forest-bag-part', 'id')} * 2) as integer) as grp from {LI_SQL}),
@@ -231,7 +232,7 @@ rows0 as materialized (select tree, 0 as node, w, case when cls = 'pos' then 1 e
 
 @query("forest_train_partitioned", _train_sql(_PARTS, 2, "forest"))
 def forest_train_partitioned(t: Tables) -> DataFrame:
-    return _nodes(t, train.train_forest(t.li, "cls", ["id"], ATTRS, [], n_trees=5, mode="partitioned", partitions=2, max_depth=2))
+    return _node_rows(t, train.train_forest(t.li, "cls", ["id"], ATTRS, [], n_trees=5, mode="partitioned", partitions=2, max_depth=2))
 
 
 @query("forest_partition_counts", f"""select cast(floor({u_sql('forest-bag-part', 'id')} * 2) as integer) as grp, cls, count(*) as n from {LI_SQL} group by all""")
@@ -269,3 +270,79 @@ def forest_train_regression(t: Tables) -> DataFrame:
     )
     scored = model.predict(t.part, forest, ["p_partkey"])
     return evaluate.regression_report(scored, "p_retailprice", "prediction")
+
+
+def _gini(a: str, b: str) -> str:
+    return f"(case when ({a}) + ({b}) > 0 then ({a}) + ({b}) - (({a})::DOUBLE * ({a}) + ({b})::DOUBLE * ({b})) / (({a}) + ({b})) else 0 end)"
+
+
+@query("num_split_gini", f"""with b as (select *, case when cls = 'pos' then 1 else 0 end as y from {LI_SQL}), v as ({_unpivot(NUMBERS, 'double', 'y', 'b')}),
+{_num_sql('').replace(_imp('tp', 'tn'), _gini('tp', 'tn')).replace(_imp('lp', 'ln_'), _gini('lp', 'ln_')).replace(_imp('tp - lp', 'tn - ln_'), _gini('tp - lp', 'tn - ln_'))}
+select attr, split, {r6_sql('gain', 9)} as gain from best""")
+def num_split_gini(t: Tables) -> DataFrame:
+    return split.numeric_split(t.li, NUMBERS, "cls", criterion=split.GiniTarget).withColumn("gain", r6("gain", 9))
+
+
+def _grown_sql(m: int, min_split: int, min_gain: float, retry: bool, imp=_imp) -> str:
+    """A whole tree over labelled documents: every round moves the rows of the open nodes one level down."""
+    label = f"""case when p > n then '1' when n > p then '0' when {u_sql('forest', "'label'", '0', 'node', "'1'")} > {u_sql('forest', "'label'", '0', 'node', "'0'")} then '1' else '0' end"""
+    again = f"when gain < {min_gain!r} and len(used) < 2 then 'retry'" if retry else ""
+    return f"""with recursive lab as materialized {LAB_SQL},
+codes as materialized (select attr, value, row_number() over (partition by attr order by value) - 1 as code
+ from (select distinct 'lang' as attr, lang as value from lab union all select distinct 'source', source from lab)),
+g as (
+ select 0 as round, doc_id, 0::BIGINT as node, 0 as depth, (toxic = '1')::INTEGER as y, n_chars, lang, source, []::VARCHAR[] as used,
+  '' as path, '0' as label, true as open, 1::BIGINT as base from lab
+ union all (with o as (select * from g where open), b as (select greatest(max(base), max(node) + 1) as base, max(round) + 1 as round from g),
+ att as (select * from (select node, attr, row_number() over (partition by node order by {u_sql('forest', '0', 'node', 'attr')}, attr) as rank
+  from (select distinct node, used from o), (select unnest(['n_chars', 'lang', 'source']) as attr) where not list_contains(used, attr)) where rank <= {m}),
+ nh as (select node, n_chars as value, sum(y) as p, sum(1 - y) as n from o group by node, n_chars),
+ nc as (select *, sum(p) over w - p as lp, sum(n) over w - n as ln_, sum(p) over t as tp, sum(n) over t as tn from nh
+  window w as (partition by node order by value), t as (partition by node)),
+ nb as (select node, 'n_chars' as attr, value as split, gain, lp + ln_ as low, tp + tn - lp - ln_ as high, 0 as big from (
+  select *, ({imp('tp', 'tn')} - {imp('lp', 'ln_')} - {imp('tp - lp', 'tn - ln_')}) / (tp + tn) as gain from nc)
+  qualify row_number() over (partition by node order by round(gain, 9) desc, value) = 1),
+ ch as (select node, 'lang' as attr, lang as value, sum(y) as p, sum(1 - y) as n from o group by node, lang
+  union all select node, 'source', source, sum(y), sum(1 - y) from o group by node, source),
+ cb as (select node, attr, null::DOUBLE, ({imp('sum(p)', 'sum(n)')} - sum({imp('p', 'n')})) / sum(p + n), 0, 0, count(*) filter (p + n >= {min_split}) from ch group by node, attr),
+ best as (select * from (select * from nb union all select * from cb) join att using (node, attr)
+  qualify row_number() over (partition by node order by round(gain, 9) desc, rank) = 1),
+ whole as (select node, any_value(used) as used, sum(y) as tp, sum(1 - y) as tn from o group by node),
+ kinds as (select *, case when tp = 0 or tn = 0 or len(used) >= 3 then 'leaf' {again} when gain < {min_gain!r} then 'leaf'
+  when attr = 'n_chars' then case when low >= {min_split} and high >= {min_split} then 'numeric' else 'leaf' end
+  when big >= 2 then 'categorical' else 'leaf' end as kind from best join whole using (node)),
+ spans as (select *, case kind when 'numeric' then 2 when 'categorical' then (select count(*) from codes c where c.attr = kinds.attr) else 0 end as span from kinds),
+ placed as (select *, (sum(span) over (order by node) - span)::BIGINT as place from spans),
+ moved as (select b.round, o.doc_id, o.depth + (kind <> 'retry')::INTEGER as depth, o.y, o.n_chars, o.lang, o.source, b.base, kind, k.attr,
+  case kind when 'numeric' then b.base + place + (case when o.n_chars < k.split then 0 else 1 end) when 'categorical' then b.base + place + c.code else o.node end as node,
+  case kind when 'numeric' then list_filter(o.used, lambda a: a <> 'n_chars') else list_append(o.used, k.attr) end as used,
+  o.path || case kind when 'numeric' then k.attr || (case when o.n_chars < k.split then ' < ' else ' >= ' end) || k.split::VARCHAR || ' -> '
+   when 'categorical' then k.attr || ' = ' || c.value || ' -> ' else '' end as path
+  from o join placed k on o.node = k.node join b on true
+  left join codes c on c.attr = k.attr and c.value = case k.attr when 'lang' then o.lang else o.source end and kind = 'categorical' where kind <> 'leaf'),
+ counted as (select *, sum(y) over (partition by node) as p, sum(1 - y) over (partition by node) as n from moved)
+ select round, doc_id, node, depth, y, n_chars, lang, source, used, path, {label} as label, kind = 'retry' or (p > 0 and n > 0 and len(used) < 3) as open, base from counted))
+select doc_id, label as prediction, depth, path from g qualify row_number() over (partition by doc_id order by round desc) = 1"""
+
+
+def _grown(t: Tables, forest: nodes.ForestTable) -> DataFrame:
+    found = nodes.leaves(t.lab, forest, ["doc_id"])
+    return found.select("doc_id", F.col("label").alias("prediction"), "depth", "path")
+
+
+@query("tree_unbounded", _grown_sql(3, 2, 1e-6, False))
+def tree_unbounded(t: Tables) -> DataFrame:
+    """A tree with categories, grown to its own stop rules, its leaves found by joins with the node tables."""
+    return _grown(t, train.grow_tree(t.lab, "toxic", ["doc_id"], ["n_chars"], ["lang", "source"], m=3))
+
+
+@query("tree_simple", _grown_sql(1, 1, 1e-12, True))
+def tree_simple(t: Tables) -> DataFrame:
+    """The plain builder: one attribute a node, others drawn when it changes nothing."""
+    return _grown(t, train.grow_simple_tree(t.lab, "toxic", ["doc_id"], ["n_chars"], ["lang", "source"]))
+
+
+@query("tree_gini", _grown_sql(2, 2, 1e-6, False, _gini))
+def tree_gini(t: Tables) -> DataFrame:
+    """The same builder under another split criterion."""
+    return _grown(t, train.grow_tree(t.lab, "toxic", ["doc_id"], ["n_chars"], ["lang", "source"], m=2, criterion=split.GiniTarget))

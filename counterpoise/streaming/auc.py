@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.forest.train import _draw
+from ..functions.draw import u_value
 from ..session import new_path
 
 HISTORY = 10
@@ -25,7 +25,7 @@ def _slot(policy: str, n: int, history: int, key: str, cls: int) -> int | None:
     if policy == "fifo":
         return n % history
     size = n + 1 if policy == "fair" else history
-    place = int(_draw("auc", key, cls, n) * size)
+    place = int(u_value("auc", key, cls, n) * size)
     return place if place < history else None
 
 
