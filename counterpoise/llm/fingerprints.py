@@ -25,7 +25,8 @@ LEVELS = 3
 NAMES = 64
 LEAST = 8
 CHARS = 1 << 18
-BUCKET_CHARS = 32 << 20
+BUCKET_CHARS = 4 << 20
+TASK_BUCKETS = 4
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 # of a byte: place of its lowest bit
@@ -204,7 +205,7 @@ def in_order(docs: DataFrame, buckets: int) -> DataFrame:
                     "bucket": [before[doc[i]] for i in extra], "border": True, "doc": doc[extra], "data": [data[i] for i in extra]})
 
     packed = docs.mapInPandas(run, "bucket long, border boolean, doc long, data binary")
-    return packed.repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket", "border", F.col("doc").desc(), "data")
+    return packed.repartition(-(-buckets // TASK_BUCKETS), "bucket").sortWithinPartitions("bucket", "border", F.col("doc").desc(), "data")
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
