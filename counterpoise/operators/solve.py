@@ -1,7 +1,9 @@
-"""Iterative solvers: every product is a Spark job, vectors over columns stay on the driver.
+"""Iterative solvers: every product is a Spark job.
 
-A vector has one number per matrix column and is checked against ``MAX_COLUMNS``; rows and
-entries of the matrix are never collected.
+The solvers take either form of vector.  Vectors of any length are tables of blocks with a
+``BlockMatrix`` (operators/blocks.py): only scalars and k x k matrices reach the driver.  For matrices
+of few columns (``SparseMatrix`` up to ``LOCAL_COLUMNS``, ``DenseMatrix`` up to ``LOCAL_DENSE``) a vector is an
+array in the driver, which saves a job for each sum; rows and entries are never collected.
 """
 
 from __future__ import annotations
@@ -13,12 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import materialize
-from . import matrix
+from ..session import discard, materialize
+from . import blocks, matrix
 from .aggregate import column_means
+from .blocks import BlockMatrix
 
-MAX_COLUMNS = 5_000_000
-MAX_DENSE = 2_000
+LOCAL_COLUMNS = 5_000_000
+LOCAL_DENSE = 2_000
 BROADCAST_COLUMNS = 1_000_000
 
 
@@ -28,7 +31,7 @@ class SparseMatrix:
     def __init__(self, entries: DataFrame, n_cols: int | None = None):
         self.entries = materialize(entries.select("row", "col", F.col("val").cast("double").alias("val")), "matrix")
         self.n_cols = n_cols if n_cols is not None else int(self.entries.agg(F.max("col")).first()[0]) + 1
-        _check(self.n_cols, MAX_COLUMNS)
+        _check(self.n_cols, LOCAL_COLUMNS)
 
     def _vector(self, v: np.ndarray) -> DataFrame:
         spark = self.entries.sparkSession
@@ -57,7 +60,7 @@ class DenseMatrix:
     def __init__(self, vectors: DataFrame, vec: str):
         self.vectors = materialize(vectors.select(F.col(vec).alias("vec")), "matrix")
         self.n_cols = int(self.vectors.agg(F.max(F.size("vec"))).first()[0])
-        _check(self.n_cols, MAX_DENSE)
+        _check(self.n_cols, LOCAL_DENSE)
 
     def _sum_over_batches(self, product) -> np.ndarray:
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,7 +89,7 @@ class DenseMatrix:
 
 def _check(n: int, limit: int) -> None:
     if n > limit:
-        raise ValueError(f"{n} columns, at most {limit} fit a driver vector")
+        raise ValueError(f"{n} columns: above {limit} use a BlockMatrix, whose vectors are tables")
 
 
 def covariance(vectors: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray]:
@@ -112,24 +115,69 @@ def array_literal(values: np.ndarray) -> Column:
     return F.array(*[array_literal(row) for row in values])
 
 
+class _Arrays:
+    """Vectors in the driver."""
+
+    def product(self, a, v, symmetric: bool):
+        return a.times(v) if symmetric else a.times_squared(v)
+
+    def dot(self, x, y) -> float:
+        return float(x @ y)
+
+    def combined(self, *terms):
+        return sum(f * v for f, v in terms)
+
+    def free(self, v) -> None:
+        pass
+
+
+class _Tables(_Arrays):
+    """Vectors as tables of blocks."""
+
+    def product(self, a: BlockMatrix, v: DataFrame, symmetric: bool) -> DataFrame:
+        first = materialize(a.times(v), "vector")
+        if symmetric:
+            return first
+        second = materialize(a.times(first, transposed=True), "vector")
+        discard(first)
+        return second
+
+    def dot(self, x: DataFrame, y: DataFrame) -> float:
+        return float(blocks.inner(x, y)[0, 0])
+
+    def combined(self, *terms) -> DataFrame:
+        return blocks.combined(list(terms))
+
+    def free(self, v: DataFrame) -> None:
+        discard(v)
+
+
 def conjugate_gradient(
-    a, b: np.ndarray, lam: float = 0.0, symmetric: bool = False, max_iter: int | None = None, tol: float = 1e-9
-) -> np.ndarray:
-    """x with (A + lam I) x = b for a symmetric A, else (A'A + lam I) x = b."""
-    product = a.times if symmetric else a.times_squared
-    x, r = np.zeros(len(b)), b.astype(float).copy()
-    p, rr = r.copy(), float(r @ r)
+    a, b, lam: float = 0.0, symmetric: bool = False, max_iter: int | None = None, tol: float = 1e-9
+):
+    """x with (A + lam I) x = b for a symmetric A, else (A'A + lam I) x = b.
+
+    ``b`` is an array, or with a ``BlockMatrix`` a table of blocks; ``x`` comes in the same form.
+    Tables need ``max_iter``.
+    """
+    space = _Tables() if isinstance(b, DataFrame) else _Arrays()
+    r = space.combined((1.0, b if isinstance(b, DataFrame) else b.astype(float)))
+    p, rr, x = r, space.dot(r, r), None
     stop = tol * tol * max(rr, 1e-300)
     for _ in range(max_iter or a.n_cols):
         if rr <= stop:
             break
-        ap = product(p) + lam * p
-        step = rr / float(p @ ap)
-        x += step * p
-        r -= step * ap
-        now = float(r @ r)
-        p, rr = r + (now / rr) * p, now
-    return x
+        ap = space.product(a, p, symmetric)
+        full = space.combined((1.0, ap), (lam, p))
+        step = rr / space.dot(p, full)
+        x, old = space.combined((step, p)) if x is None else space.combined((1.0, x), (step, p)), x
+        r, old_r = space.combined((1.0, r), (-step, full)), r
+        now = space.dot(r, r)
+        p, old_p = space.combined((1.0, r), (now / rr, p)), p
+        for gone in (ap, full, *([old] if old is not None else []), old_p, *([old_r] if old_r is not old_p else [])):
+            space.free(gone)
+        rr = now
+    return x if x is not None else space.combined((0.0, b))
 
 
 @dataclass
@@ -159,49 +207,79 @@ class LanczosState:
 def lanczos(
     a, rank: int, symmetric: bool = False, state: LanczosState | None = None, save_to: str | None = None,
     spark: SparkSession | None = None,
-) -> tuple[np.ndarray, np.ndarray, LanczosState]:
-    """(eigenvalues descending, eigenvectors as rows, state) after ``rank`` products.
+):
+    """(eigenvalues descending, eigenvectors, state) after ``rank`` products.
 
-    Eigenvalues belong to A when symmetric, else to A'A.  The start vector is 1/sqrt(n);
-    each new vector is made orthogonal to all before it.
+    Eigenvalues belong to A when symmetric, else to A'A.  The start vector has equal numbers; each new
+    vector is made orthogonal to all before it.  Eigenvectors are the rows of an array, or for a
+    ``BlockMatrix`` the columns of a table of blocks as wide as there are eigenvalues.
     """
-    n = a.n_cols
-    state = state or LanczosState([np.full(n, 1.0 / np.sqrt(n))], [], [])
-    product = a.times if symmetric else a.times_squared
+    tables = isinstance(a, BlockMatrix)
+    space = _Tables() if tables else _Arrays()
+    if tables:
+        ones = materialize(a.columns(), "vector")
+        n = int(round(space.dot(ones, ones)))
+        start = space.combined((1.0 / np.sqrt(n), ones))
+    else:
+        n = a.n_cols
+        start = np.full(n, 1.0 / np.sqrt(n))
+    state = state or LanczosState([start], [], [])
     while len(state.alpha) < min(rank, n):
         v = state.basis[len(state.alpha)]
-        w = product(v)
-        state.alpha.append(float(w @ v))
-        known = np.array(state.basis)
+        w = space.product(a, v, symmetric)
+        state.alpha.append(space.dot(w, v))
         for _ in range(2):
-            w = w - known.T @ (known @ w)
-        beta = float(np.linalg.norm(w))
+            if tables:
+                before, shares = w, blocks.dots(state.basis, w)
+                w = space.combined((1.0, w), *[(-s, x) for s, x in zip(shares, state.basis)])
+                space.free(before)
+            else:
+                known = np.array(state.basis)
+                w = w - known.T @ (known @ w)
+        beta = float(np.sqrt(space.dot(w, w)))
         if beta < 1e-10 * max(1.0, abs(state.alpha[0])) or len(state.basis) >= n:
             break
         state.beta.append(beta)
-        state.basis.append(w / beta)
+        state.basis.append(space.combined((1.0 / beta, w)))
         if save_to is not None:
             state.save(spark, save_to)
     k = len(state.alpha)
     off = state.beta[: k - 1]
     values, inner = np.linalg.eigh(np.diag(state.alpha) + np.diag(off, 1) + np.diag(off, -1))
     order = np.argsort(values)[::-1]
-    vectors = inner[:, order].T @ np.array(state.basis[:k])
-    return values[order], vectors, state
+    if not tables:
+        return values[order], inner[:, order].T @ np.array(state.basis[:k]), state
+    wide = [blocks.turned(v, 1, inner[i : i + 1, order]) for i, v in enumerate(state.basis[:k])]
+    out = wide[0]
+    for part in wide[1:]:
+        out = out.union(part)
+    return values[order], materialize(blocks.summed(out, k), "eigenvectors"), state
 
 
 def verify_eigenvectors(
-    a, vectors: np.ndarray, max_error: float = 0.05, min_eigenvalue: float = 0.0, max_keep: int | None = None,
-    symmetric: bool = False,
+    a, vectors, max_error: float = 0.05, min_eigenvalue: float = 0.0, max_keep: int | None = None,
+    symmetric: bool = False, width: int | None = None,
 ) -> list[tuple[int, float, float]]:
-    """(index, eigenvalue, error) of vectors the matrix only stretches, in index order."""
-    product = a.times if symmetric else a.times_squared
+    """(index, eigenvalue, error) of vectors the matrix only stretches, in index order.
+
+    ``vectors`` are rows of an array, or for a ``BlockMatrix`` the ``width`` columns of a table.
+    """
+    if isinstance(a, BlockMatrix):
+        found = materialize(a.times(vectors, width), "products")
+        if not symmetric:
+            found = materialize(a.times(found, width, transposed=True), "products")
+        lengths, sizes, dots = (np.diag(blocks.inner(x, y, width, width)) for x, y in ((vectors, vectors), (found, found), (vectors, found)))
+        numbers = [(float(np.sqrt(s)), float(np.sqrt(v)), float(d)) for s, v, d in zip(sizes, lengths, dots)]
+    else:
+        product = a.times if symmetric else a.times_squared
+        numbers = []
+        for v in vectors:
+            w = product(v)
+            numbers.append((float(np.linalg.norm(w)), float(np.linalg.norm(v)), float(v @ w)))
     kept = []
-    for i, v in enumerate(vectors):
-        w = product(v)
-        size, length = float(np.linalg.norm(w)), float(np.linalg.norm(v))
+    for i, (size, length, dot) in enumerate(numbers):
         value = size / length if length else 0.0
-        error = abs(1.0 - float(v @ w) / (size * length)) if size and length else 1.0
+        error = abs(1.0 - dot / (size * length)) if size and length else 1.0
         if error < max_error and value > min_eigenvalue:
             kept.append((i, value, error))
     return kept[:max_keep] if max_keep is not None else kept
@@ -210,13 +288,6 @@ def verify_eigenvectors(
 # stochastic SVD
 
 
-def _packed(y: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, vec): the k numbers of each row as an array, absent ones 0."""
-    cells = F.map_from_entries(F.collect_list(F.struct("col", "val")))
-    packed = y.groupBy(key).agg(cells.alias("m"))
-    return packed.select(key, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0))).alias("vec"))
-
-
 def _turn(vectors: DataFrame, key: str, by: np.ndarray) -> DataFrame:
     """Every row vector times a small matrix."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,32 +299,20 @@ def _turn(vectors: DataFrame, key: str, by: np.ndarray) -> DataFrame:
     return vectors.mapInPandas(run, f"{key} long, vec array<double>")
 
 
-def _gram(vectors: DataFrame) -> np.ndarray:
-    return DenseMatrix(vectors, "vec").gram()
-
-
-def orthonormal(y: DataFrame, key: str) -> DataFrame:
-    """Rows of Q with Q'Q = I and the column space of Y.
-
-    Two rounds of scaling by the inverse root of the small Gram matrix; directions without
-    weight are set to 0.
-    """
-    for _ in range(2):
-        values, vectors = np.linalg.eigh(_gram(y))
-        live = values > max(values[-1], 0.0) * 1e-14
-        by = vectors[:, live] / np.sqrt(values[live])
-        y = materialize(_turn(y, key, np.pad(by, ((0, 0), (0, len(values) - by.shape[1])))), "orthonormal")
-    return y
-
-
 @dataclass
 class Decomposition:
-    """A ~ U diag(sigma) V'; ``q`` and ``b`` hold rows of Q and of B'."""
+    """A ~ U diag(sigma) V'; ``q_blocks`` and ``b_blocks`` hold the rows of Q and of B', ``rank`` wide."""
 
     sigma: np.ndarray
-    q: DataFrame
-    b: DataFrame
+    q_blocks: DataFrame
+    b_blocks: DataFrame
     inner: np.ndarray
+    rank: int
+
+    @property
+    def q(self) -> DataFrame:
+        """(row, vec): rows of Q."""
+        return blocks.unpack(self.q_blocks, "row", self.rank)
 
     def values(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i, float(s)) for i, s in enumerate(self.sigma)], "i int, sigma double")
@@ -263,41 +322,27 @@ class Decomposition:
 
     def u(self, scaling: str = "none") -> DataFrame:
         """(row, vec): rows of U, of U Sigma, or of U Sigma^(1/2)."""
-        return _turn(self.q, "row", self.inner * self._scale(scaling))
+        return blocks.unpack(self.q_blocks, "row", self.rank, self.inner * self._scale(scaling))
 
     def v(self, scaling: str = "none") -> DataFrame:
         """(col, vec): rows of V, of V Sigma, or of V Sigma^(1/2)."""
-        inverse = np.divide(1.0, self.sigma, out=np.zeros_like(self.sigma), where=self.sigma > self.sigma[0] * 1e-12)
-        return _turn(self.b, "col", self.inner * inverse * self._scale(scaling))
+        inverse = np.divide(1.0, self.sigma, out=np.zeros_like(self.sigma), where=self.sigma > self.sigma[0] * 1e-13)
+        return blocks.unpack(self.b_blocks, "col", self.rank, self.inner * inverse * self._scale(scaling))
 
     def reconstruct(self) -> DataFrame:
         """(row, vec): rows of U Sigma V' for matrices of few columns; no rows are paired."""
-        columns = self.b.agg(F.max("col")).first()[0] + 1
-        _check(columns, MAX_DENSE)
+        columns = self.v("sigma").agg(F.max("col")).first()[0] + 1
+        _check(columns, LOCAL_DENSE)
         v = np.zeros((columns, len(self.sigma)))
         for r in self.v("sigma").collect():
             v[r["col"]] = r["vec"]
         return _turn(self.u(), "row", v.T)
 
 
-def _weighted(entries: DataFrame, key: str, other: str, vectors: DataFrame, k: int) -> DataFrame:
-    """(other, vec): sum of val times the key's vector over entries; entries are never paired with each other."""
-    met = entries.join(vectors, key)
-    spread = met.select(other, "val", F.posexplode("vec").alias("col", "x"))
-    if other == "col":
-        spread = met.select(F.col("col").alias("_o"), "val", F.posexplode("vec").alias("_j", "x"))
-        cells = spread.groupBy("_o", "_j").agg(F.sum(F.col("val") * F.col("x")).alias("val"))
-        return _packed(cells.select("_o", F.col("_j").alias("col"), "val"), "_o", k).select(F.col("_o").alias("col"), "vec")
-    cells = spread.groupBy(other, "col").agg(F.sum(F.col("val") * F.col("x")).alias("val"))
-    return _packed(cells, other, k)
-
-
-def _shift(vectors: DataFrame, key: str, by: np.ndarray, weight: DataFrame | None = None) -> DataFrame:
-    """Row vectors minus weight (1 when absent) times a small vector."""
-    rows = vectors if weight is None else vectors.join(weight, key, "left")
-    amount = F.lit(1.0) if weight is None else F.coalesce("mean", F.lit(0.0))
-    shifted = rows.withColumn("_w", amount).withColumn("_by", F.lit([float(x) for x in by]))
-    return shifted.select(key, F.zip_with("vec", F.transform("_by", lambda x: x * F.col("_w")), lambda v, x: v - x).alias("vec"))
+def weighted(entries: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """(col, vec): A' times the vectors of (row, vec); entries are never paired with each other."""
+    found = BlockMatrix(entries).times(blocks.pack(vectors, "row"), width, transposed=True)
+    return blocks.unpack(found, "col", width)
 
 
 def stochastic_svd(
@@ -306,35 +351,59 @@ def stochastic_svd(
 ) -> Decomposition:
     """Rank-k decomposition by random projection with oversampling p and q power iterations.
 
-    ``center`` subtracts the column means (given as (col, mean) or computed) without
-    filling the zeros of the matrix: only small vectors and rows of Q and B' change.
+    Bases come from QR factors, merged as a tree, so singular values down to about 1e-13 of the largest
+    are found; ``rank`` tells how many directions have weight.  ``center`` subtracts the column means
+    (given as (col, mean) or computed) without filling the zeros of the matrix: only small vectors
+    and rows of Q and B' change.
     """
-    entries = materialize(entries.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("val").cast("double").alias("val")), "matrix")
+    a = BlockMatrix(entries)
     width = k + p
-    if center and means is None:
-        means = materialize(column_means(entries), "means")
+    mean = None
+    if center:
+        if means is None:
+            means = column_means(entries)
+        mean = materialize(blocks.pack(means.select("col", F.array("mean").alias("vec")), "col"), "means")
+
+    def shifted(y: DataFrame, by: np.ndarray, size: int) -> DataFrame:
+        """Rows of a row-side product less the same small vector."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(b, i, (np.frombuffer(v, float).reshape(-1, size) - by).tobytes()) for b, i, v in zip(batch["block"], batch["ids"], batch["vals"])]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["block", "ids", "vals"])
 
-    def mean_times(vectors: DataFrame) -> np.ndarray:
-        """Sum of mean_j times the vector of column j."""
-        cells = vectors.join(means, "col").select(F.posexplode("vec").alias("j", "x"), "mean")
-        found = cells.groupBy("j").agg(F.sum(F.col("x") * F.col("mean")).alias("s")).toPandas().sort_values("j")
-        return found["s"].to_numpy()
+        return y.mapInPandas(run, blocks.SCHEMA)
 
-    y = _packed(matrix.project(entries, width, seed), "row", width)
+    y = a.times_random(width, seed)
     if center:
-        draws = _packed(matrix.omega(means.select("col"), width, seed), "row", width).withColumnRenamed("row", "col")
-        y = _shift(y, "row", mean_times(draws))
+        draws = blocks.turned(a.columns(), 1, np.zeros((1, width)))
+
+        def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for b, i in zip(batch["block"], batch["ids"]):
+                    keys = b * blocks.SIDE + np.frombuffer(i, np.int32).astype(np.int64)
+                    rows.append((b, i, blocks.uniform(seed, keys, width).tobytes()))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["block", "ids", "vals"])
+
+        y = shifted(y, blocks.inner(mean, draws.mapInPandas(drawn, blocks.SCHEMA), 1, width)[0], width)
+    y = materialize(y, "projected")
     for step in range(q + 1):
-        basis = orthonormal(materialize(y, "projected"), "row")
-        b = materialize(_weighted(entries, "row", "col", basis, width), "b-rows")
+        basis, size = blocks.orthonormal(y, width)
+        b = a.times(basis, size, transposed=True)
         if center:
-            row_sum = DenseMatrix(basis, "vec").column_sums()
-            b = materialize(_shift(b, "col", row_sum, means), "b-rows")
+            sums = blocks.column_sums(basis, size)
+            b = blocks.summed(b.union(blocks.turned(mean, 1, -sums[None, :])), size)
+        b = materialize(b, "b-rows")
         if step < q:
-            y = _weighted(entries, "col", "row", b, width)
+            # B' is made orthonormal too: its columns would square the sizes of small directions
+            turn, width = blocks.orthonormal(b, size)
+            y = a.times(turn, width)
             if center:
-                y = _shift(y, "row", mean_times(b))
-    values, vectors = np.linalg.eigh(_gram(b))
-    order = np.argsort(values)[::-1][:k]
-    sigma = np.sqrt(np.maximum(values[order], 0.0))
-    return Decomposition(sigma, basis, b, vectors[:, order])
+                y = shifted(y, blocks.inner(mean, turn, 1, width)[0], width)
+            y = materialize(y, "projected")
+            discard(basis)
+            discard(turn)
+    sigma, vectors = blocks.singular(b, size)
+    return Decomposition(sigma[:k], basis, b, vectors[:, :k], size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import auc, solve
+from ..operators import auc, blocks, solve
 from ..sources.io import dense_to_entries
 from ..streaming import auc as auc_stream
 from .base import Tables, query, r6, r6_sql
@@ -99,12 +99,50 @@ def ssvd_v(t: Tables) -> DataFrame:
 def ssvd_residual(t: Tables) -> DataFrame:
     """Largest cell of A'u - sigma v for each pair of singular vectors."""
     found = solve.stochastic_svd(_entries(t), 10, q=1)
-    left = solve._weighted(_entries(t), "row", "col", found.u(), 10).select("col", F.posexplode("vec").alias("i", "x"))
+    left = solve.weighted(_entries(t), found.u(), 10).select("col", F.posexplode("vec").alias("i", "x"))
     right = found.v("sigma").select("col", F.posexplode("vec").alias("i", "y"))
     gaps = left.join(right, ["col", "i"]).groupBy("i").agg(F.max(F.abs(F.col("x") - F.col("y"))).alias("residual"))
     return gaps.withColumn("residual", r6("residual"))
 
 
+@query("ssvd_small_directions", """select 64 as rank, 0::DOUBLE as u_error, 0::DOUBLE as v_error""")
+def ssvd_small_directions(t: Tables) -> DataFrame:
+    """Columns scaled down to 10^-10.5: all 64 directions are kept, and U'U and V'V are the identity."""
+    cells = _entries(t).withColumn("val", F.col("val") * F.pow(F.lit(10.0), -F.col("col") / 6))
+    found = solve.stochastic_svd(cells, 64, p=0, q=1)
+    errors = []
+    for blocks_, by in ((found.q_blocks, found.inner), (found.b_blocks, found.inner / found.sigma)):
+        unit = blocks.inner(*[blocks.turned(blocks_, found.rank, by)] * 2, len(found.sigma), len(found.sigma))
+        errors.append(float(np.abs(unit - np.eye(len(unit))).max()))
+    return t.spark.createDataFrame([(found.rank, *errors)], "rank int, u_error double, v_error double").withColumns({
+        c: r6(c, 4) for c in ("u_error", "v_error")})
+
+
+@query("cg_blocks", f"with {_CELLS} select col, {r6_sql('sum(val)', 4)} as val from c group by col")
+def cg_blocks(t: Tables) -> DataFrame:
+    """The solution for the column sums, multiplied again, with all vectors as tables of blocks."""
+    a = solve.BlockMatrix(_entries(t))
+    b = blocks.pack(_entries(t).groupBy("col").agg(F.array(F.sum("val")).alias("vec")), "col")
+    x = solve.conjugate_gradient(a, b, lam=2000.0, max_iter=12)
+    back = blocks.combined([(1.0, a.times(a.times(x), transposed=True)), (2000.0, x)])
+    return blocks.unpack(back, "col", 1).select("col", r6(F.col("vec")[0], 4).alias("val"))
+
+
+@query("lanczos_blocks", f"""with {_CELLS}, g as (select a.col as i, b.col as j, sum(a.val * b.val) as v from c a join c b using (vec_id) where a.col < 6 and b.col < 6 group by all)
+select 6::BIGINT as n, {r6_sql('(select sum(val * val) from c where col < 6)', 4)} as energy, {r6_sql('(select sum(v * v) from g)', 2)} as fourth, 0::DOUBLE as unit""")
+def lanczos_blocks(t: Tables) -> DataFrame:
+    """Eigenvalues of A'A for the first six columns by Lanczos with vectors as tables; verified, and with V'V = I."""
+    a = solve.BlockMatrix(_entries(t).where(F.col("col") < 6))
+    _, vectors, state = solve.lanczos(a, 6)
+    wide = len(state.alpha)
+    kept = solve.verify_eigenvectors(a, vectors, max_error=1e-6, width=wide)
+    unit = float(np.abs(blocks.inner(vectors, vectors, wide, wide) - np.eye(wide)).max())
+    found = t.spark.createDataFrame([(value, unit) for _, value, _ in kept], "eigenvalue double, unit double")
+    return found.agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("eigenvalue"), 4).alias("energy"), r6(F.sum(F.col("eigenvalue") ** 2), 2).alias("fourth"),
+        r6(F.max("unit")).alias("unit"))
+
+
 def _product(found: solve.Decomposition) -> DataFrame:
     """U Sigma V' cell by cell; V has one row per matrix column."""
     rows = found.reconstruct()
