@@ -1,8 +1,13 @@
-"""Exact k nearest neighbours by a block nested loop.
+"""Exact k nearest neighbours.
 
-Query rows and data rows are cut into blocks of bounded size.  Each task meets one query
-block and one data block, computes their distances in numpy, and returns only k rows per
-query row; a second step merges the k best of every block.  Pairs never become rows.
+``knn_join`` is a block nested loop inside groups: query rows and data rows are cut into blocks of
+bounded size.  Each task meets one query block and one data block, computes their distances in
+numpy, and returns only k rows per query row; a second step merges the k best of every block.  Pairs
+never become rows.
+
+``nearest`` prunes by the triangle inequality first.  Data rows belong to the cell of their nearest
+pivot; a cell knows the least and greatest distance to its pivot.  A query meets the cells nearest to
+it, which gives a bound on its k-th distance, and then only those cells that the bound does not rule out.
 """
 
 from __future__ import annotations
@@ -11,11 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.draw import u
 from ..functions.distance import TIE_DIGITS
+from ..session import materialize
 
+MAX_PIVOTS = 4096
+PIVOT_NUMBERS = 4_000_000  # of all pivots together; they travel to every task
 _CHUNK = 200_000  # distances held at a time, small enough for a processor cache
 
 
@@ -127,10 +135,112 @@ def no_categories() -> Column:
     return F.array().cast("array<double>").alias("cat")
 
 
+class Cells:
+    """Pivots, and of each cell its number of rows and its least and greatest distance to the pivot."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, self.squares = pivots, (pivots**2).sum(axis=1)
+        self.rows = np.zeros(len(pivots), np.int64)
+        self.low, self.high = np.zeros(len(pivots)), np.full(len(pivots), -np.inf)
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Distances to all pivots, with what rounding may have added or lost in ``slack``."""
+        return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + self.squares - 2 * (x @ self.pivots.T), 0))
+
+    def slack(self, x: np.ndarray) -> float:
+        # the squares cancel: their rounding counts as its root
+        return 4e-8 * float(np.sqrt((x**2).sum(axis=1).max(initial=0) + self.squares.max(initial=0)) + 1)
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell = self.distances(x).argmin(axis=1)
+        return cell, np.sqrt(((x - self.pivots[cell]) ** 2).sum(axis=1))
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """Least distance that a row of each cell can have to each query."""
+        away = self.distances(x)
+        return np.where(self.rows > 0, np.maximum(np.maximum(away - self.high, self.low - away), 0), np.inf)
+
+    def first(self, x: np.ndarray, need: int) -> np.ndarray:
+        """Queries x cells: the cells of least bound that hold ``need`` rows together."""
+        bounds = self.bounds(x)
+        order = np.lexsort((self.distances(x), bounds), axis=1)
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        chosen = np.zeros(bounds.shape, bool)
+        np.put_along_axis(chosen, order, before < need, axis=1)
+        return chosen & (self.rows > 0)
+
+
+def _finite(side: DataFrame) -> DataFrame:
+    return side.where(F.forall("num", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+
+
+def make_cells(data: DataFrame, n_rows: int, block_rows: int, seed="pivots") -> tuple[Cells, DataFrame]:
+    """Cells of (id, num, cat) rows, and the rows with ``grp``, their cell."""
+    dims = max(1, data.agg(F.max(F.size("num"))).first()[0] or 1)
+    count = max(1, min(MAX_PIVOTS, PIVOT_NUMBERS // dims, -(-2 * n_rows // block_rows)))
+    chosen = data.select("num", u(seed, "id").alias("_u"), "id").orderBy("_u", "id").limit(count).select("num").collect()
+    cells = Cells(np.array([r["num"] for r in chosen], dtype=float).reshape(len(chosen), -1))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cell, away = cells.home(_matrix(batch["num"]))
+                yield batch.assign(grp=cell, away=away)
+
+    placed = materialize(data.mapInPandas(place, T.StructType([*data.schema, T.StructField("grp", T.IntegerType()), T.StructField("away", T.DoubleType())])), "cells")
+    for r in placed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect():
+        cells.rows[r["grp"]], cells.low[r["grp"]], cells.high[r["grp"]] = r["n"], r["low"], r["high"]
+    return cells, placed.drop("away")
+
+
+def routes(queries: DataFrame, cells: Cells, k: int, bounded: bool) -> DataFrame:
+    """Queries once per cell to visit, as ``grp``.
+
+    Unbounded queries go to the nearest cells that hold enough rows.  ``bounded`` ones have
+    ``limit``, their k-th distance so far, and go to all other cells that can hold a row within it.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            step = max(1, _CHUNK * 5 // len(cells.rows))
+            for lo in range(0, len(batch), step):
+                part = batch.iloc[lo : lo + step]
+                x = _matrix(part["num"])
+                visit = cells.first(x, 4 * k + 1)
+                if bounded:
+                    reach = part["limit"].to_numpy(float) + cells.slack(x)
+                    visit = (cells.bounds(x) <= reach[:, None]) & ~visit & (cells.rows > 0)
+                row, cell = np.nonzero(visit)
+                if len(row):
+                    yield part.iloc[row].assign(grp=cell)
+
+    return queries.mapInPandas(run, T.StructType([*queries.schema, T.StructField("grp", T.IntegerType())]))
+
+
+def nearest(queries: DataFrame, data: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
+    """k nearest data rows of each query row by Euclidean distance: (qid, nid, dist, rank).
+
+    Both inputs hold (id, num array<double>); rows at distance 0 are not neighbours, ties go to the
+    smaller id, and rows with a missing or infinite number take no part.
+    """
+    asked, rows = (_finite(side).select("id", "num", no_categories()) for side in (queries, data))
+    n_rows = rows.count()
+    if n_rows <= block_rows:
+        one = F.lit(0).alias("grp")
+        return knn_join(asked.select(one, "*"), rows.select(one, "*"), k, block_rows=block_rows).drop("grp")
+    cells, placed = make_cells(rows, n_rows, block_rows)
+    columns = ["qid", "nid", "dist"]
+    near = materialize(knn_join(routes(asked, cells, k, False), placed, k, block_rows=block_rows).select(*columns), "near")
+    order = W.partitionBy("qid").orderBy("dist", "nid")
+    kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("qid").alias("id"), F.col("dist").alias("limit"))
+    limited = asked.join(kth, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    more = knn_join(routes(limited, cells, k, True).drop("limit"), placed, k, block_rows=block_rows).select(*columns)
+    return near.union(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def knn(df: DataFrame, id_col: str, vec: str, k: int, block_rows: int = 4096) -> DataFrame:
     """k nearest rows of every row of one table by Euclidean distance: (id, neighbor, dist, rank)."""
-    side = df.select(F.lit(0).alias("grp"), F.col(id_col).alias("id"), F.col(vec).alias("num"), no_categories())
-    found = knn_join(side, side, k, block_rows=block_rows)
+    side = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("num"))
+    found = nearest(side, side, k, block_rows)
     return found.select(F.col("qid").alias(id_col), F.col("nid").alias("neighbor"), "dist", "rank")
 
 
@@ -151,7 +261,7 @@ def knn_classify(
 ) -> DataFrame:
     """Label of each query row by vote of its k nearest training rows at distance above 0."""
     def side(df: DataFrame) -> DataFrame:
-        return df.select(F.lit(0).alias("grp"), F.col(id_col).alias("id"), F.col(vec).alias("num"), no_categories())
+        return df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("num"))
 
-    near = knn_join(side(query), side(train), k, block_rows=block_rows).select(F.col("qid").alias(id_col), "nid")
+    near = nearest(side(query), side(train), k, block_rows).select(F.col("qid").alias(id_col), "nid")
     return vote(near, train.select(F.col(id_col).alias("nid"), label), id_col, label)

@@ -171,3 +171,29 @@ def test_gap_is_uniform(spark):
     ).first()
     assert row["m"] == pytest.approx(0.5, abs=0.01) and row["s"] == pytest.approx(1, abs=0.02)
     assert row["t"] == pytest.approx(5 / 3, abs=0.03) and not math.isnan(row["s"])
+
+
+def test_cells_rule_out_most_pairs_and_lose_no_neighbour(spark):
+    rng = np.random.default_rng(12)
+    centers = rng.normal(size=(40, 6)) * 20
+    points = centers[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 6))
+    points[100:130] = points[100]  # copies are not neighbours of each other
+    points[7] = [1e6] * 6
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(points)] + [(4000, [float("nan")] * 6), (4001, [float("inf")] + [0.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>").repartition(6)
+    side = df.where("id < 4000").select("id", F.col("vec").alias("num"))
+    cells, placed = knn.make_cells(side, 4000, 100)
+    assert len(cells.rows) == 80 and cells.rows.sum() == 4000
+    first = knn.routes(side, cells, 5, False).groupBy("grp").count().collect()
+    limits = knn.knn(df, "id", "vec", 5, 100).where("rank = 5").select("id", F.col("dist").alias("limit"))
+    second = knn.routes(side.join(limits, "id"), cells, 5, True).groupBy("grp").count().collect()
+    visited = sum(r["count"] * int(cells.rows[r["grp"]]) for r in [*first, *second])
+    assert visited < 0.1 * 4000 * 4000
+    got = {}
+    for r in knn.knn(df, "id", "vec", 5, 100).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbor"], r["dist"]))
+    assert set(got) == set(range(4000))
+    for i in [*range(0, 4000, 97), 7, 100, 129]:
+        dist = np.round(np.sqrt(((points - points[i]) ** 2).sum(axis=1)), 9)
+        want = [j for _, j in sorted((d, j) for j, d in enumerate(dist) if d > 0)[:5]]
+        assert [n for _, n, _ in sorted(got[i])] == want
