@@ -202,6 +202,39 @@ def grouped_auc(t: Tables) -> DataFrame:
     return found.withColumn("auc", r6("auc"))
 
 
+def _window_sql(w: int) -> str:
+    """The running means when every update is a += (x - a) / min(w, n), as weighted sums."""
+    numbered = "j as (select p.*, case when p.cls = 1 then e.n1 else e.n0 end as seq from pairs p join e using (event_id)), z as (select *, count(*) over (partition by grp, cls) as size from j)"
+    weight = f"case when size <= {w} then 1.0::DOUBLE / size else power(1 - 1.0::DOUBLE / {w}, size - greatest(seq, {w})) / {w} end"
+    head = _auc_sql(True).rsplit("m as (", 1)[0]
+    return f"""with {head}{numbered},
+m as (select grp, coalesce(sum(x * {weight}) filter (cls = 0), 0.5) as a0, coalesce(sum(x * {weight}) filter (cls = 1), 0.5) as a1,
+ count(*) filter (cls = 0) as n0, count(*) filter (cls = 1) as n1 from z group by grp)"""
+
+
+@query("online_auc_window", f"{_window_sql(50)} select grp, {_PARTS} from m")
+def online_auc_window(t: Tables) -> DataFrame:
+    """Means over a window of 50 updates, per group."""
+    found = auc.group_auc(_events(t), ["ts", "event_id"], "cls", "score", ["grp"], window_size=50)
+    return found.withColumns({c: r6(c) for c in ("a0", "a1", "auc")})
+
+
+def _samples(t: Tables) -> DataFrame:
+    source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet")
+    source = source.option("maxFilesPerTrigger", 16).parquet(t.path)
+    return source.select(
+        (F.col("user_id") % 10).cast("string").alias("grp"),
+        (F.col("event_type") == "purchase").cast("int").alias("cls"), F.col("value").alias("score"),
+        F.col("ts").alias("ord1"), F.col("event_id").alias("ord2"),
+    )
+
+
+@query("online_auc_stream_split", f"with {_auc_sql(True)} select grp::VARCHAR as grp, {_PARTS} from m")
+def online_auc_stream_split(t: Tables) -> DataFrame:
+    """The stream whose micro-batches are cut into parts."""
+    return auc_stream.advance_stream(_samples(t), "auc-split").withColumns({c: r6(c) for c in ("a0", "a1", "auc")})
+
+
 @query("online_auc_stream", f"with {_auc_sql(True)} select grp::VARCHAR as grp, {_PARTS} from m")
 def online_auc_stream(t: Tables) -> DataFrame:
     schema = t.events.schema

@@ -1,5 +1,8 @@
 """Prequential AUC as a stateful stream: one small state per group.
 
+``auc_stream`` takes the rows of a group one after the other in the group's task.  ``advance_stream`` cuts
+the micro-batch of a large group into parts (operators/auc.py), for streams with hot groups.
+
 The state holds the retained scores of both classes, their means and counts; Spark keeps
 it in the checkpoint, so a restarted stream goes on where it stopped.
 """
@@ -12,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.draw import u_value
+from ..operators.auc import advance, slot
 from ..session import new_path
 
 HISTORY = 10
@@ -20,15 +23,6 @@ STATE = "scores0 array<double>, scores1 array<double>, a0 double, a1 double, n0
 OUTPUT = "grp string, a0 double, a1 double, n0 long, n1 long, auc double"
 
 
-def _slot(policy: str, n: int, history: int, key: str, cls: int) -> int | None:
-    """Place a new score takes among the retained ones once they are full."""
-    if policy == "fifo":
-        return n % history
-    size = n + 1 if policy == "fair" else history
-    place = int(u_value("auc", key, cls, n) * size)
-    return place if place < history else None
-
-
 def _updates(policy: str, history: int, window_size: int | None):
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
@@ -39,12 +33,11 @@ def _updates(policy: str, history: int, window_size: int | None):
         batch = pd.concat(list(parts), ignore_index=True).sort_values(["ord1", "ord2"], kind="stable")
         for cls, score in zip(batch["cls"].to_numpy(), batch["score"].to_numpy()):
             cls, score, n = int(cls), float(score), counts[int(cls)]
+            place = slot(policy, n, history, str(key[0]), cls)
             if n < history:
                 scores[cls].append(score)
-            else:
-                place = _slot(policy, n, history, str(key[0]), cls)
-                if place is not None:
-                    scores[cls][place] = score
+            elif place >= 0:
+                scores[cls][place] = score
             counts[cls] = n + 1
             other = scores[1 - cls]
             if other:
@@ -91,3 +84,29 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     rows = spark.read.schema(OUTPUT + ", batch long").parquet(out)
     last = F.max_by(F.struct(*[F.col(c) for c in ("a0", "a1", "n0", "n1", "auc")]), "batch")
     return rows.groupBy("grp").agg(last.alias("l")).select("grp", "l.*")
+
+
+def advance_stream(
+    samples: DataFrame, name: str, policy: str = "fifo", history: int = HISTORY, window_size: int | None = None
+) -> DataFrame:
+    """Process all available input of (grp, cls, score, ord1, ord2); (grp, a0, a1, n0, n1, auc) at its end.
+
+    The state of all groups is a table per micro-batch, made from the one before it and the batch's
+    rows.  A batch that is done again writes the same table again, so a restart counts no row twice.
+    """
+    spark = samples.sparkSession
+    out, checkpoint = new_path(spark, name), new_path(spark, f"{name}-state")
+    schema = "grp string, " + STATE.replace("scores", "slots")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        state = batch.sparkSession.read.schema(schema).parquet(f"{out}/batch={batch_id - 1}") if batch_id else None
+        found = advance(batch, ["ord1", "ord2"], "cls", "score", ["grp"], history, window_size, policy, state)
+        found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = samples.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query = writer.start()
+    query.awaitTermination()
+    rows = spark.read.schema(schema + ", batch long").parquet(out)
+    newest = rows.agg(F.max("batch")).first()[0]
+    last = rows.where(F.col("batch") == (newest if newest is not None else -1))
+    return last.select("grp", "a0", "a1", "n0", "n1", ((1 - F.col("a0") + F.col("a1")) / 2).alias("auc"))
