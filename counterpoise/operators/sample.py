@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from decimal import Decimal
 
-from ..functions.draw import below, u
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..functions.draw import below, hash52, u
 from .prefix import ordered_chunks, running_sums, shuffled_rank, sorted_rank
 
+BINS = 1 << 12
+MERGED_ROWS = 10_000
+UNITS = Decimal(10**30)
+
 
 def bootstrap(df: DataFrame, ids: list[str], tree: int = 0, seed="bootstrap") -> DataFrame:
     """N draws with replacement from N rows: the drawn rows and their ``copies``."""
@@ -40,11 +46,29 @@ def bernoulli_sample(df: DataFrame, ids: list[str], rate: float, seed="bernoulli
 
 
 def fixed_size_sample(df: DataFrame, ids: list[str], k: int, seed="reservoir", stable: bool = False) -> DataFrame:
-    """k random rows; ``stable`` returns them in input (id) order.
+    """k random rows, those of least draw; ``stable`` returns them in input (id) order.
 
-    A top-k by random draw: each task keeps its k best, k rows per task are merged.
+    The k-th draw is found by histograms, each over the range that holds it in the one before.  Rows below
+    that range are taken where they lie, and only the last at most ``MERGED_ROWS`` are merged in one task.
     """
-    picked = df.orderBy(u(seed, *ids), *ids).limit(k)
+    drawn = df.withColumn("_h", hash52(F.lit(str(seed)), *[F.col(c) for c in ids]))
+    low, width, rest = 0, 1 << 52, k
+    while rest > MERGED_ROWS and width > 1:
+        step = max(1, width // BINS)
+        inside = drawn.where((F.col("_h") >= low) & (F.col("_h") < low + width))
+        counts = dict(inside.groupBy(F.floor((F.col("_h") - low) / step).alias("b")).agg(F.count(F.lit(1))).collect())
+        if sum(counts.values()) <= rest:
+            low, width, rest = low + width, 1 << 52, 0
+            break
+        for place in range(-(-width // step)):
+            n = counts.get(place, 0)
+            if n > rest:
+                low, width = low + place * step, step
+                break
+            rest -= n
+    taken = drawn.where(F.col("_h") < low)
+    last = drawn.where((F.col("_h") >= low) & (F.col("_h") < low + width)).orderBy("_h", *ids).limit(rest)
+    picked = (last if low == 0 else taken.union(last) if rest else taken).drop("_h")
     return picked.orderBy(*ids) if stable else picked
 
 
@@ -61,32 +85,52 @@ def stratified_partition(df: DataFrame, label: str, ids: list[str], p: int, seed
     return ranked.withColumn("part", F.pmod(F.col("_k") + start, F.lit(p))).drop("_k")
 
 
-def cumulative_distribution(weights: DataFrame, key: str, weight: str) -> DataFrame:
-    """Interval [lo, hi) of each key on [0, 1), by running sums of normalised weights."""
+def _intervals(weights: DataFrame, key: str, weight: str) -> DataFrame:
+    """(key, _lo, _hi): shares of ``UNITS`` whole units, as decimals, which add up without rounding.
+
+    A weight keeps its interval down to 1e-30 of the total.
+    """
     positive = weights.where(F.col(weight) > 0).select(key, F.col(weight).cast("double").alias("_w"))
-    total = positive.agg(F.sum(F.abs("_w"))).scalar()
-    # whole numbers add without rounding, whatever the order of addition
-    units = positive.withColumn("_w", F.round(F.col("_w") / total * F.lit(1e15)).cast("long"))
-    run = running_sums(ordered_chunks(units, key), [], ["_pos"], {"_hi": F.col("_w")})
+    total = positive.agg(F.sum("_w")).scalar()
+    units = positive.select(key, F.round((F.col("_w") / total).cast("decimal(38,36)") * F.lit(UNITS).cast("decimal(31,0)"), 0).cast("decimal(31,0)").alias("_w"))
+    run = running_sums(ordered_chunks(units, key), [], ["_pos"], {"_run": F.col("_w")}).drop("_pos", "_chunk")
     top = units.agg(F.sum("_w")).scalar()
-    return run.select(key, ((F.col("_hi") - F.col("_w")) / top).alias("lo"), (F.col("_hi") / top).alias("hi"))
+    # shares were rounded to doubles, so they miss the whole by a little, which is spread evenly
+    run = run.withColumn("_top", top.cast("decimal(38,0)"))
+    miss = (F.lit(UNITS).cast("decimal(31,0)") - F.col("_top")).cast("double")
+
+    def placed(x: Column) -> Column:
+        moved = x + F.round(x.cast("double") / F.col("_top").cast("double") * miss).cast("decimal(31,0)")
+        return F.when(x == F.col("_top"), F.lit(UNITS).cast("decimal(31,0)")).otherwise(moved).cast("decimal(38,0)")
+
+    return run.select(key, placed(F.col("_run") - F.col("_w")).alias("_lo"), placed(F.col("_run")).alias("_hi"))
+
+
+def cumulative_distribution(weights: DataFrame, key: str, weight: str) -> DataFrame:
+    """Interval [lo, hi) of each key on [0, 1), by exact running sums of normalised weights."""
+    found = _intervals(weights, key, weight)
+    return found.select(key, *[(F.col(f"_{c}").cast("double") / float(UNITS)).alias(c) for c in ("lo", "hi")])
 
 
 def multinomial_sample(
     draws: DataFrame, draw: str, weights: DataFrame, key: str, weight: str, cells: int | None = None
 ) -> DataFrame:
-    """Key whose interval holds each draw in [0, 1).
+    """Key whose interval holds each draw in [0, 1), a double or a decimal of up to 30 places.
 
     Draws and intervals meet on even cells of [0, 1), so the range join is an equi-join.
     There are as many cells as keys unless given, so a cell holds few intervals.
     """
     cells = max(1024, weights.count()) if cells is None else cells
-    intervals = cumulative_distribution(weights, key, weight)
-    last = F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1))
-    spread = intervals.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), last)))
-    placed = draws.withColumn("_cell", F.floor(F.col(draw) * cells))
-    met = placed.join(spread, "_cell").where((F.col(draw) >= F.col("lo")) & (F.col(draw) < F.col("hi")))
-    return met.drop("_cell", "lo", "hi")
+
+    def cell(x: Column) -> Column:
+        return F.least(F.floor(x.cast("double") / float(UNITS) * cells), F.lit(cells - 1))
+
+    intervals = _intervals(weights, key, weight)
+    spread = intervals.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    at = (F.col(draw).cast("decimal(31,30)") * F.lit(UNITS).cast("decimal(31,0)")).cast("decimal(38,0)")
+    placed = draws.withColumn("_at", at).withColumn("_cell", cell(F.col("_at")))
+    met = placed.join(spread, "_cell").where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
+    return met.drop("_cell", "_lo", "_hi", "_at")
 
 
 def interleave_classes(df: DataFrame, label: str, ids: list[str], first: str, seed="interleave") -> DataFrame:
