@@ -249,6 +249,75 @@ def top_pairs(pairs: DataFrame, top: int = 100, exclude_self: bool = False) -> D
     return ranked.where(F.col("rank") <= top).drop("_key")
 
 
+LEVELS = 64
+SLACK = 2e-9  # similarities equal to nine digits count as tied
+
+
+def _asks(entries: DataFrame, hot: DataFrame, first: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
+    """Entries of hot columns for the rows that ask, with the weakest ``_reach`` of a partner worth meeting,
+    and for all rows with their ``_level``.
+
+    Two rows that share hot columns only are at most as similar as the product of their lengths in
+    these.  A row whose ``top`` best among ``first`` are at least ``_kth`` needs only partners of length
+    ``_kth`` over its own.  Level L holds lengths above 2^(-(L + 1) / 2), up to 2^(-L / 2).
+    """
+    warm = entries.join(hot, "col", "left_semi")
+    length = warm.groupBy("row").agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("_length"))
+    order = W.partitionBy("row").orderBy(F.desc("similarity"))
+    both = first.select(F.col("a").alias("row"), "similarity").union(first.where(F.col("a") != F.col("b")).select("b", "similarity"))
+    kth = both.withColumn("_k", F.row_number().over(order)).where(F.col("_k") == top).select("row", F.col("similarity").alias("_kth"))
+    known = materialize(length.join(kth, "row", "left").select(
+        "row", "_length", F.greatest(F.coalesce("_kth", F.lit(0.0)) - SLACK, F.lit(0.0)).alias("_kth")), "hot-lengths")
+    deepest = F.lit(float(LEVELS - 1))
+    # rounding must not lift a partner over the edge of its level
+    level = F.least(F.greatest(F.floor(-2 * F.log2(F.col("_length") * (1 + 1e-9))), F.lit(0)), deepest).cast("int")
+    reach = F.when(F.col("_kth") > 0, F.least(F.floor(2 * F.log2(F.col("_length") / F.col("_kth") * (1 + 1e-9))), deepest)).otherwise(deepest).cast("int")
+    lengths = known.select("row", level.alias("_level"), reach.alias("_reach"))
+    full = warm.select("row", "col", "val").join(lengths, "row")
+    return full.where(F.col("_reach") >= 0).drop("_level"), full.drop("_reach")
+
+
+def _top_with_hot(entries: DataFrame, hot: DataFrame, top: int, exclude_self: bool, limit: int) -> DataFrame:
+    """``top_pairs`` of unit rows when some columns are hot, without all pairs of these columns.
+
+    Pairs that share another column are computed in full and give each row a bound; rows then meet
+    through hot columns only partners heavy enough in them to get among their best.
+    """
+    cold = entries.join(hot, "col", "left_anti")
+    warm = materialize(entries.join(hot, "col", "left_semi"), "hot-entries")
+    pairs = materialize(_dots(cold, None, limit).select("a", "b", "n"), "cold-pairs")
+    left, right = _sides(warm, ["row", "val"])
+    looked_up = pairs.select("a", "b").join(left, F.col("a") == F.col("a_row")).drop("a_row").join(right.withColumnRenamed("b_row", "b"), ["b", "col"])
+    hot_parts = looked_up.select("a", "b", (F.col("a_val") * F.col("b_val")).alias("n"))
+    first = pairs.unionByName(hot_parts)
+    if not exclude_self:
+        # a row without other columns still is its own best partner
+        own = entries.join(cold.select("row").distinct(), "row", "left_anti").groupBy("row").agg(F.sum(F.col("val") * F.col("val")).alias("n"))
+        first = first.unionByName(own.select(F.col("row").alias("a"), F.col("row").alias("b"), "n"))
+    first = first.groupBy("a", "b").agg(F.sum("n").alias("similarity")).where(F.col("similarity") >= SMALLEST)
+    if exclude_self:
+        first = first.where(F.col("a") != F.col("b"))
+    first = materialize(first, "first-pairs")
+
+    asking, met = _asks(entries, hot, first, top)
+    wanted = asking.select(
+        F.col("row").alias("a_row"), F.col("val").alias("a_val"), F.col("col"), F.explode(F.sequence(F.lit(0), F.col("_reach"))).alias("_level"))
+    levels = met.select("_level").distinct()
+    key = F.concat_ws("|", "col", "_level").alias("_key")
+    one = wanted.join(F.broadcast(levels), "_level", "left_semi").select(key, "a_row", "a_val")
+    two = met.select(key, F.col("row").alias("b_row"), F.col("val").alias("b_val"))
+    found = tile_join(one, two, "_key", "a_row", "b_row", limit).where(F.col("a_row") != F.col("b_row"))
+    directed = found.groupBy(F.col("a_row").alias("row"), F.col("b_row").alias("other")).agg(F.sum(F.col("a_val") * F.col("b_val")).alias("similarity"))
+    ends = pairs.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
+    new = directed.join(ends, (F.least("row", "other") == F.col("_a")) & (F.greatest("row", "other") == F.col("_b")), "left_anti")
+    whole = first.select(F.col("a").alias("row"), F.col("b").alias("other"), "similarity")
+    mirrored = first.where(F.col("a") != F.col("b")).select(F.col("b").alias("row"), F.col("a").alias("other"), "similarity")
+    lists = whole.unionByName(mirrored).unionByName(new.where(F.col("similarity") >= SMALLEST))
+    order = W.partitionBy("row").orderBy(F.desc("_key"), "other")
+    ranked = lists.withColumn("_key", F.round("similarity", 9)).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= top).drop("_key")
+
+
 def row_similarity(
     entries: DataFrame,
     measure: str | Measure = "cosine",
@@ -258,4 +327,11 @@ def row_similarity(
     **options,
 ) -> DataFrame:
     """(row, other, similarity, rank): the ``top`` most similar rows of each row."""
+    rule = SIMILARITIES[measure] if isinstance(measure, str) else measure
+    limit = options.get("limit", LIMIT)
+    if threshold == SMALLEST and rule.prepare in ("unit", "centered"):
+        carried = prepare_rows(entries, rule.prepare, options.get("signed_mean", False))
+        hot = _hot_columns(carried, limit)
+        if not hot.isEmpty():
+            return _top_with_hot(carried, hot, top, exclude_self, limit)
     return top_pairs(row_pairs(entries, measure, threshold, **options), top, exclude_self)
