@@ -137,3 +137,47 @@ def test_mean_ignores_missing_trees(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, g string")
     found = {r["id"]: r["prediction"] for r in model.predict(df, Forest([], ["g"], [one, two], True), ["id"]).collect()}
     assert found == {1: 4.0, 2: 3.0}
+
+
+def test_category_of_200_000_values(spark):
+    """No value goes through the driver: unseen values lead nowhere, values without a branch to the default."""
+    value = F.col("id") % 200_000
+    df = spark.range(400_000).select("id", F.concat(F.lit("v"), value).alias("g"), F.when(value % 3 == 0, "yes").otherwise("no").alias("y"))
+    wide = train.grow_tree(df, "y", ["id"], [], ["g"], m=1)
+    assert wide.branches.count() == 200_000 and not wide.fits_memory
+    asked = df.union(spark.createDataFrame([(-1, "other", "yes"), (-2, None, "no")], df.schema))
+    got = {(r["y"], r["prediction"]): r["n"] for r in model.predict(asked, wide, ["id"]).groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {("yes", "yes"): 133_334, ("no", "no"): 266_666, ("yes", None): 1, ("no", None): 1}
+
+
+@pytest.mark.parametrize("complemented", [True, False])
+def test_joined_scores_equal_scores_in_memory(spark, monkeypatch, complemented):
+    df = tabular(spark)
+    forest = train.train_forest(df, "y", ["id"], ["x", "z"], ["g"], n_trees=3, max_depth=4, complemented=complemented)
+    asked = tabular(spark, 200, seed=5).union(spark.createDataFrame([(900, 0.1, 2.0, "unseen", "no", 0.0), (901, 0.1, 2.0, None, "no", 0.0)], df.schema))
+    near = {r["id"]: r["votes"] for r in model.tree_votes(asked, forest, ids=["id"]).collect()}
+    joined = {r["id"]: r["votes"] for r in forest.votes(asked, ["id"], "votes").collect()}
+    assert near == joined
+
+
+def test_nodes_are_numbered_in_chunks_alike(spark, monkeypatch):
+    df = tabular(spark)
+    options = dict(n_trees=2, max_depth=3)
+    whole = train.train_forest(df, "y", ["id"], ["x", "z"], ["g"], **options).table(spark).collect()
+    monkeypatch.setattr(train, "WINDOW_NODES", 0)
+    monkeypatch.setattr(train, "NODE_CHUNK", 2)
+    assert sorted(map(str, train.train_forest(df, "y", ["id"], ["x", "z"], ["g"], **options).table(spark).collect())) == sorted(map(str, whole))
+
+
+def test_gini_split_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 12, 200).astype(float), rng.integers(0, 3, 200)
+
+    def gini(part):
+        _, n = np.unique(part, return_counts=True)
+        return len(part) - (n**2).sum() / len(part) if len(part) else 0.0
+
+    gains = {v: (gini(y) - gini(y[x < v]) - gini(y[x >= v])) / len(y) for v in np.unique(x)}
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x double, y int")
+    r = split.numeric_split(df, ["x"], "y", criterion=split.GiniTarget).first()
+    assert r["gain"] == pytest.approx(max(gains.values())) and gains[r["split"]] == pytest.approx(r["gain"])
