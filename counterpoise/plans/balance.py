@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import balance, knn, smote
+from ..operators import balance, knn, schema, smote
 from .base import LAB_SQL, LI_SQL, Tables, query, r6, r6_sql, u_sql
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -193,3 +193,11 @@ select qid as id, cls as predicted, n as votes from (
  select *, row_number() over (partition by qid order by n desc, cls) as k from labels) where k = 1""")
 def knn_classify_mixed(t: Tables) -> DataFrame:
     return smote.hvdm_classify(_split(t), "cls", "id", NUMERIC, CATEGORICAL)
+
+
+@query("scale_codes", """with d as (select p_brand, row_number() over (order by p_brand) - 1 as code, count(*) over () - 1 as span from (select distinct p_brand from part))
+select p_partkey, code / greatest(span, 1)::DOUBLE as brand from part join d using (p_brand)""")
+def scale_codes(t: Tables) -> DataFrame:
+    """Category codes on [0, 1]."""
+    rows = t.part.select("p_partkey", F.col("p_brand").alias("brand"))
+    return smote.scale_codes(rows, ["brand"], schema.dictionary(rows, ["brand"]))

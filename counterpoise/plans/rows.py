@@ -8,6 +8,7 @@ from ..functions import draw
 from ..functions.info import llr, llr_sql
 from ..operators import aggregate, entropy, evaluate, sample, schema
 from ..operators.schema import Roles
+from ..session import new_path
 from ..sources import io
 from .base import CP_SQL, LI_SQL, Tables, query, r6, r6_sql, u_sql
 
@@ -27,6 +28,36 @@ def parse_delimited(t: Tables) -> DataFrame:
     return io.parse_delimited(_lines(t), LINE_COLUMNS, roles).select("c_custkey", "c_acctbal", "c_mktsegment")
 
 
+@query("text_round_trip", "select c_custkey, case when c_acctbal >= 0 then c_acctbal end as c_acctbal, c_mktsegment from customer where c_acctbal >= 0")
+def text_round_trip(t: Tables) -> DataFrame:
+    """Rows written as delimited text, read again with their types; rows with a missing value stay behind."""
+    path = new_path(t.spark, "text-rows")
+    rows = t.customer.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal"), "c_mktsegment")
+    io.write_text_rows(rows, path, rows.columns)
+    roles = Roles("c_mktsegment", numeric=["c_acctbal"], categorical=["c_custkey"])
+    read = io.read_delimited(t.spark, path, rows.columns, roles)
+    return read.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_acctbal", "c_mktsegment")
+
+
+@query("lines_without_header", """select n_regionkey::BIGINT as n_regionkey, count(*) as n from nation group by 1""")
+def lines_without_header(t: Tables) -> DataFrame:
+    """Lines of files that each start with a header, which is dropped in every file."""
+    path = new_path(t.spark, "headed-rows")
+    io.write(t.nation.select("n_nationkey", "n_regionkey").repartition(3), path, fmt="csv", header=True)
+    lines = io.read_lines(t.spark, path, skip_header=True)
+    region = F.split("value", ",")[1].cast("long")
+    return lines.groupBy(region.alias("n_regionkey")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("inverse_dictionary", """with d as (select p_brand, row_number() over (order by p_brand) - 1 as code from (select distinct p_brand from part))
+select p_partkey, (p_partkey % 30)::INTEGER as code, b as value from part left join (select code as c, p_brand as b from d) on p_partkey % 30 = c""")
+def inverse_dictionary(t: Tables) -> DataFrame:
+    """Values of given codes; codes beyond the dictionary have none."""
+    terms = schema.dictionary(t.part, ["p_brand"]).select("code", "value")
+    asked = t.part.select("p_partkey", (F.col("p_partkey") % 30).cast("int").alias("code"))
+    return io.inverse_dictionary(terms, asked, "code").select("p_partkey", "code", "value")
+
+
 @query("split_records", """select c_custkey::VARCHAR as first, 4::BIGINT as items, 1::BIGINT as n from customer""")
 def split_records(t: Tables) -> DataFrame:
     rows = io.split_records(_lines(t), "[, ]")
