@@ -23,8 +23,8 @@ WINDOW_NODES = 1 << 20
 NODE_CHUNK = 1 << 20
 
 
-def bag_rows(df: DataFrame, ids: list[str], n_trees: int, partitions: int | None, seed="bag") -> DataFrame:
-    """Adds ``grp`` and ``bag``: the trees that drew each row, with multiplicity.
+def _draws(df: DataFrame, ids: list[str], n_trees: int, partitions: int | None, seed) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``grp`` and ``_row``, one row (grp, _row, tree) per draw).
 
     Every tree draws as many rows with replacement as its partition holds; without
     ``partitions`` there is one partition.  Trees are dealt evenly, the remainder to the
@@ -42,11 +42,24 @@ def bag_rows(df: DataFrame, ids: list[str], n_trees: int, partitions: int | None
     sizes = ranked.groupBy("grp").agg(F.count(F.lit(1)).alias("_size"))
     trees = F.filter(F.sequence(first, last, F.lit(1)) if partitions is None else F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda t: t >= 0)
     draws = ranked.join(sizes, "grp").select("grp", "_row", "_size", F.explode(trees).alias("tree"))
-    hits = draws.select("grp", below(u(seed, "tree", "_row"), F.col("_size")).alias("_row"), "tree")
+    return ranked, draws.select("grp", below(u(seed, "tree", "_row"), F.col("_size")).alias("_row"), "tree")
+
+
+def bag_rows(df: DataFrame, ids: list[str], n_trees: int, partitions: int | None, seed="bag") -> DataFrame:
+    """Adds ``grp`` and ``bag``: the trees that drew each row, with multiplicity."""
+    ranked, hits = _draws(df, ids, n_trees, partitions, seed)
     bags = hits.groupBy("grp", "_row").agg(F.collect_list("tree").alias("bag"))
     return ranked.join(bags, ["grp", "_row"]).drop("_row")
 
 
+def weighted_rows(df: DataFrame, ids: list[str], n_trees: int, partitions: int | None, seed="bag") -> DataFrame:
+    """Each row once per tree that drew it, with ``tree`` and ``w``, how often it did."""
+    ranked, hits = _draws(df, ids, n_trees, partitions, seed)
+    # the same deal of rows serves the count and the join
+    counted = hits.repartition("grp", "_row").groupBy("grp", "_row", "tree").agg(F.count(F.lit(1)).alias("w"))
+    return ranked.join(counted, ["grp", "_row"]).drop("_row", "grp")
+
+
 def bin_edges(df: DataFrame, numeric: list[str], max_bins: int, accuracy: int = 10_000) -> dict[str, list[float]]:
     """Split candidates of each numeric column: at most ``max_bins`` of its quantiles."""
     shares = [i / max_bins for i in range(max_bins)]
@@ -225,14 +238,14 @@ def train_forest(
         edges = bin_edges(rows, numeric, max_bins)
         rows = rows.withColumns({c: _binned(F.col(c).cast("double"), edges[c]) for c in numeric})
     if bootstrap:
-        bagged = bag_rows(rows, ids, n_trees, partitions if mode == "partitioned" else None, f"{seed}-bag")
+        bagged = weighted_rows(rows, ids, n_trees, partitions if mode == "partitioned" else None, f"{seed}-bag")
     else:
-        bagged = rows.withColumn("bag", F.sequence(F.lit(0), F.lit(n_trees - 1)))
+        bagged = rows.withColumns({"tree": F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))), "w": F.lit(1).cast("long")})
     target = Target(label) if regression else class_target(rows, label, criterion)
     target = type(target)("y", target.classes)
     names, n_numeric = [*numeric, *categorical], len(numeric)
     kinds = ["double"] * n_numeric + ["string"] * len(categorical)
-    named = bagged.select("bag", F.col(label).alias("y"), *[F.col(c).cast(k).alias(f"x{i}") for i, (c, k) in enumerate(zip(names, kinds))])
+    named = bagged.select("tree", "w", F.col(label).alias("y"), *[F.col(c).cast(k).alias(f"x{i}") for i, (c, k) in enumerate(zip(names, kinds))])
     values = None
     if categorical:
         named, values = coded(named, {i: f"x{i}" for i in range(n_numeric, len(names))})
@@ -243,9 +256,8 @@ def train_forest(
     open_ = df.sparkSession.range(n_trees).select(
         F.col("id").cast("int").alias("tree"), F.lit(0).cast("long").alias("node"), F.lit(0).alias("depth"), start.alias("used"),
         F.lit(None).cast("double").alias("least"))
-    drawn = named.select("*", F.explode(F.array_distinct("bag")).alias("tree")).withColumns({
-        "w": F.size(F.filter("bag", lambda t: t == F.col("tree"))).cast("long"), "node": F.lit(0).cast("long")})
-    table = materialize(drawn.drop("bag").join(F.broadcast(open_.select("tree", "node", grower.attributes().alias("attrs"))), ["tree", "node"]), "open-rows")
+    roots = open_.select("tree", "node", grower.attributes().alias("attrs"))
+    table = materialize(named.join(F.broadcast(roots), "tree"), "open-rows")
     discard(rows)
 
     name_of = F.element_at(F.array(*map(F.lit, names)), F.col("attr") + 1)
