@@ -25,6 +25,9 @@ WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 CHUNK_SHINGLES = 1 << 17
+CHUNK_MEMBERS = 1 << 12
+STRIPE_CELLS = 1 << 22
+LIGHT = 32
 TILE_BYTES = 8 << 20
 
 
@@ -87,8 +90,77 @@ def mixed_cheap(values: np.ndarray, factor: np.uint64, shift: np.uint64) -> np.n
     return x ^ (x >> np.uint64(32))
 
 
+class Common:
+    """Numbers of shared shingles between the two sides of a tile, a stripe of the left side at a time.
+
+    A shingle that few members hold adds its pairs one by one, which is at most ``LIGHT`` times
+    the entries of the tile; the others are columns of 0/1 matrices and add up as products.
+    """
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, column: np.ndarray, owner: np.ndarray):
+        seat_l, seat_r = (np.full(int(max(left.max(), right.max(), owner.max(initial=0))) + 1, -1) for _ in range(2))
+        seat_l[left], seat_r[right] = np.arange(len(left)), np.arange(len(right))
+        self.width = len(right)
+        sides = []
+        for seat in (seat_l, seat_r):
+            mine = seat[owner] >= 0
+            sides.append((column[mine], seat[owner[mine]]))
+        (col_l, row_l), (col_r, row_r) = sides
+        degree = np.bincount(col_r, minlength=int(column.max(initial=-1)) + 1)
+        start = np.concatenate(([0], np.cumsum(degree)))
+        # entries of the left side by row, so that a stripe is a range of them
+        order = np.argsort(row_l, kind="stable")
+        col_l, row_l = col_l[order], row_l[order]
+        light = degree[col_l] <= LIGHT
+        self.light = row_l[light], start[col_l[light]], degree[col_l[light]]
+        self.held = row_r
+        heavy = np.flatnonzero(degree > LIGHT)
+        name = np.full(len(degree), -1)
+        name[heavy] = np.arange(len(heavy))
+        self.heavy = row_l[~light], name[col_l[~light]]
+        of_right = name[col_r] >= 0
+        # right entries of heavy columns, by column
+        self.right = name[col_r[of_right]], row_r[of_right]
+        self.columns = len(heavy)
+
+    def stripe(self, lo: int, hi: int) -> np.ndarray:
+        """Shared shingles of left members ``lo`` to ``hi`` with every right member."""
+        rows, start, many = self.light
+        a, b = np.searchsorted(rows, (lo, hi))
+        many = many[a:b]
+        ahead = np.cumsum(many) - many
+        at = np.arange(int(many.sum())) + np.repeat(start[a:b] - ahead, many)
+        cells = np.repeat(rows[a:b] - lo, many) * self.width + self.held[at]
+        common = np.bincount(cells, minlength=(hi - lo) * self.width).astype(np.float32).reshape(hi - lo, self.width)
+        rows, names = self.heavy
+        a, b = np.searchsorted(rows, (lo, hi))
+        rows, names = rows[a:b] - lo, names[a:b]
+        step = max(1, STRIPE_CELLS // max(self.width, hi - lo))
+        for first in range(0, self.columns, step):
+            mine = (names >= first) & (names < first + step)
+            if not mine.any():
+                continue
+            c, d = np.searchsorted(self.right[0], (first, first + step))
+            ours = np.zeros((hi - lo, min(step, self.columns - first)), np.float32)
+            theirs = np.zeros((self.width, ours.shape[1]), np.float32)
+            ours[rows[mine], names[mine] - first] = 1
+            theirs[self.right[1][c:d], self.right[0][c:d] - first] = 1
+            common += ours @ theirs.T
+        return common
+
+
+def merge_roots(root: np.ndarray, member: int, others: np.ndarray) -> None:
+    """Gives ``member``, ``others`` and all that share a root with them the smallest of their roots."""
+    met = root[others]
+    if (met == root[member]).all():
+        return
+    met = np.unique(np.append(met, root[member]))
+    root[np.isin(root, met)] = met[0]
+
+
 def tile_links(words: int, similarity: float):
     """Compares the members of each tile; rows arrive grouped by tile, tiles may span batches."""
+    share = similarity / (1 + similarity)
 
     def links_of(tile: pd.DataFrame) -> pd.DataFrame:
         docs, sizes = tile["_doc"].to_numpy(), tile["_size"].to_numpy()
@@ -100,52 +172,35 @@ def tile_links(words: int, similarity: float):
         n = np.bincount(owner, minlength=len(docs))
         chunk = tile["_chunk"].to_numpy()
         left, right = np.flatnonzero(chunk == one), np.flatnonzero(chunk == other)
+        links, root = np.zeros(len(docs), np.int64), np.arange(len(docs))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"_doc": docs[:0], "_links": links[:0], "_root": docs[:0]})
         # values found once in the tile are in no intersection
         new = np.ones(len(value), bool)
         new[1:] = value[1:] != value[:-1]
         column = np.cumsum(new) - 1
         shared = np.bincount(column, minlength=1)[column] > 1 if len(value) else np.zeros(0, bool)
-        column, owner = column[shared], owner[shared]
-        common = np.zeros((len(left), len(right)), np.float32)
-        seat_l, seat_r = np.full(len(docs), -1), np.full(len(docs), -1)
-        seat_l[left], seat_r[right] = np.arange(len(left)), np.arange(len(right))
-        width = 8192
-        if len(column):
-            names = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1
-            for lo in range(0, int(names[-1]) + 1, width):
-                a, b = np.searchsorted(names, (lo, lo + width))
-                seen, who = names[a:b] - lo, owner[a:b]
-                sides = []
-                for seat, members in ((seat_l, left), (seat_r, right)):
-                    side = np.zeros((len(members), min(width, int(names[-1]) + 1 - lo)), np.float32)
-                    mine = seat[who] >= 0
-                    side[seat[who[mine]], seen[mine]] = 1
-                    sides.append(side)
-                common += sides[0] @ sides[1].T
-        union = n[left][:, None] + n[right][None, :] - common
-        linked = common >= similarity * union - 1e-6
-        # a pair counts in the first band on which it agrees, and only there
-        for b in range(band):
-            linked &= keys[left, b][:, None] != keys[right, b][None, :]
-        linked &= docs[left][:, None] < docs[right][None, :] if one == other else True
-        links = np.zeros(len(docs), np.int64)
-        np.add.at(links, left, linked @ sizes[right])
-        np.add.at(links, right, linked.T @ sizes[left])
-        # smallest member that reaches each one inside the tile
-        root = np.arange(len(docs))
-        for i, j in zip(*np.nonzero(linked)):
-            i, j = left[i], right[j]
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            while root[j] != j:
-                root[j] = root[root[j]]
-                j = root[j]
-            root[max(i, j)] = min(i, j)
-        for i in range(len(root)):
-            root[i] = root[root[i]]
+        common = Common(left, right, column[shared], owner[shared])
+        height = max(1, STRIPE_CELLS // len(right))
+        for lo in range(0, len(left), height):
+            some = left[lo : lo + height]
+            both = common.stripe(lo, lo + len(some))
+            # J >= s is the same as common >= s / (1 + s) * (sum of the sizes); the right side is in doubles
+            linked = both >= share * (n[some][:, None] + n[right][None, :]) - 1e-6
+            if one == other:
+                linked &= docs[some][:, None] < docs[right][None, :]
+            # a pair counts in the first band on which it agrees, and only there
+            for b in range(band if linked.any() else 0):
+                linked &= keys[some, b][:, None] != keys[right, b][None, :]
+            links[some] += linked @ sizes[right]
+            links[right] += sizes[some] @ linked
+            for i in np.flatnonzero(linked.any(axis=1)):
+                merge_roots(root, some[i], right[linked[i]])
         kept = links > 0
-        return pd.DataFrame({"_doc": docs[kept], "_links": links[kept], "_root": docs[root[kept]]})
+        # roots are places in the tile; a group goes by its smallest document
+        low = np.full(len(docs), np.iinfo(np.int64).max)
+        np.minimum.at(low, root, docs)
+        return pd.DataFrame({"_doc": docs[kept], "_links": links[kept], "_root": low[root[kept]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = ["_band", "_hash", "_ci", "_cj"], []
@@ -172,6 +227,7 @@ def jaccard_join(
     similarity: float = SIMILARITY,
     recall: float = RECALL,
     chunk_shingles: int = CHUNK_SHINGLES,
+    chunk_members: int = CHUNK_MEMBERS,
 ) -> DataFrame:
     """One row per id: ``class_id`` (its connected group), ``copy_id`` (its set class), ``n_links``.
 
@@ -197,8 +253,9 @@ def jaccard_join(
     ).where(F.col("_held") > 1)
     # buckets of the same members are compared once, in their first band
     buckets = buckets.groupBy("_who", "_held", "_total").agg(F.min(F.struct("_band", "_hash")).alias("_b"))
-    # chunks are bounded by what they hold, so a tile of short texts has many members
-    chunks = F.least(F.ceil(F.col("_total") / chunk_shingles), F.col("_held"))
+    # chunks are bounded by what they hold and, for short texts, by their members
+    chunks = F.greatest(F.ceil(F.col("_total") / chunk_shingles), F.ceil(F.col("_held") / chunk_members))
+    chunks = F.least(chunks, F.col("_held"))
     buckets = materialize(buckets.select("_b._band", "_b._hash", chunks.alias("_chunks")), "buckets")
     seated = seats.drop("_n").join(buckets, ["_band", "_hash"])
     own = F.pmod(F.xxhash64("_rep", "_band"), F.col("_chunks"))
