@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .frames import packed, unpacked
 
 WEIGHTS = (5, 2, 1)
@@ -155,26 +155,34 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: str = "mix") ->
     return leaves.select("_source", "shard", "_blocks", offset.alias("_offset"))
 
 
-def cut_point(placed: DataFrame, state: DataFrame) -> DataFrame:
+def cut_point(placed: DataFrame, state: DataFrame, max_repeat: int) -> DataFrame:
     """One pass of ``fill``: how far along the draws the documents of a source fit its room.
 
-    ``state`` holds (``_source``, ``_n_blocks``, ``_from``, ``_room``, ``_limit``): documents of
-    at most ``_limit`` words with a draw of at least ``_from`` may be taken.  The place where
-    their running words meet ``_room`` is searched by histograms: the block that meets it, a
-    slice of this block, a slice of that slice.  A group has at most ``MAX_BLOCKS`` rows
-    whatever the source's size.  Returns (``_source``, ``_to``, ``_left``).
+    A document's extra copies stand at its draw, its draw + 1 and so on.  ``state`` holds
+    (``_source``, ``_n_blocks``, ``_extra``, ``_from``, ``_room``, ``_above``, ``_limit``): the
+    first ``_extra`` copies from place ``_from`` on may be taken, of documents of more than
+    ``_above`` and at most ``_limit`` words.  The place where their running words meet ``_room``
+    is searched by histograms: the block that meets it, a slice of this block, a slice of that
+    slice.  A group has at most ``max_repeat`` times ``MAX_BLOCKS`` rows whatever the
+    source's size.  Returns (``_source``, ``_to``, ``_past``, ``_left``, ``_all``): taken up to
+    ``_to``, looked at up to ``_past``; ``_all`` says that no copy was left over.
     """
-    cut = state.where(F.col("_room") > 0).select(
-        "_source", "_from", "_limit", F.col("_n_blocks").alias("_fan"), F.lit(0.0).alias("_low"),
-        F.lit(1.0).alias("_width"), "_room",
+    # powers of two keep the places of slices exact
+    wide = 1 << max_repeat.bit_length()
+    names = ["_source", "_extra", "_from", "_above", "_limit", "_fan", "_low", "_width", "_room"]
+    cut = state.select(
+        "_source", "_extra", "_from", "_above", "_limit", (F.col("_n_blocks") * wide).alias("_fan"), F.lit(0.0).alias("_low"),
+        F.lit(float(wide)).alias("_width"), "_room",
     )
-    names = ["_source", "_from", "_limit", "_fan", "_low", "_width", "_room"]
     few = state.count() <= BROADCAST_SOURCES
     for _ in range(3):
         # a hot source must not meet its one row in one task
         inside = placed.select("_source", "_u", "size").join(F.broadcast(cut) if few else cut, "_source").where(
-            (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_low") + F.col("_width"))
-            & (F.col("_u") >= F.col("_from")) & (F.col("size") <= F.col("_limit"))
+            (F.col("size") > F.col("_above")) & (F.col("size") <= F.col("_limit"))
+        )
+        copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_extra") - 1))
+        inside = inside.select(*names, "size", "_u", copy.alias("_copy")).withColumn("_u", F.col("_u") + F.col("_copy")).where(
+            (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_low") + F.col("_width")) & (F.col("_u") >= F.col("_from"))
         )
         part = F.floor((F.col("_u") - F.col("_low")) / F.col("_width") * F.col("_fan"))
         parts = inside.groupBy(*names, part.alias("_part")).agg(F.sum("size").alias("_words"))
@@ -185,34 +193,66 @@ def cut_point(placed: DataFrame, state: DataFrame) -> DataFrame:
         )
         step = F.col("_m._width") / F.col("_m._fan")
         cut = met.select(
-            "_source", "_m._from", "_m._limit", F.lit(MAX_BLOCKS).cast("long").alias("_fan"),
+            "_source", *[F.col(f"_m.{n}") for n in names[1:5]], F.lit(MAX_BLOCKS).cast("long").alias("_fan"),
             (F.col("_m._low") + F.col("_m._part") * step).alias("_low"), step.alias("_width"),
             (F.col("_m._room") - F.col("_m._before")).alias("_room"), F.col("_m._words").alias("_words"),
         )
     fits = F.col("_words") <= F.col("_room")
+    past = F.col("_low") + F.col("_width")
     return cut.select(
-        "_source", F.when(fits, F.col("_low") + F.col("_width")).otherwise(F.col("_low")).alias("_to"),
-        F.when(fits, F.col("_room") - F.col("_words")).otherwise(F.col("_room")).alias("_left"),
+        "_source", F.when(fits, past).otherwise(F.col("_low")).alias("_to"), past.alias("_past"),
+        F.when(fits, F.col("_room") - F.col("_words")).otherwise(F.col("_room")).alias("_left"), fits.alias("_all"),
     )
 
 
-def fill(placed: DataFrame, goals: DataFrame) -> DataFrame:
-    """Adds ``_spans`` and ``_cut`` to ``goals``: which documents make up the last, partial pass.
+SPANS = "array<struct<low:double,high:double,above:double,limit:double>>"
+
 
-    The first span takes documents in permuted order until the next one would overshoot.
-    Two more spans fill what is left with documents after it of at most a quarter of the gap,
-    so that one long document at the cut does not keep a source from its target.
+def fill(placed: DataFrame, goals: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """Adds ``_spans`` and ``_cut`` to ``goals``: which extra copies make up the last, partial pass.
+
+    The first span takes documents in permuted order until the next one would overshoot.  Each
+    further pass takes copies behind it of at most half the gap, second and third copies after
+    the first ones, again until one would overshoot; that one is larger than what is then left,
+    so the gap halves and what was passed over no longer fits.  Where all such copies fit, one
+    more pass takes the first of the larger ones that fits.  A source is done when its gap is
+    below its smallest document, or nothing is left that fits; so at the end no copy that may
+    still be taken is as small as the gap, and passes number at most the logarithm of the
+    words.  Only sources that are not done are looked at again.
     """
-    state = goals.select("*", F.lit(0.0).alias("_from"), F.col("_rest").alias("_room"),
-                         F.lit(float("inf")).alias("_limit"), F.array().cast("array<struct<low:double,high:double,limit:double>>").alias("_spans"))
-    for _ in range(3):
-        state = materialize(state, "mix-fill")
-        found = state.join(cut_point(placed, state), "_source", "left")
-        to, left = F.coalesce("_to", "_from"), F.coalesce("_left", F.lit(0.0))
-        span = F.struct(F.col("_from").alias("low"), to.alias("high"), F.col("_limit").alias("limit"))
-        state = found.select(*goals.columns, to.alias("_from"), left.alias("_room"), (left / 4).alias("_limit"),
-                             F.concat("_spans", F.array(span)).alias("_spans"))
-    return materialize(state.select(*goals.columns, "_spans", F.col("_from").alias("_cut")), "mix-cuts")
+    state = goals.select(
+        "*", F.lit(0.0).alias("_from"), F.col("_rest").alias("_room"), F.lit(-1.0).alias("_above"),
+        F.lit(float("inf")).alias("_limit"), F.lit(1).cast("long").alias("_extra"), F.lit(0.0).alias("_cut"),
+        F.when(F.coalesce(F.col("_rest") >= F.col("_smallest"), F.lit(False)), "first").otherwise("done").alias("_phase"),
+        F.array().cast(SPANS).alias("_spans"),
+    )
+    names = state.columns
+    state = materialize(state, "mix-fill")
+    while state.where("_phase != 'done'").limit(1).count():
+        found = state.join(cut_point(placed, state.where("_phase != 'done'"), max_repeat), "_source", "left")
+        left, to = F.coalesce("_left", "_room"), F.coalesce("_to", "_from")
+        every = F.coalesce("_all", F.lit(True))
+        span = F.struct(F.col("_from").alias("low"), to.alias("high"), F.col("_above").alias("above"), F.col("_limit").alias("limit"))
+        larger = (F.col("_phase") == "halves") & every
+        over = (left < F.col("_smallest")) | (F.col("_phase") == "larger") | (larger & (left <= F.col("_limit")))
+        changed = {
+            "_from": F.when(larger, F.col("_from")).otherwise(F.coalesce("_past", "_from")),
+            "_room": left,
+            "_above": F.when(larger, F.col("_limit")).otherwise(F.lit(0.0)),
+            "_limit": F.when(larger, left).otherwise(left / 2),
+            "_extra": F.lit(max_repeat).cast("long") - F.col("_passes"),
+            "_cut": F.greatest("_cut", to),
+            "_phase": F.when(over, "done").when(larger, "larger").otherwise("halves"),
+            "_spans": F.concat("_spans", F.array(span)),
+        }
+        following = materialize(found.select(*[
+            F.when(F.col("_phase") == "done", F.col(n)).otherwise(changed[n]).alias(n) if n in changed else F.col(n) for n in names
+        ]), "mix-fill")
+        discard(state)
+        state = following
+    cuts = materialize(state.select(*goals.columns, "_spans", "_cut"), "mix-cuts")
+    discard(state)
+    return cuts
 
 
 def plan_mix(
@@ -232,8 +272,10 @@ def plan_mix(
     array of (shard, position) with one entry per copy.  Documents of a source are permuted
     by hash and cut into blocks of about ``block_docs``, at most ``MAX_BLOCKS``.  The target
     takes whole passes over the source, then a last pass over its leading blocks that ends
-    where the target is met (see ``fill``).  So a source misses its target by less than one of
-    its short documents, and no document is taken more than ``max_repeat`` times.  A null source is a
+    where the target is met (see ``fill``).  So a source misses its target by less than the
+    smallest of its documents that may be taken once more, and no document is taken more than
+    ``max_repeat`` times.  A document longer than its source's last pass stays out of it, and
+    others come a second or third time in its place.  A null source is a
     source of its own; null or empty texts have size 0; rows that share an id are placed
     alike.  An empty table gives an empty mix.  Sizes are written once; texts are read once.
     Unless given, there is a shard for every ``SHARD_WORDS`` words, ``SHARDS`` at least.
@@ -245,15 +287,21 @@ def plan_mix(
     ), "mix-sizes")
     if shards is None:
         shards = max(SHARDS, math.ceil((sized.agg(F.sum("size")).first()[0] or 0) / SHARD_WORDS))
-    totals = sized.groupBy("_source", "_name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
+    totals = sized.groupBy("_source", "_name").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"),
+                                                     F.min(F.when(F.col("size") > 0, F.col("size"))).alias("_smallest"))
     goals = targets(totals, "_name", weights, max_repeat)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     blocks_wanted = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("_docs") / block_docs, F.lit(1.0)))))
     goals = goals.select(
         "_source", "source_size", "target", F.least(whole, F.lit(max_repeat)).cast("long").alias("_passes"),
-        F.least(blocks_wanted.cast("long"), F.lit(MAX_BLOCKS)).alias("_n_blocks"),
+        F.least(blocks_wanted.cast("long"), F.lit(MAX_BLOCKS)).alias("_n_blocks"), "_smallest",
     ).withColumn("_rest", F.round(F.col("target") - F.col("_passes") * F.col("source_size"), 6))
-    goals = fill(sized, materialize(goals, "mix-goals"))
+    given = materialize(goals, "mix-goals")
+    goals = fill(sized, given, max_repeat).select(
+        "_source", "source_size", "target", "_n_blocks", "_spans", F.col("_passes").alias("_whole"),
+        (F.col("_passes") + F.floor("_cut")).alias("_passes"), (F.col("_cut") - F.floor("_cut")).alias("_cut"),
+    )
+    discard(given)
     block = F.floor(F.col("_u") * F.col("_n_blocks"))
     few = goals.count() <= BROADCAST_SOURCES
     placed = sized.drop("_name").join(F.broadcast(goals) if few else goals, "_source").withColumn("_block", block)
@@ -284,8 +332,13 @@ def plan_mix(
     )
 
     joined = placed.join(dealt, ["_source", "_block"])
-    in_last = F.exists("_spans", lambda s: (s["low"] <= F.col("_u")) & (F.col("_u") < s["high"]) & (F.col("size") <= s["limit"]))
-    own = F.filter("_copies", lambda c: (c["_copy"] < F.col("_passes")) | in_last)
+
+    def in_last(copy: Column) -> Column:
+        at = F.col("_u") + (copy - F.col("_whole"))
+        return F.exists("_spans", lambda s: (s["low"] <= at) & (at < s["high"])
+                        & (s["above"] < F.col("size")) & (F.col("size") <= s["limit"]))
+
+    own = F.filter("_copies", lambda c: (c["_copy"] < F.col("_whole")) | in_last(c["_copy"]))
     places = F.transform(own, lambda c: F.struct(
         c["shard"].alias("shard"), draw(seed, F.lit("place"), F.col("_doc"), c["_copy"]).alias("position")
     ))
