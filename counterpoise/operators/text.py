@@ -222,13 +222,17 @@ def sliding_ngrams(tokens: DataFrame, doc: str, n: int, keep: list[str] | None =
     """For each token every prefix of the last n tokens: (doc, *keep, gram)."""
     keep = keep or []
     size = F.size("tokens")
-    ends = tokens.where(size > 0).select(doc, *keep, "tokens", F.explode(F.sequence(F.lit(1), size)).alias("_end"))
-    start = F.greatest(F.col("_end") - n + 1, F.lit(1))
     grams = F.transform(
-        F.sequence(F.lit(1), F.col("_end") - start + 1),
-        lambda m: F.array_join(F.slice("tokens", start, m), " "),
+        F.sequence(F.lit(1), size),
+        lambda end: F.transform(
+            F.sequence(F.greatest(end - n + 1, F.lit(1)), end),
+            lambda last: F.array_join(
+                F.slice("tokens", F.greatest(end - n + 1, F.lit(1)), last - F.greatest(end - n + 1, F.lit(1)) + 1), " "
+            ),
+        ),
     )
-    return ends.select(doc, *keep, F.explode(grams).alias("gram"))
+    # made inside the row: a token is no row that carries the whole text
+    return tokens.where(size > 0).select(doc, *keep, F.explode(F.flatten(grams)).alias("gram"))
 
 
 def labelled_ngrams(tokens: DataFrame, doc: str, n: int) -> DataFrame:
