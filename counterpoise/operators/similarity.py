@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.distance import MEASURES
 from ..functions.draw import u
 from ..functions.info import llr
-from ..session import fits, materialize
+from ..session import discard, fits, materialize
 from .tiles import LIMIT, tile_join
 
 MAX_SEEDS = 2_000
@@ -212,6 +212,12 @@ def _dots_above(
     )
 
 
+def _column_count(entries: DataFrame, rule: Measure, n_cols: Column | int | None) -> Column:
+    if n_cols is None:
+        n_cols = entries.agg(F.max("col") + 1).scalar() if rule is SIMILARITIES["loglikelihood"] else 0
+    return (n_cols if isinstance(n_cols, Column) else F.lit(n_cols)).cast("double")
+
+
 def row_pairs(
     entries: DataFrame,
     measure: str | Measure,
@@ -229,10 +235,7 @@ def row_pairs(
         dots = _dots_above(carried, rule, consider, threshold, limit, hot)
     else:
         dots = _dots(carried, consider, limit)
-    if n_cols is None:
-        n_cols = entries.agg(F.max("col") + 1).scalar() if rule is SIMILARITIES["loglikelihood"] else 0
-    columns = n_cols if isinstance(n_cols, Column) else F.lit(n_cols)
-    found = rule.similarity(F.col("n"), F.col("a_norm"), F.col("b_norm"), columns.cast("double"))
+    found = rule.similarity(F.col("n"), F.col("a_norm"), F.col("b_norm"), _column_count(entries, rule, n_cols))
     return dots.select("a", "b", found.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
@@ -249,6 +252,47 @@ def top_pairs(pairs: DataFrame, top: int = 100, exclude_self: bool = False) -> D
     return ranked.where(F.col("rank") <= top).drop("_key")
 
 
+BLOCK_PAIRS = 500_000
+
+
+def _top_in_blocks(
+    entries: DataFrame, rule: Measure, columns: Column, meetings: int, top: int, exclude_self: bool, threshold: float
+) -> DataFrame:
+    """``top_pairs`` when no column is hot, without a shuffled table of pairs.
+
+    Rows are dealt to blocks of about ``BLOCK_PAIRS`` meetings.  The entries of a column travel once,
+    as one array, to each block that has a row in it; pairs are made, added up and ranked where they
+    arrive.
+    """
+    blocks = -(-meetings // BLOCK_PAIRS) or 1
+    consider = rule.consider("a", "b", threshold) if rule.consider is not None and threshold > SMALLEST else None
+    fields = ["row", "val", "norm", *(["nnz", "max", "sum"] if consider is not None else [])]
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    # arrays side by side are smaller than an array of structs; none of these values is null
+    lists = [F.collect_list(c).alias(c) for c in fields]
+    listed = entries.where(F.col("col").isNotNull()).groupBy("col").agg(*lists, F.collect_list(block).alias("blocks"))
+    routed = listed.select(*fields, "blocks", F.explode(F.array_distinct("blocks")).alias("block"))
+    places = F.sequence(F.lit(0), F.size("blocks") - 1)
+    own = F.filter(places, lambda i: F.get("blocks", i) == F.col("block"))
+    dealt = routed.select("block", *fields, own.alias("own")).repartitionById(blocks, "block")
+    ones = dealt.select("block", *fields, F.explode("own").alias("_i"))
+    ones = ones.select("block", F.arrays_zip(*fields).alias("met"), *[F.get(c, F.col("_i")).alias(f"a_{c}") for c in fields])
+    pairs = ones.select("block", *[f"a_{c}" for c in fields], F.explode("met").alias("b"))
+    pairs = pairs.select("block", *[f"a_{c}" for c in fields], *[F.col(f"b.{c}").alias(f"b_{c}") for c in fields])
+    if exclude_self:
+        pairs = pairs.where(F.col("a_row") != F.col("b_row"))
+    if consider is not None:
+        pairs = pairs.where(consider)
+    dots = pairs.groupBy("block", F.col("a_row").alias("row"), F.col("b_row").alias("other")).agg(
+        F.sum(F.col("a_val") * F.col("b_val")).alias("n"), F.max("a_norm").alias("a_norm"), F.max("b_norm").alias("b_norm")
+    )
+    found = rule.similarity(F.col("n"), F.col("a_norm"), F.col("b_norm"), columns)
+    kept = dots.select("block", "row", "other", found.alias("similarity")).where(F.col("similarity") >= threshold)
+    order = W.partitionBy("block", "row").orderBy(F.desc("_key"), "other")
+    ranked = kept.withColumn("_key", F.round("similarity", 9)).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= top).drop("_key", "block")
+
+
 LEVELS = 64
 SLACK = 2e-9  # similarities equal to nine digits count as tied
 
@@ -329,9 +373,13 @@ def row_similarity(
     """(row, other, similarity, rank): the ``top`` most similar rows of each row."""
     rule = SIMILARITIES[measure] if isinstance(measure, str) else measure
     limit = options.get("limit", LIMIT)
+    carried = prepare_rows(entries, rule.prepare, options.get("signed_mean", False))
+    sizes = carried.where(F.col("col").isNotNull()).groupBy("col").agg(F.count(F.lit(1)).alias("f"))
+    largest, meetings = sizes.agg(F.max("f"), F.sum(F.col("f") * F.col("f"))).first()
+    if (largest or 0) <= limit:
+        columns = _column_count(entries, rule, options.get("n_cols"))
+        return _top_in_blocks(carried, rule, columns, meetings or 0, top, exclude_self, threshold)
     if threshold == SMALLEST and rule.prepare in ("unit", "centered"):
-        carried = prepare_rows(entries, rule.prepare, options.get("signed_mean", False))
-        hot = _hot_columns(carried, limit)
-        if not hot.isEmpty():
-            return _top_with_hot(carried, hot, top, exclude_self, limit)
+        return _top_with_hot(carried, _hot_columns(carried, limit), top, exclude_self, limit)
+    discard(carried)
     return top_pairs(row_pairs(entries, measure, threshold, **options), top, exclude_self)
