@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draw import hash32
+from ..sources.io import gather
 from .prefix import ordered_chunks, running_sums
 
 CARDINALITY = 5000
@@ -90,7 +91,8 @@ def encode_text(
     ``tokens`` replaces the split at non-word characters, for example by an analyzer.
     """
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), 1) if tokens is None else tokens
-    counts = df.select(row, F.explode(words).alias("_token")).groupBy(row, "_token").agg(F.count(F.lit(1)).alias("_c"))
+    # words are counted and gathered where their whole text arrives
+    counts = gather(df, row).select(row, F.explode(words).alias("_token")).groupBy(row, "_token").agg(F.count(F.lit(1)).alias("_c"))
     weighted = with_weights(counts, "_token", weights)
     value = weight * F.col("_weight") * F.log1p("_c") / math.log(2.0)
     return _gather(weighted, row, word_slots(name or text, F.col("_token"), cardinality, probes), value)

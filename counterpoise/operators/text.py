@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import materialize
+from ..sources.io import gather
 from . import colloc
 from .prefix import shuffled_rank
 
@@ -208,7 +209,7 @@ def sparse_vectors(
     analyzer: Callable[[Column], Column] = standard_analyzer,
 ) -> tuple[DataFrame, DataFrame]:
     """Whole pipeline: (vectors, dictionary)."""
-    vectors, ids = frequency_vectors(tokenize(docs, doc, text, analyzer), doc, min_support, ngram, min_llr)
+    vectors, ids = frequency_vectors(tokenize(gather(docs, doc), doc, text, analyzer), doc, min_support, ngram, min_llr)
     vectors = materialize(vectors, "term-vectors")
     if sigma is not None:
         vectors = prune_by_sigma(vectors, doc, sigma)

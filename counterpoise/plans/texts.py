@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.info import llr_sql
 from ..operators import colloc, encode, text
+from ..sources.io import gather
 from .base import Tables, query, r6, r6_sql, u_sql
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -25,8 +26,13 @@ def _tokens(t: Tables) -> DataFrame:
     return text.tokenize(t.texts, "doc_id", "text")
 
 
+def _gathered(t: Tables) -> DataFrame:
+    """Tokens for counts by document: whole texts are shuffled, not their terms."""
+    return text.tokenize(gather(t.texts, "doc_id"), "doc_id", "text")
+
+
 def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
-    weighted, ids = text.frequency_vectors(_tokens(t), "doc_id", 2)
+    weighted, ids = text.frequency_vectors(_gathered(t), "doc_id", 2)
     return weighted, ids
 
 
@@ -165,7 +171,7 @@ tot as materialized (select head || ' ' || tail as gram, head, tail, freq, head_
  union all select doc_id, term || ' ' || t1, t2 from seq where t2 is not null)
 select doc_id, head, tail, count(*) as freq from g group by all""")
 def shingles(t: Tables) -> DataFrame:
-    return colloc.shingles(_tokens(t), "doc_id", 3)
+    return colloc.shingles(_gathered(t), "doc_id", 3)
 
 
 @query("ngram_totals", f"with {_TOTALS} select gram, head, tail, freq, head_total, tail_total from tot")
