@@ -98,7 +98,7 @@ def only_inside(text: str | None) -> list[str]:
 def find_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(``_doc``, ``_hash``, ``_values``, ``_inside``) of the documents that hold an entity.
 
-    ``_hash`` names the text, ``_inside`` are its words that appear in base spans only.
+    ``_hash`` names the text, ``_inside`` are those of its terms that appear in base spans only.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +106,7 @@ def find_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             values = [sorted({(t or "")[a:b] for _, a, b in base_spans(t)}) for t in batch["text"]]
             some = [bool(v) for v in values]
             yield pd.DataFrame({
-                "_doc": batch["doc"][some], "_hash": batch["hash"][some],
+                "_doc": batch["doc"][some], "_hash": batch["hash"][some], "_text": batch["text"][some],
                 "_values": pd.Series([v for v in values if v], dtype=object).to_numpy(),
                 "_inside": pd.Series([only_inside(t) for t in batch["text"][some]], dtype=object).to_numpy(),
             })
@@ -115,7 +115,9 @@ def find_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     given = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash")
     )
-    return given.mapInPandas(run, f"_doc {kind}, _hash long, _values array<string>, _inside array<string>")
+    found = given.mapInPandas(run, f"_doc {kind}, _hash long, _text string, _values array<string>, _inside array<string>")
+    # the words of both engines may differ in rare letters: hidden terms are counted off the terms below
+    return found.select("_doc", "_hash", "_values", F.array_intersect("_inside", terms_of(F.col("_text"))).alias("_inside"))
 
 
 def terms_of(text: Column) -> Column:
@@ -123,6 +125,19 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), 1))
 
 
+def each_once(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row (``_hash``, ``_text``) per different text; ``sizes`` has how often each hash occurs.
+
+    Texts without copies stay where they are read, and only the others are shuffled, unless there
+    are too many names of them to be sent to every task.
+    """
+    rows, copied = texts.select("_hash", "_text"), sizes.where(F.col("_n") > 1).select("_hash")
+    if copied.count() > BROADCAST_ROWS:
+        return rows.groupBy("_hash").agg(F.min("_text").alias("_text"))
+    copies = rows.join(F.broadcast(copied), "_hash", "left_semi").groupBy("_hash").agg(F.min("_text").alias("_text"))
+    return rows.join(F.broadcast(copied), "_hash", "left_anti").unionByName(copies)
+
+
 def revealing_terms(
     docs: DataFrame, found: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS,
     threshold: float = GENERALISE_AT,
@@ -139,7 +154,8 @@ def revealing_terms(
     texts = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")
     )
-    n = texts.select("_hash").distinct().count()
+    sizes = materialize(texts.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    n = sizes.count()
     once = found.groupBy("_hash").agg(F.min_by(F.struct("_doc", "_values", "_inside"), "_doc").alias("_first"))
     named = once.select("_first._doc", F.explode("_first._values").alias("entity"))
     common = named.groupBy("entity").agg(F.count(F.lit(1)).alias("_e")).where((F.col("_e") >= min_docs) & (F.col("_e") < n))
@@ -152,11 +168,13 @@ def revealing_terms(
     pairs = holding.join(words, holding["_doc"] == words["_id"]).groupBy("entity", "_e", "term").agg(F.count(F.lit(1)).alias("_both"))
     pairs = materialize(pairs.where(F.col("_both") >= min_docs), "pairs")
     wanted = materialize(pairs.select("term").distinct(), "terms")
+    everywhere = each_once(texts, sizes).select(F.explode(terms_of(F.col("_text"))).alias("term"))
     if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    everywhere = texts.select("_hash", F.explode(terms_of(F.col("_text"))).alias("term")).join(wanted, "term").distinct()
-    everywhere = everywhere.join(hidden.select("_hash", "term"), ["_hash", "term"], "left_anti")
-    counted = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("_t"))
+        everywhere = everywhere.join(F.broadcast(wanted), "term")
+    # every text has a term once, so counts combine in their tasks; what spans hide is taken off again
+    less = hidden.groupBy("term").agg(F.count(F.lit(1)).alias("_less"))
+    counted = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("_all")).join(wanted, "term").join(less, "term", "left")
+    counted = counted.select("term", (F.col("_all") - F.coalesce("_less", F.lit(0))).alias("_t"))
     rows = F.lit(float(n))
     share = F.log(rows * F.col("_both") / (F.col("_e") * F.col("_t"))) / F.log(rows / F.col("_e"))
     scored = pairs.join(counted, "term").select("term", "entity", share.alias("disclosure"))
