@@ -5,6 +5,7 @@ a child is always in a later round than its parent.  A categorical node keeps a
 value its rows have, and a default label for the other values of the training table; values the
 training table never had lead nowhere.  Rows are scored round by round with a join on (tree, node);
 each round is a written table with a known size, so small ones are broadcast by Spark itself.
+The last levels, whose rows were few, are one table that travels to the rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ...session import materialize
+from .block import walked
 from .model import Forest, Node
 
 MEMORY_BYTES = 64 << 20
@@ -26,7 +28,8 @@ class ForestTable:
     """``rounds``: (tree, node, depth, kind, attr, split, child, label); numeric children are ``child`` and
     ``child + 1``.  ``steps``: (tree, node, attr, code, child) of the categorical nodes of each round.
     ``values``: (attr, value, code), the domains.  With ``complemented`` a categorical node's label holds
-    for the values of its domain that have no branch."""
+    for the values of its domain that have no branch.  ``last`` holds the nodes and the steps of all levels
+    below the rounds, a bounded number."""
 
     numeric: list[str]
     categorical: list[str]
@@ -36,15 +39,16 @@ class ForestTable:
     values: DataFrame
     complemented: bool = True
     regression: bool = False
+    last: tuple[DataFrame, DataFrame] | None = None
 
     @property
     def nodes(self) -> DataFrame:
-        return reduce(DataFrame.union, self.rounds)
+        return reduce(DataFrame.union, self.rounds + ([self.last[0]] if self.last else []))
 
     @property
     def branches(self) -> DataFrame:
         """(tree, node, value, child)"""
-        return reduce(DataFrame.union, self.steps).join(self.values, ["attr", "code"]).select("tree", "node", "value", "child")
+        return reduce(DataFrame.union, self.steps + ([self.last[1]] if self.last else [])).join(self.values, ["attr", "code"]).select("tree", "node", "value", "child")
 
     @cached_property
     def fits_memory(self) -> bool:
@@ -167,4 +171,7 @@ def leaves(df: DataFrame, forest: ForestTable, ids: list[str]) -> DataFrame:
         done = written.where(~F.col("_open")).select(*ids, "tree", F.col("_label").alias("label"), F.col("_depth").alias("depth"), F.col("_path").alias("path"))
         out = done if out is None else out.union(done)
         here = written.where("_open")
+    if forest.last:
+        done = walked(here, *forest.last, forest.numeric, forest.categorical, ids, forest.complemented)
+        out = done if out is None else out.union(done)
     return out

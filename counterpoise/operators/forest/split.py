@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ...functions.draw import u
@@ -24,6 +25,10 @@ WINDOW_VALUES = 1_000_000
 MAX_CLASSES = 10_000
 
 
+def _xlogx(n: np.ndarray) -> np.ndarray:
+    return n * np.log(n, out=np.zeros(n.shape), where=n > 0)
+
+
 @dataclass(frozen=True)
 class Target:
     """A split criterion: the statistics of the label and what is computed from them.
@@ -31,7 +36,7 @@ class Target:
     ``classes`` holds the classes counted, or is None when moments of a number are kept.  The histogram
     pass, the split search and the tree builders use nothing but these methods, so another criterion is
     a subclass with its own ``impurity`` (and, if it needs other statistics, ``names``, ``aggregates``,
-    ``size``, ``pure`` and ``answer``).
+    ``size``, ``pure`` and ``answer``).  With ``impurity_of``, the same on arrays, the last levels are grown in one step.
     """
 
     label: str
@@ -61,6 +66,19 @@ class Target:
         parts = [xlogx(c.cast("double")) for c in stats]
         return (xlogx(self.size(stats).cast("double")) - sum(parts[1:], parts[0])) / LN2
 
+    def impurity_of(self, counts: np.ndarray) -> np.ndarray:
+        """``impurity`` of arrays of class counts, classes last."""
+        return (_xlogx(counts.sum(axis=-1)) - _xlogx(counts).sum(axis=-1)) / LN2
+
+    @property
+    def in_arrays(self) -> bool:
+        """Whether classes are counted and ``impurity_of`` is the criterion that ``impurity`` is, with the other methods as they are here."""
+        def owner(name: str) -> type:
+            return next(k for k in type(self).__mro__ if name in vars(k))
+
+        plain = all(owner(n) is Target for n in ("names", "aggregates", "size", "gain", "pure"))
+        return self.classes is not None and plain and owner("impurity") is owner("impurity_of")
+
     def gain(self, whole: list[Column], parts: Column) -> Column:
         """Drop of impurity; classification counts it per row."""
         drop = self.impurity(whole) - parts
@@ -92,6 +110,10 @@ class GiniTarget(Target):
         n = self.size(stats).cast("double")
         return F.when(n > 0, n - sum(squares[1:], squares[0]) / n).otherwise(F.lit(0.0))
 
+    def impurity_of(self, counts: np.ndarray) -> np.ndarray:
+        n = counts.sum(axis=-1)
+        return n - np.divide((counts * counts).sum(axis=-1), n, out=np.zeros(n.shape), where=n > 0)
+
 
 def class_target(df: DataFrame, label: str, kind: type[Target] = Target) -> Target:
     """Target with the classes found in the data, in order."""

@@ -5,6 +5,8 @@ A level is one pass: a histogram over every open node of every tree, the best sp
 node as one row of a table, and a join that moves the rows to their children.  Rows of closed nodes
 drop out.  Categories are codes of a table of values, so neither they nor the nodes of the model
 go through the driver, and a level's tables have a known size: Spark broadcasts the small ones.
+Levels end where the rows of all open nodes fit a block of ``LAST_CELLS``: what is below is grown
+from arrays in one task (``block``), since a level of few rows costs its jobs, not its rows.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ...functions.draw import below, bucket, u
 from ...session import discard, materialize
 from ..prefix import running_sums, shuffled_rank, sorted_rank
+from .block import KINDS, Rules, grown
 from .nodes import ForestTable
 from .split import WINDOW_VALUES, Target, categorical_gains, class_target, default_attributes, numeric_splits
 
@@ -21,6 +24,8 @@ EPSILON = 1e-6
 # one window numbers the open nodes of a tree up to here, chunks of node numbers beyond
 WINDOW_NODES = 1 << 20
 NODE_CHUNK = 1 << 20
+# rows, times classes and attributes, of the block that is grown to its end in one task
+LAST_CELLS = 1 << 18
 
 
 def _draws(df: DataFrame, ids: list[str], n_trees: int, partitions: int | None, seed) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +182,7 @@ class _Grower:
                 "tree", "used", "least", "depth", "parent", (F.col("child") + F.col("word")).alias("node"), *names, "attr", "word"))
         stats = self.stats()
         return materialize(out.withColumns({
-            "label": self.answer(stats), "closed": F.coalesce((target.size(stats) == 0) | self.finished(stats, F.col("used")), F.lit(True)),
+            "size": target.size(stats), "label": self.answer(stats), "closed": F.coalesce((target.size(stats) == 0) | self.finished(stats, F.col("used")), F.lit(True)),
         }).drop(*names), "children")
 
     def move(self, rows: DataFrame, nodes: DataFrame, open_: DataFrame) -> DataFrame:
@@ -263,8 +268,13 @@ def train_forest(
     name_of = F.element_at(F.array(*map(F.lit, names)), F.col("attr") + 1)
     shown = ["tree", "node", "depth", "kind", name_of.alias("attr"), "split", "child", "label"]
     no_value = F.lit(None).cast("string")
-    rounds, steps, base, n_open, chunked = [], [], 1, n_trees, None
+    rounds, steps, base, n_open, chunked, last = [], [], 1, n_trees, None, None
+    few = LAST_CELLS // (len(target.classes) + len(names)) if target.in_arrays else 0
+    n_rows = table.limit(few + 1).count()
     while True:
+        if 0 < n_rows <= few:
+            last = _grow_last(table, open_, grower, values, base, name_of, not rounds)
+            break
         hist = grower.histogram(table)
         if chunked is None:
             # nodes below have no more values than their root
@@ -281,12 +291,16 @@ def train_forest(
             "tree", F.col("parent").alias("node"), name_of.alias("attr"), F.col("word").alias("code"), F.col("node").alias("child")))
         steps.append(steps[-1].where(F.lit(False)))
         columns = ["tree", "node", "depth", "used", "least"]
-        n_open, last = reached.agg(F.count_if(~F.col("closed")), F.max("node")).first()
-        base = max(base, (last or 0) + 1)
+        # weights are at least 1, so sizes bound the rows
+        still = F.coalesce(F.sum(F.when(~F.col("closed"), F.col("size"))), F.lit(0))
+        n_open, top, n_rows = reached.agg(F.count_if(~F.col("closed")), F.max("node"), still).first()
+        base = max(base, (top or 0) + 1)
         open_ = reached.where(~F.col("closed")).select(*columns)
         if retry:
             again = nodes.where(F.col("kind") == "retry").select(*columns)
-            n_open, open_ = n_open + again.count(), open_.union(again)
+            sizes = F.coalesce(F.sum(target.size(grower.stats("t_"))), F.lit(0))
+            more, rows_more = nodes.where(F.col("kind") == "retry").agg(F.count(F.lit(1)), sizes).first()
+            n_open, n_rows, open_ = n_open + more, n_rows + rows_more, open_.union(again)
         if not n_open:
             break
         before, table = table, grower.move(table, nodes, open_)
@@ -296,7 +310,35 @@ def train_forest(
         values = df.sparkSession.createDataFrame([], "attr string, value string, code long")
     else:
         values = values.select(name_of.alias("attr"), "value", "code")
-    return ForestTable(numeric, categorical, n_trees, rounds, steps, values, complemented, regression)
+    return ForestTable(numeric, categorical, n_trees, rounds, steps, values, complemented, regression, last)
+
+
+def _grow_last(
+    table: DataFrame, open_: DataFrame, grower: _Grower, values: DataFrame | None, base: int, name_of: Column, roots: bool,
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and steps of all levels below the open nodes, whose rows fit one block.  Only roots can be without rows."""
+    target = grower.target
+    widths = {r["attr"]: r["n"] for r in values.groupBy("attr").agg(F.count(F.lit(1)).alias("n")).collect()} if values is not None else {}
+    rules = Rules(
+        target, grower.names, grower.n_numeric, grower.m, grower.min_split, grower.min_gain, grower.max_depth, grower.retry, str(grower.seed), widths)
+    number = F.lit(None).cast("int")
+    for i, c in enumerate(target.classes):
+        number = F.when(F.col("y") == c, i).otherwise(number)
+    rows = table.join(open_.select("tree", "node", "depth", "used"), ["tree", "node"]).select(
+        "tree", "node", "depth", "used", number.alias("y"), "w", *grower.numbers, *grower.words)
+    found = grown(rows, rules, base)
+    labelled = materialize(found.withColumns(
+        {n: F.col("stats")[i] for i, n in enumerate(target.names)} | {"name": F.when(F.col("attr").isNotNull(), name_of)}).withColumn("label", grower.answer(grower.stats())).drop(
+        "stats", *target.names), "last-levels")
+    nodes = labelled.where(F.col("kind").isin(*KINDS)).drop("attr").withColumnRenamed("name", "attr").select("tree", "node", "depth", "kind", "attr", "split", "child", "label")
+    if roots:
+        bare = open_.join(table.select("tree").distinct(), "tree", "left_anti")
+        none = F.lit(None)
+        nodes = nodes.union(materialize(bare.select(
+            "tree", "node", "depth", F.lit("leaf").alias("kind"), none.cast("string").alias("attr"), none.cast("double").alias("split"),
+            none.cast("long").alias("child"), none.cast("string").alias("label")), "bare-roots"))
+    steps = labelled.where(F.col("kind") == "branch").select("tree", "node", F.col("name").alias("attr"), "code", "child")
+    return nodes, steps
 
 
 def grow_tree(df: DataFrame, label: str, ids: list[str], numeric: list[str], categorical: list[str], **options) -> ForestTable:
