@@ -332,10 +332,11 @@ def _grow_last(
         "stats", *target.names), "last-levels")
     nodes = labelled.where(F.col("kind").isin(*KINDS)).drop("attr").withColumnRenamed("name", "attr").select("tree", "node", "depth", "kind", "attr", "split", "child", "label")
     if roots:
+        # levels show such a root with the last attribute
         bare = open_.join(table.select("tree").distinct(), "tree", "left_anti")
         none = F.lit(None)
         nodes = nodes.union(materialize(bare.select(
-            "tree", "node", "depth", F.lit("leaf").alias("kind"), none.cast("string").alias("attr"), none.cast("double").alias("split"),
+            "tree", "node", "depth", F.lit("leaf").alias("kind"), F.lit(grower.names[-1]).alias("attr"), none.cast("double").alias("split"),
             none.cast("long").alias("child"), none.cast("string").alias("label")), "bare-roots"))
     steps = labelled.where(F.col("kind") == "branch").select("tree", "node", F.col("name").alias("attr"), "code", "child")
     return nodes, steps
