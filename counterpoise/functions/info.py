@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 
@@ -22,6 +23,17 @@ def llr(k11: Column, k12: Column, k21: Column, k22: Column) -> Column:
     return 2.0 * F.greatest(F.lit(0.0), rows + columns - _spread(k11, k12, k21, k22))
 
 
+def llr_array(k11: np.ndarray, k12: np.ndarray, k21: np.ndarray, k22: np.ndarray) -> np.ndarray:
+    """The same ratio of numpy arrays."""
+    def x(n: np.ndarray) -> np.ndarray:
+        return np.where(n > 0, n * np.log(np.where(n > 0, n, 1.0)), 0.0)
+
+    total = x(k11 + k12 + k21 + k22)
+    rows = total - (x(k11 + k12) + x(k21 + k22))
+    columns = total - (x(k11 + k21) + x(k12 + k22))
+    return 2.0 * np.maximum(0.0, rows + columns - (total - (x(k11) + x(k12) + x(k21) + x(k22))))
+
+
 def llr_sql(k11: str, k12: str, k21: str, k22: str) -> str:
     """The same ratio as SQL text, for checks."""
     def x(n: str) -> str:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from ..functions.distance import MEASURES
 from ..functions.draw import u
-from ..functions.info import llr
+from ..functions.info import llr, llr_array
 from ..session import discard, fits, materialize
+from .row_pieces import column_sizes, pack, top_partners
 from .tiles import LIMIT, tile_join
 
 MAX_SEEDS = 2_000
@@ -75,13 +77,15 @@ class Measure:
     """How a similarity is made of the dot product n and the row statistics a and b.
 
     ``reach`` tells whether a row can reach a threshold by some of its entries alone: it
-    gets (their sum of squares, their number, entries of the row, threshold).
+    gets (their sum of squares, their number, entries of the row, threshold).  ``array`` is
+    ``similarity`` for numpy arrays.
     """
 
     similarity: Callable[[Column, Column, Column, Column], Column]
     prepare: str  # binary | raw | unit | centered
     consider: Callable[..., Column] | None = None
     reach: Callable[..., Column] | None = None
+    array: Callable[..., np.ndarray] | None = None
 
 
 def _consider_cosine(a: str, b: str, t: float) -> Column:
@@ -99,23 +103,32 @@ def _consider_count(a: str, b: str, t: float) -> Column:
 
 SIMILARITIES: dict[str, Measure] = {
     "cooccurrence": Measure(
-        lambda n, a, b, cols: n, "binary", _consider_count, lambda squares, some, nnz, t: some >= t
+        lambda n, a, b, cols: n, "binary", _consider_count, lambda squares, some, nnz, t: some >= t,
+        array=lambda n, a, b, cols: n,
     ),
     "loglikelihood": Measure(
-        lambda n, a, b, cols: 1.0 - 1.0 / (1.0 + llr(n, b - n, a - n, cols - a - b + n)), "binary"
+        lambda n, a, b, cols: 1.0 - 1.0 / (1.0 + llr(n, b - n, a - n, cols - a - b + n)), "binary",
+        array=lambda n, a, b, cols: 1.0 - 1.0 / (1.0 + llr_array(n, b - n, a - n, cols - a - b + n)),
     ),
     "tanimoto": Measure(
-        lambda n, a, b, cols: n / (a + b - n), "binary", _consider_tanimoto, lambda squares, some, nnz, t: some >= t * nnz
+        lambda n, a, b, cols: n / (a + b - n), "binary", _consider_tanimoto, lambda squares, some, nnz, t: some >= t * nnz,
+        array=lambda n, a, b, cols: n / (a + b - n),
+    ),
+    "cityblock": Measure(
+        lambda n, a, b, cols: 1.0 / (1.0 + a + b - 2.0 * n), "binary",
+        array=lambda n, a, b, cols: 1.0 / (1.0 + a + b - 2.0 * n),
     ),
-    "cityblock": Measure(lambda n, a, b, cols: 1.0 / (1.0 + a + b - 2.0 * n), "binary"),
     "cosine": Measure(
-        lambda n, a, b, cols: n, "unit", _consider_cosine, lambda squares, some, nnz, t: squares >= t * t * (1 - 1e-9)
+        lambda n, a, b, cols: n, "unit", _consider_cosine, lambda squares, some, nnz, t: squares >= t * t * (1 - 1e-9),
+        array=lambda n, a, b, cols: n,
     ),
     "pearson": Measure(
-        lambda n, a, b, cols: n, "centered", _consider_cosine, lambda squares, some, nnz, t: squares >= t * t * (1 - 1e-9)
+        lambda n, a, b, cols: n, "centered", _consider_cosine, lambda squares, some, nnz, t: squares >= t * t * (1 - 1e-9),
+        array=lambda n, a, b, cols: n,
     ),
     "euclidean": Measure(
-        lambda n, a, b, cols: 1.0 / (1.0 + F.sqrt(F.greatest(F.lit(0.0), a - 2.0 * n + b))), "raw"
+        lambda n, a, b, cols: 1.0 / (1.0 + F.sqrt(F.greatest(F.lit(0.0), a - 2.0 * n + b))), "raw",
+        array=lambda n, a, b, cols: 1.0 / (1.0 + np.sqrt(np.maximum(0.0, a - 2.0 * n + b))),
     ),
 }
 
@@ -128,27 +141,43 @@ def row_statistics(entries: DataFrame) -> DataFrame:
     )
 
 
-def prepare_rows(entries: DataFrame, prepare: str, signed_mean: bool = False) -> DataFrame:
-    """Entries as the measure needs them, with their row's statistics: (row, col, val, norm, nnz, max, sum).
+def _row_statistics_beside(entries: DataFrame) -> dict[str, Column]:
+    """``row_statistics`` as columns of the entries: one shuffle by row serves the entries and the numbers."""
+    val, whole = F.col("val"), W.partitionBy("row")
+    made = {
+        "nnz": F.count(F.lit(1)).cast("double"), "max": F.max(F.abs(val)), "sum": F.sum(F.abs(val)),
+        "plain": F.sum(val), "sq": F.sum(val * val),
+    }
+    return {n: c.over(whole) if n != "nnz" else F.count(F.lit(1)).over(whole).cast("double") for n, c in made.items()}
 
-    The table is written: both sides of the self-join, the column counts and the dot
-    products of candidates all read it.
-    """
-    entries = entries.where(F.col("val") != 0).select("row", "col", F.col("val").cast("double").alias("val"))
+
+def _prepared(entries: DataFrame, prepare: str, signed_mean: bool = False) -> DataFrame:
+    """Entries as the measure needs them, with their row's statistics; the entries of a row lie together."""
+    entries = entries.where((F.col("val") != 0) & F.col("row").isNotNull()).select("row", "col", F.col("val").cast("double").alias("val"))
     if prepare == "centered":
-        mean = (F.col("plain") if signed_mean else F.col("sum")) / F.col("nnz")
-        means = row_statistics(entries).select("row", mean.alias("_m"))
-        centered = entries.join(means, "row").withColumn("val", F.col("val") - F.col("_m")).drop("_m")
+        beside = _row_statistics_beside(entries)
+        mean = beside["plain" if signed_mean else "sum"] / beside["nnz"]
+        centered = entries.withColumn("_m", mean).withColumn("val", F.col("val") - F.col("_m")).drop("_m")
         entries = centered.where(F.col("val") != 0)
-    joined = entries.join(row_statistics(entries), "row")
+    joined = entries.withColumns({f"_{n}": c for n, c in _row_statistics_beside(entries).items()})
+    nnz, largest, total, squares = (F.col(f"_{n}") for n in ("nnz", "max", "sum", "sq"))
     if prepare == "binary":
-        ready = {"val": F.lit(1.0), "norm": F.col("nnz"), "max": F.lit(1.0), "sum": F.col("nnz")}
+        ready = {"val": F.lit(1.0), "norm": nnz, "max": F.lit(1.0), "sum": nnz}
     elif prepare == "raw":
-        ready = {"val": F.col("val"), "norm": F.col("sq"), "max": F.col("max"), "sum": F.col("sum")}
+        ready = {"val": F.col("val"), "norm": squares, "max": largest, "sum": total}
     else:
-        length = F.sqrt("sq")
-        ready = {"val": F.col("val") / length, "norm": F.lit(1.0), "max": F.col("max") / length, "sum": F.col("sum") / length}
-    return materialize(joined.select("row", "col", "nnz", *[c.alias(n) for n, c in ready.items()]), "row-entries")
+        length = F.sqrt(squares)
+        ready = {"val": F.col("val") / length, "norm": F.lit(1.0), "max": largest / length, "sum": total / length}
+    return joined.select("row", "col", nnz.alias("nnz"), *[c.alias(n) for n, c in ready.items()])
+
+
+def prepare_rows(entries: DataFrame, prepare: str, signed_mean: bool = False) -> DataFrame:
+    """Entries as the measure needs them, with their row's statistics: (row, col, val, norm, nnz, max, sum).
+
+    The table is written: both sides of the self-join, the column counts and the dot
+    products of candidates all read it.
+    """
+    return materialize(_prepared(entries, prepare, signed_mean), "row-entries")
 
 
 def _sides(entries: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -252,45 +281,32 @@ def top_pairs(pairs: DataFrame, top: int = 100, exclude_self: bool = False) -> D
     return ranked.where(F.col("rank") <= top).drop("_key")
 
 
-BLOCK_PAIRS = 500_000
-
-
-def _top_in_blocks(
-    entries: DataFrame, rule: Measure, columns: Column, meetings: int, top: int, exclude_self: bool, threshold: float
-) -> DataFrame:
-    """``top_pairs`` when no column is hot, without a shuffled table of pairs.
-
-    Rows are dealt to blocks of about ``BLOCK_PAIRS`` meetings.  The entries of a column travel once,
-    as one array, to each block that has a row in it; pairs are made, added up and ranked where they
-    arrive.
-    """
-    blocks = -(-meetings // BLOCK_PAIRS) or 1
-    consider = rule.consider("a", "b", threshold) if rule.consider is not None and threshold > SMALLEST else None
-    fields = ["row", "val", "norm", *(["nnz", "max", "sum"] if consider is not None else [])]
-    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
-    # arrays side by side are smaller than an array of structs; none of these values is null
-    lists = [F.collect_list(c).alias(c) for c in fields]
-    listed = entries.where(F.col("col").isNotNull()).groupBy("col").agg(*lists, F.collect_list(block).alias("blocks"))
-    routed = listed.select(*fields, "blocks", F.explode(F.array_distinct("blocks")).alias("block"))
-    places = F.sequence(F.lit(0), F.size("blocks") - 1)
-    own = F.filter(places, lambda i: F.get("blocks", i) == F.col("block"))
-    dealt = routed.select("block", *fields, own.alias("own")).repartitionById(blocks, "block")
-    ones = dealt.select("block", *fields, F.explode("own").alias("_i"))
-    ones = ones.select("block", F.arrays_zip(*fields).alias("met"), *[F.get(c, F.col("_i")).alias(f"a_{c}") for c in fields])
-    pairs = ones.select("block", *[f"a_{c}" for c in fields], F.explode("met").alias("b"))
-    pairs = pairs.select("block", *[f"a_{c}" for c in fields], *[F.col(f"b.{c}").alias(f"b_{c}") for c in fields])
-    if exclude_self:
-        pairs = pairs.where(F.col("a_row") != F.col("b_row"))
-    if consider is not None:
-        pairs = pairs.where(consider)
-    dots = pairs.groupBy("block", F.col("a_row").alias("row"), F.col("b_row").alias("other")).agg(
-        F.sum(F.col("a_val") * F.col("b_val")).alias("n"), F.max("a_norm").alias("a_norm"), F.max("b_norm").alias("b_norm")
-    )
-    found = rule.similarity(F.col("n"), F.col("a_norm"), F.col("b_norm"), columns)
-    kept = dots.select("block", "row", "other", found.alias("similarity")).where(F.col("similarity") >= threshold)
-    order = W.partitionBy("block", "row").orderBy(F.desc("_key"), "other")
-    ranked = kept.withColumn("_key", F.round("similarity", 9)).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= top).drop("_key", "block")
+BLOCK_PAIRS = 500_000  # meetings made at a time
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def _top_in_pieces(
+    entries: DataFrame, rule: Measure, top: int, exclude_self: bool, threshold: float, limit: int,
+    n_cols: Column | int | None = None, signed_mean: bool = False,
+) -> DataFrame | None:
+    """``top_pairs`` without a table of pairs; None when a column has more than ``limit`` entries."""
+    seen = Observation("columns")
+    counted = n_cols is None and rule is SIMILARITIES["loglikelihood"]
+    source = entries.observe(seen, F.max("col").alias("last")) if counted else entries
+    rows = _prepared(source, rule.prepare, signed_mean)
+    # a value may be missing only in a column's name; such an entry counts in its row but meets nothing
+    packed = pack(rows.where(F.col("col").isNotNull()), rule.prepare == "binary")
+    # row groups stay small: a reader holds a whole one
+    pieces = materialize(packed, "row-pieces", **{"parquet.block.size": 16 << 20})
+    if (column_sizes(pieces).agg(F.max("f")).first()[0] or 0) > limit:
+        discard(pieces)
+        return None
+    if isinstance(n_cols, Column):
+        n_cols = entries.sparkSession.range(1).select(n_cols.cast("double")).first()[0]
+    columns = float((seen.get["last"] or 0) + 1 if counted else n_cols or 0)
+    similarity = rule.array
+    return top_partners(
+        pieces, dict(entries.dtypes), lambda n, a, b: similarity(n, a, b, columns), top, exclude_self, threshold, BLOCK_PAIRS)
 
 
 LEVELS = 64
@@ -372,14 +388,16 @@ def row_similarity(
 ) -> DataFrame:
     """(row, other, similarity, rank): the ``top`` most similar rows of each row."""
     rule = SIMILARITIES[measure] if isinstance(measure, str) else measure
-    limit = options.get("limit", LIMIT)
-    carried = prepare_rows(entries, rule.prepare, options.get("signed_mean", False))
-    sizes = carried.where(F.col("col").isNotNull()).groupBy("col").agg(F.count(F.lit(1)).alias("f"))
-    largest, meetings = sizes.agg(F.max("f"), F.sum(F.col("f") * F.col("f"))).first()
-    if (largest or 0) <= limit:
-        columns = _column_count(entries, rule, options.get("n_cols"))
-        return _top_in_blocks(carried, rule, columns, meetings or 0, top, exclude_self, threshold)
+    limit, types = options.get("limit", LIMIT), dict(entries.dtypes)
+    if rule.array is not None and types["row"] in INTEGERS and types["col"] in INTEGERS:
+        known = {n: options[n] for n in ("n_cols", "signed_mean") if n in options}
+        found = _top_in_pieces(entries, rule, top, exclude_self, threshold, limit, **known)
+        if found is not None:
+            return found
     if threshold == SMALLEST and rule.prepare in ("unit", "centered"):
-        return _top_with_hot(carried, _hot_columns(carried, limit), top, exclude_self, limit)
-    discard(carried)
+        carried = prepare_rows(entries, rule.prepare, options.get("signed_mean", False))
+        hot = _hot_columns(carried, limit)
+        if not hot.isEmpty():
+            return _top_with_hot(carried, hot, top, exclude_self, limit)
+        discard(carried)
     return top_pairs(row_pairs(entries, measure, threshold, **options), top, exclude_self)
