@@ -59,3 +59,11 @@ def test_repeated_ids_and_large_buckets_take_the_tables(spark):
     assert smote._bounded(once, *ARGS)["buckets"] == 4 and smote._bounded(once, *ARGS, 50) is None
     assert smote._bounded(_table(spark).selectExpr("*", "0 as grp"), *ARGS) is None
     assert not bucket_tasks.ids_come_once(spark.createDataFrame([("a",), (None,)], "id string"), "id")
+
+
+def test_rows_are_shuffled_for_their_rank_and_to_their_bucket_only(spark):
+    made = smote.smote(_table(spark), *ARGS, minority_rows=15)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    # the third one counts classes
+    assert plan.count("Exchange hashpartitioning(") == 3
